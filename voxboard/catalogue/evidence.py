@@ -18,6 +18,7 @@ from voxboard.catalogue.adapters import (
 from voxboard.catalogue.registry import query
 from voxboard.operators import evidence, themes
 from voxboard.operators.report import default_actions
+from voxboard.plans.staging import persisted
 
 KEYS = ["product_id"]
 CHAIN = f"WITH {VOCAB}, {DOCS}, {SCORED}, {CANDIDATES}"
@@ -95,7 +96,7 @@ padded AS (
 
 
 def padded(reviews):
-    first = picked(reviews).filter("quote_rank = 1 AND rating < 2")
+    first = persisted(picked(reviews).filter("quote_rank = 1 AND rating < 2"), "first")
     return evidence.pad_quotes(first, reviews, reviews.select(*KEYS), KEYS)
 
 
@@ -141,7 +142,7 @@ FROM (SELECT item_id, array_to_string(string_split(text, ' ')[2:4], ' ') AS need
 )
 def verbatim_short(spark, sf):
     items = table(spark, sf, "benchmark").select(
-        "item_id", F.array_join(F.slice(F.split("text", " "), F.lit(2), F.lit(3)), " ").alias("needle")
+        "item_id", F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("needle")
     )
     rows = evidence.verbatim_in_corpus(items, table(spark, sf, "documents"), id_column="doc_id")
     return rows.select("item_id", "verbatim")

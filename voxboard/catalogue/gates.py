@@ -13,10 +13,11 @@ from voxboard.catalogue.adapters import (
     sql_word_count,
     table,
 )
-from voxboard.catalogue.evidence import PADDED, labelled, ranked
+from voxboard.catalogue.evidence import PADDED, labelled
 from voxboard.catalogue.registry import query
 from voxboard.catalogue.reports import PARTS, composed
-from voxboard.operators import evidence, gates, metrics, themes
+from voxboard.operators import gates, metrics, themes
+from voxboard.plans.staging import persisted
 
 KEYS = ["product_id"]
 CHAIN = f"WITH {VOCAB}, {DOCS}, {SCORED}, {CANDIDATES}, {PADDED}, {PARTS}"
@@ -26,7 +27,7 @@ PII = r"regexp_matches({x}, '(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,
 def checks(spark, sf):
     reviews = labelled(spark, sf)
     table_ = themes.theme_counts(reviews, KEYS, TEST_VOCABULARY)
-    return gates.evaluate_gates(reviews, table_, composed(spark, sf), KEYS, vocab=TEST_VOCABULARY)
+    return gates.evaluate_gates(reviews, table_, persisted(composed(spark, sf), "reports"), KEYS, vocab=TEST_VOCABULARY)
 
 
 # Window: dates of the documents span 99 days, so this gate fails for most.
@@ -81,7 +82,7 @@ def gate_report(spark, sf):
 )
 def quote_verbatim(spark, sf):
     """Quotes cut from texts with uneven white space are not verbatim any more."""
-    rows = gates.quote_flags(composed(spark, sf), labelled(spark, sf), KEYS)
+    rows = gates.quote_flags(persisted(composed(spark, sf), "reports"), labelled(spark, sf), KEYS)
     return rows.select("product_id", "place", "id", "verbatim")
 
 
@@ -89,7 +90,7 @@ def quote_verbatim(spark, sf):
 def stored_report_gates(spark, sf):
     """Stored texts parsed and checked; products without a stored text fail."""
     reviews = labelled(spark, sf)
-    stored = composed(spark, sf).filter("review_count >= 40").select("product_id", "body")
+    stored = persisted(composed(spark, sf).filter("review_count >= 40").select("product_id", "body"), "stored")
     table_ = themes.theme_counts(reviews, KEYS, TEST_VOCABULARY)
     groups = reviews.select("product_id").distinct()
     return gates.evaluate_stored(reviews, table_, stored, groups, KEYS, vocab=TEST_VOCABULARY)

@@ -257,10 +257,11 @@ def parse_dates(spark, sf):
     """SELECT event_id, CAST(ts AS DATE) AS from_seconds, CAST(ts AS DATE) AS from_millis FROM events""",
 )
 def parse_epochs(spark, sf):
+    ts = F.col("ts").cast("timestamp")
     return table(spark, sf, "events").select(
         "event_id",
-        dates.parse_date_number(F.unix_seconds("ts")).alias("from_seconds"),
-        dates.parse_date_number(F.unix_millis("ts")).alias("from_millis"),
+        dates.parse_date_number(F.unix_seconds(ts)).alias("from_seconds"),
+        dates.parse_date_number(F.unix_millis(ts)).alias("from_millis"),
     )
 
 

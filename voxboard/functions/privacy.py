@@ -51,11 +51,13 @@ def redact_emails(c: Column) -> Column:
 
 def pii_kinds(c: Column) -> Column:
     """Kinds of personal data in a text; redaction tokens themselves are clean."""
-    residual = F.regexp_replace(F.coalesce(c, F.lit("")), REDACTED, " ")
+    text = F.coalesce(c, F.lit(""))
+    residual = F.when(text.contains("["), F.regexp_replace(text, REDACTED, " ")).otherwise(text)
+    at = text.contains("@")
     found = F.array(
-        F.when(residual.rlike(EMAIL), F.lit("email pattern")),
+        F.when(at & residual.rlike(EMAIL), F.lit("email pattern")),
         F.when(residual.rlike(MOBILE), F.lit("phone pattern")),
         F.when(residual.rlike(DEVICE_ID_SCAN), F.lit("device id pattern")),
-        F.when(residual.rlike(HANDLE), F.lit("username handle")),
+        F.when(at & residual.rlike(HANDLE), F.lit("username handle")),
     )
     return F.array_compact(found)

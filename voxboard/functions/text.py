@@ -16,6 +16,13 @@ NOT_WORD_BEFORE = rf"(?<!{WORD})"
 NOT_WORD_AFTER = rf"(?!{WORD})"
 BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+NOT_SPACE = SPACE.replace("[", "[^", 1)
+# The same set for trim functions, which take characters and no pattern.
+SPACE_CHARS = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
+    + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 ELLIPSIS = "…"
 
@@ -32,13 +39,19 @@ ROMANISED_HINDI = (
 
 
 def whole_words(alternatives: str) -> str:
-    """Case-insensitive pattern matching any alternative as whole words."""
-    return rf"(?iU){NOT_WORD_BEFORE}(?:{alternatives}){NOT_WORD_AFTER}"
+    """Case-insensitive pattern matching any alternative as whole words.
+
+    A look at the first letter turns most positions away before the costlier
+    look behind; every piece between bars counts, so the set is never too small.
+    """
+    firsts = {piece[:1].lower() for piece in alternatives.split("|")}
+    ahead = f"(?=[{''.join(sorted(firsts))}])" if all(f.isalpha() for f in firsts) else ""
+    return rf"(?iU){ahead}{NOT_WORD_BEFORE}(?:{alternatives}){NOT_WORD_AFTER}"
 
 
 def strip_ws(c: Column) -> Column:
-    """Strip every kind of white space from both ends; ``trim`` strips blanks only."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    """Strip every kind of white space from both ends; plain ``trim`` strips blanks only."""
+    return F.trim(c, F.lit(SPACE_CHARS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -51,7 +64,7 @@ def is_blank(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Runs of word characters, any script."""
-    return F.coalesce(F.regexp_count(c, F.lit(WORD + "+")), F.lit(0))
+    return F.coalesce(F.regexp_count(c, F.lit(WORD + "++")), F.lit(0))
 
 
 def count_words(c: Column) -> Column:
@@ -61,27 +74,26 @@ def count_words(c: Column) -> Column:
 
 def english_signal(c: Column) -> Column:
     """Share of Latin letters minus 0.08 per romanised-Hindi token, floor 0."""
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
+    # Counting what is left is far cheaper than gathering single characters.
+    letters = F.length(F.regexp_replace(c, r"[^\p{L}]+", ""))
     # U+0130 and U+212A lower-case into a-z and therefore count as Latin.
-    latin = F.regexp_count(c, F.lit(r"[A-Za-z\u0130\u212a]"))
+    others = F.length(F.regexp_replace(c, r"[\P{L}A-Za-z\u0130\u212a]+", ""))
     hits = F.regexp_count(c, F.lit(whole_words(ROMANISED_HINDI)))
-    return F.when(
-        letters > 0,
-        F.greatest(F.lit(0.0), latin / letters - F.lit(0.08) * hits),
-    ).otherwise(F.lit(0.0))
-
-
-def words_of(c: Column) -> Column:
-    return F.split(strip_ws(c), SPACE + "+")
+    share = F.try_divide(letters - others, letters)
+    return F.greatest(F.lit(0.0), share - F.lit(0.08) * hits)
 
 
 def truncate_words(c: Column, max_words: int = MAX_QUOTE_WORDS) -> Column:
-    """First words joined by single blanks plus an ellipsis; short text unchanged."""
-    words = words_of(c)
-    head = F.regexp_replace(F.array_join(F.slice(words, 1, max_words), " "), r"[,.;:]+$", "")
-    return F.when(F.size(words) <= max_words, strip_ws(c)).otherwise(
-        F.concat(head, F.lit(ELLIPSIS))
+    """First words joined by single blanks plus an ellipsis; short text unchanged.
+
+    Both patterns stop after ``max_words``, however long the text.
+    """
+    longer = c.rlike(rf"^{SPACE}*+(?:{NOT_SPACE}++{SPACE}++){{{max_words}}}{NOT_SPACE}")
+    head = F.regexp_extract(
+        c, rf"^{SPACE}*+((?:{NOT_SPACE}++{SPACE}++){{{max_words - 1}}}{NOT_SPACE}++)", 1
     )
+    joined = F.regexp_replace(F.regexp_replace(head, SPACE + "+", " "), r"[,.;:]+$", "")
+    return F.when(longer, F.concat(joined, F.lit(ELLIPSIS))).otherwise(strip_ws(c))
 
 
 def unwrap_quotes(c: Column) -> Column:

@@ -26,7 +26,7 @@ def rolling_budget(
     log is cut into minutes instead: every call also goes to the next minute as
     context, so each minute holds all a 60-second look-back can reach.
     """
-    copies = calls.select("*", F.unix_micros("ts").alias("__t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("__ahead"))
+    copies = calls.select("*", F.unix_micros(F.col("ts").cast("timestamp")).alias("__t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("__ahead"))
     placed = copies.withColumn("__minute", F.floor(F.col("__t") / F.lit(WINDOW_MICROS)) + F.col("__ahead"))
     by = W.partitionBy(key, "__minute").orderBy("__t")
     look_back = by.rangeBetween(-WINDOW_MICROS, 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxboard.functions.keywords import keyword_scores, score_of
@@ -91,20 +92,19 @@ def select_quotes(
     The best fitting candidate of each theme comes first, in theme order; after
     those, three ever weaker requirements on theme hits and English signal.
     """
-    rows = quote_features(candidates, vocab)
     fluent = F.col("signal") >= ENGLISH_SIGNAL_FLOOR
     strong = fluent & (F.col("theme_hits") >= 1)
     tier = F.when(strong, 1).when(fluent, 2).otherwise(3)
-    rows = rows.withColumn("tier", tier)
-    # At most max_per_theme rows per theme are left here.
-    best = first_per(rows.filter(F.col("tier") == 1), [*keys, "theme_id"], quote_order()).select(
-        *keys, "id", F.lit(True).alias("__best")
+    # At most max_per_theme candidates share a theme, so these windows stay small.
+    place = F.row_number().over(W.partitionBy(*keys, "theme_id", "tier").orderBy(*quote_order()))
+    rows = (
+        quote_features(candidates, vocab)
+        .withColumn("tier", tier)
+        .withColumn("leading", (F.col("tier") == 1) & (place == 1))
     )
-    rows = rows.join(best, [*keys, "id"], "left")
-    leading = F.coalesce("__best", F.lit(False))
     order = [
-        F.when(leading, 0).otherwise(1),
-        F.when(leading, F.col("theme_rank")).otherwise(F.col("tier")),
+        F.when(F.col("leading"), 0).otherwise(1),
+        F.when(F.col("leading"), F.col("theme_rank")).otherwise(F.col("tier")),
         *quote_order(),
     ]
     picked = top_ranked(rows, keys, order, n, "quote_rank")
@@ -123,27 +123,38 @@ def pad_quotes(
 ) -> DataFrame:
     """Fill every group up to ``n`` quotes from its remaining reviews.
 
-    ``groups`` lists the groups. Only reviews of groups that fall short are
-    read; ids and wordings already used are left out, and of equal wordings the
-    first counts.
+    ``groups`` lists the groups. Only reviews of groups that fall short go on;
+    ids and wordings already used are left out, and of equal wordings the first
+    counts.
     """
-    have = picked.groupBy(*keys).agg(F.count("*").alias("__have"))
+    # At most n picked quotes per group.
+    used = picked.groupBy(*keys).agg(
+        F.count("*").alias("__have"),
+        F.collect_list("id").alias("__ids"),
+        F.collect_list(normalise_needle(F.col("quote"))).alias("__needles"),
+    )
+    none = F.array().cast("array<string>")
     short = (
         groups.select(*keys)
         .distinct()
-        .join(have, list(keys), "left")
-        .select(*keys, F.coalesce("__have", F.lit(0)).alias("__have"))
+        .join(used, list(keys), "left")
+        .select(
+            *keys,
+            F.coalesce("__have", F.lit(0)).alias("__have"),
+            F.coalesce("__ids", none).alias("__ids"),
+            F.coalesce("__needles", none).alias("__needles"),
+        )
         .filter(F.col("__have") < n)
     )
-    used = picked.select(*keys, "id", normalise_needle(F.col("quote")).alias("__needle"))
     order = [rating_sort(F.col("rating")), F.col("__words").desc(), F.col("id")]
     extra_columns = [c for c in ("theme_id",) if c in reviews.columns]
     pool = (
         reviews.join(short, list(keys))
-        .join(used.select(*keys, "id"), [*keys, "id"], "left_anti")
+        .filter(~F.array_contains("__ids", F.col("id")))
         .select(
             *keys,
             "__have",
+            "__needles",
             "id",
             *extra_columns,
             "rating",
@@ -151,8 +162,8 @@ def pad_quotes(
             truncate_words(F.col("text")).alias("quote"),
         )
         .withColumn("__needle", normalise_needle(F.col("quote")))
-        .filter(F.col("__needle") != "")
-        .join(used.select(*keys, "__needle"), [*keys, "__needle"], "left_anti")
+        .filter((F.col("__needle") != "") & ~F.array_contains("__needles", F.col("__needle")))
+        .drop("__needles")
     )
     # Copies are cut per wording before the shuffle, then n rows per group.
     fresh = first_per(pool, [*keys, "__needle"], order)
@@ -235,14 +246,15 @@ def _inner_tokens(needle: Column) -> Column:
     return _tokens(F.regexp_replace(needle, rf"^{_TOKEN}|{_TOKEN}$", ""))
 
 
+def _gram_hash(tokens: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(tokens, i + j) for j in range(GRAM_WORDS)])
+
+
 def _word_grams(tokens: Column) -> Column:
-    """Hashes of all runs of neighbouring tokens, each once."""
+    """Hashes of all runs of neighbouring tokens, each once. ``tokens`` is a plain column."""
     last = F.size(tokens) - GRAM_WORDS
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(GRAM_WORDS)]),
-    )
-    return F.array_distinct(F.when(last >= 0, hashes))
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: _gram_hash(tokens, i))
+    return F.when(last >= 0, F.array_distinct(hashes))
 
 
 def _anchor(tokens: Column) -> Column:
@@ -251,29 +263,23 @@ def _anchor(tokens: Column) -> Column:
         F.sequence(F.lit(0), F.size(tokens) - GRAM_WORDS),
         lambda i: F.struct(
             sum((F.length(F.get(tokens, i + j)) for j in range(GRAM_WORDS)), F.lit(0)).alias("letters"),
-            F.xxhash64(*[F.get(tokens, i + j) for j in range(GRAM_WORDS)]).alias("gram"),
+            _gram_hash(tokens, i).alias("gram"),
         ),
     )
     return F.array_max(runs)["gram"]
 
 
-def _char_grams(text: Column, lengths: list[int]) -> Column:
-    chars = F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0))
-    return F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))),
-                        lambda i, n=n: F.concat(
-                            *[F.coalesce(F.get(chars, i + j), F.lit("")) for j in range(n)]
-                        ),
-                    )
-                    for n in lengths
-                ]
-            )
+def _char_grams(chars: Column, lengths: list[int]) -> Column:
+    """All runs of the given numbers of characters, each once. ``chars`` is a plain column."""
+
+    def runs(n: int) -> Column:
+        last = F.size(chars) - n
+        joined = F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(chars, i + 1, n), "")
         )
-    )
+        return F.when(last >= 0, joined).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))
 
 
 def _found_needles(grams: DataFrame, anchors: DataFrame, texts: DataFrame) -> DataFrame:
@@ -311,7 +317,11 @@ def verbatim_in_corpus(
     texts = corpus.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
     by_words = F.size("__tokens") >= GRAM_WORDS
     anchors = wanted.filter(by_words).select("__needle", _anchor(F.col("__tokens")).alias("__gram"))
-    grams = texts.select("__id", F.explode(_word_grams(_tokens(F.col("__text")))).alias("__gram"))
+    # Tokens are a column before they are indexed; inside a lambda they would be
+    # split again for every position.
+    grams = texts.select("__id", _tokens(F.col("__text")).alias("__t")).select(
+        "__id", F.explode(_word_grams(F.col("__t"))).alias("__gram")
+    )
     found = _found_needles(grams, anchors, texts)
     short = wanted.filter(~by_words).select(
         "__needle", F.substring("__needle", 1, CHAR_GRAM).alias("__gram")
@@ -319,7 +329,9 @@ def verbatim_in_corpus(
     # At most CHAR_GRAM distinct lengths.
     lengths = sorted(r.n for r in short.select(F.length("__gram").alias("n")).distinct().collect())
     if lengths:
-        chars = texts.select("__id", F.explode(_char_grams(F.col("__text"), lengths)).alias("__gram"))
+        chars = texts.select(
+            "__id", F.regexp_extract_all("__text", F.lit("(?s)."), F.lit(0)).alias("__c")
+        ).select("__id", F.explode(_char_grams(F.col("__c"), lengths)).alias("__gram"))
         found = found.unionByName(_found_needles(chars, short, texts))
     hits = found.distinct().withColumn("__found", F.lit(True))
     return (

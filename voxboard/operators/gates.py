@@ -8,8 +8,6 @@ reviews are counted there and listed row by row by ``source_violations``.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +31,7 @@ GATE_NAMES = ["window", "theme_count", "quotes", "actions", "length", "privacy",
 MIN_ACTION_WORDS = 4
 MAX_THEMES = 5
 
-_NO_ERRORS = "array<string>"
+_STRINGS = "array<string>"
 
 
 def _errors(*messages: Column) -> Column:
@@ -106,7 +104,17 @@ def review_profile(
     )
 
 
-def window_gate(profile: DataFrame, keys: list[str]) -> DataFrame:
+def _gate(name: str, errors: Column, detail: Column) -> Column:
+    return F.struct(
+        F.lit(GATE_NAMES.index(name) + 1).alias("ordinal"),
+        F.lit(name).alias("name"),
+        (F.size(errors) == 0).alias("ok"),
+        detail.alias("detail"),
+        errors.alias("errors"),
+    )
+
+
+def window_gate() -> Column:
     """Dates inside the window with two days of slack, and no span above the cap."""
     span = F.datediff("date_max", "date_min")
     errors = _errors(
@@ -127,37 +135,27 @@ def window_gate(profile: DataFrame, keys: list[str]) -> DataFrame:
             ),
         ),
     )
-    errors = F.when(F.coalesce("n_reviews", F.lit(0)) == 0, F.array(F.lit("no reviews loaded"))).otherwise(errors)
-    detail = F.when(
-        F.col("n_reviews") > 0,
-        F.format_string(
-            "%s -> %s (%d reviews)",
-            F.col("date_min").cast("string"),
-            F.col("date_max").cast("string"),
-            "n_reviews",
-        ),
-    ).otherwise("no reviews")
-    return _gate(profile, keys, "window", errors, detail)
-
-
-def _gate(df: DataFrame, keys: list[str], name: str, errors: Column, detail: Column) -> DataFrame:
-    return df.select(
-        *keys,
-        F.lit(GATE_NAMES.index(name) + 1).alias("ordinal"),
-        F.lit(name).alias("name"),
-        (F.size(errors) == 0).alias("ok"),
-        detail.alias("detail"),
-        errors.alias("errors"),
+    none = F.coalesce("n_reviews", F.lit(0)) == 0
+    detail = F.format_string(
+        "%s -> %s (%d reviews)",
+        F.col("date_min").cast("string"),
+        F.col("date_max").cast("string"),
+        "n_reviews",
+    )
+    return _gate(
+        "window",
+        F.when(none, F.array(F.lit("no reviews loaded"))).otherwise(errors),
+        F.when(none, F.lit("no reviews")).otherwise(detail),
     )
 
 
-def source_gate(profile: DataFrame, keys: list[str]) -> DataFrame:
+def source_gate() -> Column:
     errors = _errors(
         F.when(F.coalesce("n_reviews", F.lit(0)) == 0, F.lit("no reviews loaded")),
         F.when(F.col("n_bad_source") > 0, F.format_string("%d review(s): source must be 'play'", "n_bad_source")),
         F.when(F.col("n_bad_language") > 0, F.format_string("%d review(s): language must be 'en'", "n_bad_language")),
     )
-    return _gate(profile, keys, "source", errors, F.lit("Play Store only; language=en"))
+    return _gate("source", errors, F.lit("Play Store only; language=en"))
 
 
 def theme_errors(themes: DataFrame, keys: list[str], vocab: Vocabulary = VOCABULARY) -> DataFrame:
@@ -192,13 +190,12 @@ def theme_errors(themes: DataFrame, keys: list[str], vocab: Vocabulary = VOCABUL
     )
 
 
-def theme_gate(reports: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
+def theme_gate() -> Column:
     n = F.coalesce("n_themes", F.lit(0).cast("long"))
     shown = F.size("themes")
-    rows = reports.join(errors, list(keys), "left")
-    every = F.concat(
+    errors = F.concat(
         _errors(F.when(n > MAX_THEMES, F.format_string(f"theme count %d exceeds cap {MAX_THEMES}", n))),
-        F.coalesce("theme_errors", F.array().cast(_NO_ERRORS)),
+        _strings("theme_errors"),
         _errors(
             F.when(
                 F.col("exact") & (shown != TOP_K),
@@ -207,8 +204,7 @@ def theme_gate(reports: DataFrame, errors: DataFrame, keys: list[str]) -> DataFr
             F.when(n > MAX_THEMES, F.format_string(f"clustered theme count %d exceeds cap {MAX_THEMES}", n)),
         ),
     )
-    detail = F.format_string("%d clustered; report top %d", n, shown)
-    return _gate(rows, keys, "theme_count", every, detail)
+    return _gate("theme_count", errors, F.format_string("%d clustered; report top %d", n, shown))
 
 
 def quote_flags(reports: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFrame:
@@ -225,69 +221,52 @@ def quote_flags(reports: DataFrame, reviews: DataFrame, keys: list[str]) -> Data
     return verbatim_in_group(quotes, reviews, keys)
 
 
-def quote_gate(reports: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
+def quote_errors(flags: DataFrame, keys: list[str]) -> DataFrame:
     message = F.format_string("quote %d is not a verbatim substring of any review text", "place")
-    bad = flags.filter(~F.col("verbatim")).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("place", message.alias("message")))).alias("__bad")
-    )
-    rows = reports.join(bad, list(keys), "left")
+    found = F.array_sort(F.collect_list(F.struct("place", message.alias("message"))))
+    return flags.filter(~F.col("verbatim")).groupBy(*keys).agg(found["message"].alias("quote_errors"))
+
+
+def quote_gate() -> Column:
     n = F.size("quotes")
     errors = F.concat(
         _errors(F.when(F.col("exact") & (n != TOP_K), F.format_string(f"expected exactly {TOP_K} quotes, got %d", n))),
-        F.coalesce(F.col("__bad.message"), F.array().cast(_NO_ERRORS)),
+        _strings("quote_errors"),
     )
-    return _gate(rows, keys, "quotes", errors, F.format_string("%d quotes; verbatim checked against corpus", n))
+    return _gate("quotes", errors, F.format_string("%d quotes; verbatim checked against corpus", n))
 
 
-def action_gate(
-    reports: DataFrame, keys: list[str], observed: DataFrame | None = None, vocab: Vocabulary = VOCABULARY
-) -> DataFrame:
+def _strings(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast(_STRINGS))
+
+
+def action_gate(vocab: Vocabulary = VOCABULARY, with_themes: bool = True) -> Column:
     """Three concrete actions, each for a theme that was observed or is known."""
     n = F.size("actions")
-    per_action = F.flatten(
-        F.transform(
-            F.col("actions"),
-            lambda a, i: F.array_compact(
-                F.array(
-                    F.when(strip_ws(a) == "", F.format_string("action %d is empty", i + 1)).when(
-                        word_count(a) < MIN_ACTION_WORDS,
-                        F.format_string("action %d is too short to be a concrete next step", i + 1),
-                    )
-                )
-            ),
-        )
+    count = _errors(F.when(F.col("exact") & (n != TOP_K), F.format_string(f"expected exactly {TOP_K} actions, got %d", n)))
+    weak = F.transform(
+        "actions",
+        lambda a, i: F.when(strip_ws(a) == "", F.format_string("action %d is empty", i + 1)).when(
+            word_count(a) < MIN_ACTION_WORDS,
+            F.format_string("action %d is too short to be a concrete next step", i + 1),
+        ),
     )
-    rows = reports
-    known = F.array(*[F.lit(i) for i in vocab.ids])
-    if observed is not None:
-        seen = observed.groupBy(*keys).agg(F.collect_set("theme_id").alias("__seen"))
-        rows = rows.join(seen, list(keys), "left")
-        known = F.array_union(known, F.coalesce("__seen", F.array().cast(_NO_ERRORS)))
-    parts = [
-        _errors(F.when(F.col("exact") & (n != TOP_K), F.format_string(f"expected exactly {TOP_K} actions, got %d", n))),
-        per_action,
-    ]
-    if "action_themes" in reports.columns:
-        parts.append(
-            F.flatten(
-                F.transform(
-                    F.col("action_themes"),
-                    lambda t, i: F.array_compact(
-                        F.array(
-                            F.when(
-                                ~F.array_contains(known, t),
-                                F.format_string("action %d theme_id '%s' is not an observed/vocab theme", i + 1, t),
-                            )
-                        )
-                    ),
-                )
-            )
+    parts = [count, F.array_compact(weak)]
+    if with_themes:
+        known = F.array_union(F.array(*[F.lit(i) for i in vocab.ids]), _strings("seen"))
+        strange = F.transform(
+            "action_themes",
+            lambda t, i: F.when(
+                ~F.array_contains(known, t),
+                F.format_string("action %d theme_id '%s' is not an observed/vocab theme", i + 1, t),
+            ),
         )
-    return _gate(rows, keys, "actions", F.concat(*parts), F.format_string("%d actions", n))
+        parts.append(F.array_compact(strange))
+    return _gate("actions", F.concat(*parts), F.format_string("%d actions", n))
 
 
-def length_gate(reports: DataFrame, keys: list[str]) -> DataFrame:
-    words = word_count(F.col("body"))
+def length_gate() -> Column:
+    words = F.col("body_words")
     errors = _errors(
         F.when(words > WORD_LIMIT, F.format_string(f"report body word count %d exceeds {WORD_LIMIT}", words)),
         F.when(
@@ -295,46 +274,27 @@ def length_gate(reports: DataFrame, keys: list[str]) -> DataFrame:
             F.format_string("report word_count (%d) != computed body words (%d)", "word_count", words),
         ),
     )
-    return _gate(reports, keys, "length", errors, F.format_string(f"%d words (limit {WORD_LIMIT})", words))
+    return _gate("length", errors, F.format_string(f"%d words (limit {WORD_LIMIT})", words))
 
 
-def privacy_gate(
-    reports: DataFrame,
-    keys: list[str],
-    themes: DataFrame | None = None,
-    extra: list[Column] = (),
-    review_columns: list[str] = (),
-) -> DataFrame:
+def privacy_gate(extra: list[Column] = (), review_columns: list[str] = ()) -> Column:
     """No personal data in the report, the theme summaries and other texts."""
-    rows = reports
-    texts = F.array(F.col("body"))
-    if themes is not None:
-        summaries = themes.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct("ordinal", "summary"))).alias("__summaries")
-        )
-        rows = rows.join(summaries, list(keys), "left")
-        texts = F.concat(texts, F.coalesce(F.col("__summaries.summary"), F.array().cast(_NO_ERRORS)))
-    if extra:
-        texts = F.concat(texts, F.array(*extra))
-    per_text = F.flatten(
-        F.transform(
-            texts,
-            lambda t, i: F.transform(
-                pii_kinds(t),
-                lambda kind: F.format_string("artifact text %d contains possible PII (%s)", i + 1, kind),
-            ),
-        )
+    texts = F.concat(F.array("body"), _strings("summaries"), F.array(*extra).cast(_STRINGS))
+    per_text = F.transform(
+        texts,
+        lambda t, i: F.transform(
+            pii_kinds(t),
+            lambda kind: F.format_string("artifact text %d contains possible PII (%s)", i + 1, kind),
+        ),
     )
     leaked = sorted(set(review_columns) & set(PII_COLUMNS))
-    columns = F.array(*[F.lit(f"cleaned table retains personal columns: {leaked}")] if leaked else []).cast(_NO_ERRORS)
+    columns = [F.lit(f"cleaned table retains personal columns: {leaked}")] if leaked else []
     in_body = F.transform(
         pii_kinds(F.col("body")), lambda kind: F.format_string("report body contains possible PII (%s)", kind)
     )
     return _gate(
-        rows,
-        keys,
         "privacy",
-        F.concat(per_text, columns, in_body),
+        F.concat(F.flatten(per_text), F.array(*columns).cast(_STRINGS), in_body),
         F.lit("no usernames / emails / phones / device ids in artifacts"),
     )
 
@@ -352,8 +312,10 @@ def evaluate_gates(
 
     ``reports`` has themes, quotes, actions, body and word_count, and optionally
     quote_ids, action_themes and insufficient_signal; a report flagged as
-    insufficient may have fewer than three of each.
+    insufficient may have fewer than three of each. What the gates need is
+    joined to each report once, and all gates are read off that row.
     """
+    keys = list(keys)
     sparse = F.col("insufficient_signal") if "insufficient_signal" in reports.columns else F.lit(False)
     relaxed = F.coalesce(sparse, F.lit(False)) & (
         (F.size("quotes") < TOP_K) | (F.size("themes") < TOP_K)
@@ -362,17 +324,27 @@ def evaluate_gates(
     if "ordinal" not in themes.columns:
         position = F.array_position(F.array(*[F.lit(i) for i in vocab.ids]), F.col("theme_id"))
         themes = themes.withColumn("ordinal", position)
-    profile = rows.select(*keys).join(review_profile(reviews, keys, as_of, weeks), list(keys), "left")
+    observed = themes.groupBy(*keys).agg(
+        F.collect_set("theme_id").alias("seen"),
+        F.array_sort(F.collect_list(F.struct("ordinal", "summary")))["summary"].alias("summaries"),
+    )
+    facts = (
+        rows.join(review_profile(reviews, keys, as_of, weeks), keys, "left")
+        .join(theme_errors(themes, keys, vocab), keys, "left")
+        .join(observed, keys, "left")
+        .join(quote_errors(quote_flags(rows, reviews, keys), keys), keys, "left")
+        .withColumn("body_words", word_count(F.col("body")))
+    )
     gates = [
-        window_gate(profile, keys),
-        theme_gate(rows, theme_errors(themes, keys, vocab), keys),
-        quote_gate(rows, quote_flags(rows, reviews, keys), keys),
-        action_gate(rows, keys, themes, vocab),
-        length_gate(rows, keys),
-        privacy_gate(rows, keys, themes, review_columns=reviews.columns),
-        source_gate(profile, keys),
+        window_gate(),
+        theme_gate(),
+        quote_gate(),
+        action_gate(vocab, "action_themes" in reports.columns),
+        length_gate(),
+        privacy_gate(review_columns=reviews.columns),
+        source_gate(),
     ]
-    return reduce(DataFrame.unionByName, gates)
+    return facts.select(*keys, F.inline(F.array(*gates)))
 
 
 def gate_report(gates: DataFrame, keys: list[str]) -> DataFrame:
@@ -409,16 +381,15 @@ def sparse_warnings(reports: DataFrame) -> DataFrame:
                 F.lit("Exact 3/3/3 relaxed because the window is below the sparse floor."),
             ),
         ),
-    ).otherwise(F.array().cast(_NO_ERRORS))
+    ).otherwise(F.array().cast(_STRINGS))
     return reports.withColumn("warnings", warnings)
 
 
 def missing_report_gates(groups: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
     """A failed length gate for every group without a stored report."""
-    lost = groups.select(*keys).join(reports.select(*keys), list(keys), "left_anti")
-    return _gate(
-        lost, keys, "length", F.array(F.lit("report not found")), F.lit("report missing")
-    )
+    lost = groups.select(*keys).distinct().join(reports.select(*keys), list(keys), "left_anti")
+    gate = _gate("length", F.array(F.lit("report not found")), F.lit("report missing"))
+    return lost.select(*keys, F.inline(F.array(gate)))
 
 
 def evaluate_stored(

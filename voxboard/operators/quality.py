@@ -32,8 +32,9 @@ def min_words(df: DataFrame, n: int = MIN_WORDS) -> DataFrame:
 def is_latin_text(c: Column) -> Column:
     """No foreign script, some Latin letters, few others."""
     body = strip_ws(c)
-    latin = F.regexp_count(body, F.lit("[A-Za-z]"))
-    others = F.regexp_count(body, F.lit(r"[\p{L}\p{Nl}\p{No}&&[^A-Za-z]]"))
+    letters = F.length(F.regexp_replace(body, r"[^\p{L}]+", ""))
+    latin = letters - F.length(F.regexp_replace(body, r"[\P{L}A-Za-z]+", ""))
+    others = F.length(F.regexp_replace(body, r"[[^\p{L}\p{Nl}\p{No}]A-Za-z]+", ""))
     return F.coalesce(
         ~body.rlike(NON_LATIN_SCRIPT) & (latin > 0) & (others / latin <= MAX_OTHER_LETTERS),
         F.lit(False),

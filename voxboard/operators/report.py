@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxboard.functions.dates import iso_week_key, report_title
@@ -40,23 +41,21 @@ def pad_themes(
     """Top themes filled up to ``k`` from the vocabulary in order, with no reviews."""
     columns = ["theme_id", "label", "review_count", "avg_rating", "low_star_count", "summary"]
     real = top.select(*keys, F.lit(0).alias("__pad"), F.col("rank").alias("__at"), *columns)
-    spare = (
-        _vocabulary_rows(groups, keys, vocab)
-        .join(top.select(*keys, "theme_id"), [*keys, "theme_id"], "left_anti")
-        .select(
-            *keys,
-            F.lit(1).alias("__pad"),
-            F.col("ordinal").alias("__at"),
-            "theme_id",
-            "label",
-            F.lit(0).cast("long").alias("review_count"),
-            F.lit(None).cast("double").alias("avg_rating"),
-            F.lit(0).cast("long").alias("low_star_count"),
-            F.lit(EMPTY_THEME).alias("summary"),
-        )
+    spare = _vocabulary_rows(groups, keys, vocab).select(
+        *keys,
+        F.lit(1).alias("__pad"),
+        F.col("ordinal").alias("__at"),
+        "theme_id",
+        "label",
+        F.lit(0).cast("long").alias("review_count"),
+        F.lit(None).cast("double").alias("avg_rating"),
+        F.lit(0).cast("long").alias("low_star_count"),
+        F.lit(EMPTY_THEME).alias("summary"),
     )
-    both = real.unionByName(spare)
-    return top_ranked(both, keys, [F.col("__pad"), F.col("__at")], k, "rank").drop("__pad", "__at")
+    order = [F.col("__pad"), F.col("__at")]
+    # A spare theme gives way to the real one of the same id.
+    both = first_per(real.unionByName(spare), [*keys, "theme_id"], order)
+    return top_ranked(both, keys, order, k, "rank").drop("__pad", "__at")
 
 
 def default_actions(top: DataFrame, keys: list[str], vocab: Vocabulary = VOCABULARY) -> DataFrame:
@@ -95,11 +94,11 @@ def pad_actions(
         F.col("default_action").alias("action"),
     )
     order = [F.col("__tier"), F.col("__at")]
-    defaults = from_top.unionByName(from_vocab).join(
-        given.select(*keys, "theme_id"), [*keys, "theme_id"], "left_anti"
-    )
-    both = given.unionByName(first_per(defaults, [*keys, "theme_id"], order))
-    return top_ranked(both, keys, order, n, "action_rank").drop("__tier", "__at")
+    # A handful of rows per theme: given actions come first and push out defaults.
+    place = F.row_number().over(W.partitionBy(*keys, "theme_id").orderBy(*order))
+    both = given.unionByName(from_top).unionByName(from_vocab).withColumn("__n", place)
+    kept = both.filter((F.col("__tier") == 0) | (F.col("__n") == 1)).drop("__n")
+    return top_ranked(kept, keys, order, n, "action_rank").drop("__tier", "__at")
 
 
 def _numbered(items: Column) -> Column:
@@ -122,22 +121,24 @@ def _document(heading: Column, themes: Column, quotes: Column, actions: Column)
 
 
 def compose(
+    df: DataFrame,
     product: Column,
-    week_ending: Column,
-    themes: Column,
-    quotes: Column,
-    actions: Column,
+    out: str = "body",
+    themes: str = "themes",
+    quotes: str = "quotes",
+    actions: str = "actions",
     report_name: str = REPORT_NAME,
-) -> Column:
-    """Report text; above the word limit without numbers and with shorter items.
+) -> DataFrame:
+    """Add the report text; above the word limit without numbers and with shorter items.
 
     ``themes`` is an array of structs with label, review_count and avg_rating.
+    Both lengths are columns of their own, so each is written once.
     """
     heading = F.concat(
         F.lit("# "),
         product,
         F.lit(f" {report_name} — Week Ending "),
-        week_ending.cast("string"),
+        F.col("week_ending").cast("string"),
     )
     detailed = F.transform(
         themes,
@@ -150,33 +151,40 @@ def compose(
             F.lit(")"),
         ),
     )
-    full = _document(heading, detailed, quotes, actions)
-    brief = _document(
-        heading,
-        F.transform(themes, lambda t: t["label"]),
-        F.transform(quotes, lambda q: truncate_words(q, 28)),
-        F.transform(actions, lambda a: truncate_words(a, 22)),
+    labels = F.transform(themes, lambda t: t["label"])
+    both = df.withColumns(
+        {
+            "__full": _document(heading, detailed, F.col(quotes), F.col(actions)),
+            "__brief": _document(
+                heading,
+                labels,
+                F.transform(quotes, lambda q: truncate_words(q, 28)),
+                F.transform(actions, lambda a: truncate_words(a, 22)),
+            ),
+        }
     )
-    return F.when(word_count(full) > WORD_LIMIT, brief).otherwise(full)
+    body = F.when(word_count(F.col("__full")) > WORD_LIMIT, F.col("__brief")).otherwise(F.col("__full"))
+    return both.withColumn(out, body).drop("__full", "__brief")
 
 
-def _with_banner(body: Column, banner: Column) -> Column:
-    lines = lines_of(body)
+def _with_banner(df: DataFrame, body: str, banner: Column, out: str) -> DataFrame:
+    lines = F.col("__lines")
     rest = F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n")
-    return F.concat(F.get(lines, F.lit(0)), F.lit("\n\n"), banner, F.regexp_replace(rest, r"^\n+", ""))
+    text = F.concat(F.get(lines, F.lit(0)), F.lit("\n\n"), banner, F.regexp_replace(rest, r"^\n+", ""))
+    return df.withColumn("__lines", lines_of(F.col(body))).withColumn(out, text).drop("__lines")
 
 
 def compose_sparse(
+    df: DataFrame,
     product: Column,
-    week_ending: Column,
-    themes: Column,
-    quotes: Column,
-    actions: Column,
-    review_count: Column,
-    weeks: Column,
+    out: str = "body",
+    themes: str = "themes",
+    quotes: str = "quotes",
+    actions: str = "actions",
     report_name: str = REPORT_NAME,
-) -> Column:
+) -> DataFrame:
     """The report of a week with too few reviews, with a warning under the title."""
+    review_count, weeks = F.col("review_count"), F.col("weeks_used")
     long_banner = F.format_string(
         "**Insufficient signal:** only %d Play Store reviews in the "
         f"last %d weeks after widening toward {MAX_WEEKS}. "
@@ -189,27 +197,47 @@ def compose_sparse(
         review_count,
         weeks,
     )
-    full = _with_banner(
-        compose(product, week_ending, themes, quotes, actions, report_name), long_banner
+    rows = compose(df, product, "__long", themes, quotes, actions, report_name)
+    rows = _with_banner(rows, "__long", long_banner, "__long")
+    rows = rows.withColumns(
+        {
+            "__q": F.transform(quotes, lambda q: truncate_words(q, 20)),
+            "__a": F.transform(actions, lambda a: truncate_words(a, 16)),
+        }
     )
-    brief = _with_banner(
-        compose(
-            product,
-            week_ending,
-            themes,
-            F.transform(quotes, lambda q: truncate_words(q, 20)),
-            F.transform(actions, lambda a: truncate_words(a, 16)),
-            report_name,
-        ),
-        short_banner,
+    rows = compose(rows, product, "__short", themes, "__q", "__a", report_name)
+    rows = _with_banner(rows, "__short", short_banner, "__short")
+    body = F.when(word_count(F.col("__long")) > WORD_LIMIT, F.col("__short")).otherwise(F.col("__long"))
+    return rows.withColumn(out, body).drop("__long", "__short", "__q", "__a")
+
+
+def _parts(top: DataFrame, quotes: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
+    """Themes, quotes and actions of each group as three arrays, in one shuffle."""
+    fields = {"rank": "int", "theme_id": "string", "label": "string", "review_count": "long"}
+    fields |= {"avg_rating": "double", "id": "string", "text": "string"}
+
+    def rows(df: DataFrame, kind: str, **names: str) -> DataFrame:
+        values = [
+            (F.col(names[f]) if f in names else F.lit(None)).cast(t).alias(f) for f, t in fields.items()
+        ]
+        return df.select(*keys, F.lit(kind).alias("kind"), F.struct(*values).alias("part"))
+
+    named = {f: f for f in ("rank", "theme_id", "label", "review_count", "avg_rating")}
+    every = (
+        rows(top, "theme", **named)
+        .unionByName(rows(quotes, "quote", rank="quote_rank", id="id", text="quote", theme_id="theme_id"))
+        .unionByName(rows(actions, "action", rank="action_rank", text="action", theme_id="theme_id"))
     )
-    return F.when(word_count(full) > WORD_LIMIT, brief).otherwise(full)
 
+    def listed(kind: str) -> Column:
+        # At most TOP_K short rows per group and kind.
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("part"))))
 
-def _list_by(df: DataFrame, keys: list[str], rank: str, columns: list[str], name: str) -> DataFrame:
-    # At most TOP_K short rows per group.
-    rows = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), *columns)))
-    return df.groupBy(*keys).agg(rows.alias(name))
+    return every.groupBy(*keys).agg(
+        listed("theme").alias("__themes"),
+        listed("quote").alias("__quotes"),
+        listed("action").alias("__actions"),
+    )
 
 
 def assemble(
@@ -229,37 +257,27 @@ def assemble(
     """
     product = F.col("product_id") if product is None else product
     empty = F.array().cast("array<string>")
-    joined = (
-        groups.join(
-            _list_by(top, keys, "rank", ["theme_id", "label", "review_count", "avg_rating"], "__themes"),
-            list(keys),
-            "left",
-        )
-        .join(_list_by(quotes, keys, "quote_rank", ["id", "quote", "theme_id"], "__quotes"), list(keys), "left")
-        .join(_list_by(actions, keys, "action_rank", ["theme_id", "action"], "__actions"), list(keys), "left")
-    )
+    joined = groups.join(_parts(top, quotes, actions, keys), list(keys), "left")
     rows = joined.select(
         *groups.columns,
         "__themes",
         F.col("__themes.label").alias("themes"),
         F.col("__themes.theme_id").alias("top_3"),
-        F.coalesce(F.col("__quotes.quote"), empty).alias("quotes"),
+        F.coalesce(F.col("__quotes.text"), empty).alias("quotes"),
         F.coalesce(F.col("__quotes.id"), empty).alias("quote_ids"),
-        F.coalesce(F.col("__actions.action"), empty).alias("actions"),
+        F.coalesce(F.col("__actions.text"), empty).alias("actions"),
         F.coalesce(F.col("__actions.theme_id"), empty).alias("action_themes"),
     )
-    inputs = [product, F.col("week_ending"), F.col("__themes"), F.col("quotes"), F.col("actions")]
-    body = F.when(
-        F.col("insufficient_signal"),
-        compose_sparse(*inputs, F.col("review_count"), F.col("weeks_used"), report_name),
-    ).otherwise(compose(*inputs, report_name))
-    named = rows.withColumn("body", body).drop("__themes")
-    return named.select(
-        "*",
-        word_count(F.col("body")).alias("word_count"),
-        *([] if "week_key" in named.columns else [iso_week_key(F.col("week_ending")).alias("week_key")]),
-    ).withColumn(
-        "title", report_title(product, F.col("week_key"), F.col("week_ending"), report_name)
+    rows = compose(rows, product, "__normal", "__themes", report_name=report_name)
+    rows = compose_sparse(rows, product, "__sparse", "__themes", report_name=report_name)
+    body = F.when(F.col("insufficient_signal"), F.col("__sparse")).otherwise(F.col("__normal"))
+    if "week_key" not in rows.columns:
+        rows = rows.withColumn("week_key", iso_week_key(F.col("week_ending")))
+    title = report_title(product, F.col("week_key"), F.col("week_ending"), report_name)
+    return (
+        rows.withColumn("body", body)
+        .drop("__normal", "__sparse", "__themes")
+        .withColumns({"word_count": word_count(F.col("body")), "title": title})
     )
 
 
