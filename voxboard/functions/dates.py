@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxboard.functions.text import strip_ws
+from voxboard.functions.text import bind, strip_ws
 from voxboard.model import MAX_WEEKS, MIN_WEEKS
 
 _CLOCK = (
@@ -26,46 +26,53 @@ MIN_EPOCH = -62135596800.0
 MAX_EPOCH = 253402300800.0
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.try_to_date(text, "yyyy-MM-dd")
-
-
-def _by_pattern(text: Column, pattern: str, y: int, m: int, d: int) -> Column:
-    return F.when(
-        text.rlike(pattern),
-        _date(*[F.regexp_extract(text, pattern, g) for g in (y, m, d)]),
-    )
-
-
 def _by_iso_week(text: Column) -> Column:
-    year = F.regexp_extract(text, _ISO_WEEK, 1)
-    week = F.regexp_extract(text, _ISO_WEEK, 3).cast("int")
-    day = F.coalesce(F.nullif(F.regexp_extract(text, _ISO_WEEK, 4), F.lit("")), F.lit("1"))
-    first_monday = F.trunc(_date(year, F.lit("01"), F.lit("04")), "week")
-    monday = F.date_add(first_monday, (week - 1) * 7)
-    in_year = (week >= 1) & (F.extract(F.lit("YEAROFWEEK"), monday) == year.cast("int"))
-    return F.when(
-        text.rlike(_ISO_WEEK),
-        F.when(in_year, F.date_add(monday, day.cast("int") - 1)),
-    )
+    """Date of ``2026-W37`` or ``2026-W37-2``; null for weeks a year does not have."""
+
+    def monday_of(t: Column) -> Column:
+        year = F.regexp_extract(t, _ISO_WEEK, 1)
+        first = F.trunc(F.try_to_date(F.concat(year, F.lit("-01-04")), "yyyy-MM-dd"), "week")
+        week = F.regexp_extract(t, _ISO_WEEK, 3).cast("int")
+        day = F.coalesce(F.regexp_extract(t, _ISO_WEEK, 4).try_cast("int"), F.lit(1))
+        return F.struct(
+            F.date_add(first, (week - 1) * 7).alias("monday"),
+            week.alias("week"),
+            day.alias("day"),
+            year.cast("int").alias("year"),
+        )
+
+    def settle(w: Column) -> Column:
+        in_year = (w["week"] >= 1) & (F.extract(F.lit("YEAROFWEEK"), w["monday"]) == w["year"])
+        return F.when(in_year, F.date_add(w["monday"], w["day"] - 1))
+
+    return bind(text, lambda t: F.when(t.rlike(_ISO_WEEK), bind(monday_of(t), settle)))
+
+
+# Each accepted form and the year-month-day text it is rewritten to. The loose
+# forms look at the first 19 characters only.
+_EXACT_FORMS = [(_ISO_EXTENDED, "$1-$2-$3"), (_ISO_BASIC, "$1-$2-$3")]
+_LOOSE_FORMS = [
+    (rf"^(\d{{4}})-{_MONTH}-{_DAY}(?:T|\s+){_LOOSE_CLOCK}$", "$1-$2-$3"),
+    (rf"^(\d{{4}})/{_MONTH}/{_DAY}$", "$1-$2-$3"),
+    (rf"^{_DAY}-{_MONTH}-(\d{{4}})$", "$3-$2-$1"),
+    (rf"^{_MONTH}/{_DAY}/(\d{{4}})$", "$3-$1-$2"),
+]
 
 
 def parse_date_text(c: Column) -> Column:
-    """The written local date of a date string; an offset never shifts the day."""
+    """The written local date of a date string; an offset never shifts the day.
+
+    The forms rewrite the text one after the other, so each is tried once and
+    a text that fits none of them is no date.
+    """
     text = strip_ws(c)
-    head = F.substring(text, 1, 19)
-    return F.coalesce(
-        _by_pattern(text, _ISO_EXTENDED, 1, 2, 3),
-        _by_pattern(text, _ISO_BASIC, 1, 2, 3),
-        _by_iso_week(text),
-        _by_pattern(head, rf"^(\d{{4}})-{_MONTH}-{_DAY}$", 1, 2, 3),
-        _by_pattern(head, rf"^(\d{{4}})/{_MONTH}/{_DAY}$", 1, 2, 3),
-        _by_pattern(head, rf"^{_DAY}-{_MONTH}-(\d{{4}})$", 3, 2, 1),
-        _by_pattern(head, rf"^{_MONTH}/{_DAY}/(\d{{4}})$", 3, 1, 2),
-        _by_pattern(head, rf"^(\d{{4}})-{_MONTH}-{_DAY}\s+{_LOOSE_CLOCK}$", 1, 2, 3),
-        _by_pattern(head, rf"^(\d{{4}})-{_MONTH}-{_DAY}T{_LOOSE_CLOCK}$", 1, 2, 3),
-    )
+    plain = text
+    for pattern, form in _EXACT_FORMS:
+        plain = F.regexp_replace(plain, pattern, form)
+    plain = F.substring(plain, 1, 19)
+    for pattern, form in _LOOSE_FORMS:
+        plain = F.regexp_replace(plain, pattern, form)
+    return F.coalesce(F.try_to_date(plain, "yyyy-M-d"), _by_iso_week(text))
 
 
 def parse_date_number(c: Column) -> Column:

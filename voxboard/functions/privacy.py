@@ -9,14 +9,15 @@ from voxboard.functions.text import (
     BOUNDARY,
     NOT_WORD_AFTER,
     NOT_WORD_BEFORE,
+    bind,
     blank_to_null,
 )
 
 # Personal-data patterns and their replacement tokens.
 EMAIL = rf"(?iu){BOUNDARY}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{BOUNDARY}"
-MOBILE = r"(?U)(?<!\d)(?:\+?91[\s-]*)?[6-9]\d{9}(?!\d)"
+MOBILE = r"(?U)(?=[+\d])(?<!\d)(?:\+?91[\s-]*)?[6-9]\d{9}(?!\d)"
 PHONE = MOBILE + (
-    r"|(?<!\d)\+?\d{1,3}[\s.-]?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}(?!\d)"
+    r"|(?=[+\d])(?<!\d)\+?\d{1,3}[\s.-]?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}(?!\d)"
 )
 _UUID = (
     rf"{NOT_WORD_BEFORE}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-"
@@ -34,14 +35,8 @@ DEVICE_TOKEN = "[device_id]"
 
 
 def redact_pii(c: Column) -> Column:
-    """Emails, then phones, then device ids replaced by tokens; blank becomes null.
-
-    Each pass runs only where a character it cannot do without is present, so
-    clean text costs three substring searches.
-    """
-    text = F.when(c.contains("@"), F.regexp_replace(c, EMAIL, EMAIL_TOKEN)).otherwise(c)
-    digits = F.regexp_replace(text, PHONE, PHONE_TOKEN)
-    text = F.when(text.rlike(r"\p{Nd}"), digits).otherwise(text)
+    """Emails, then phones, then device ids replaced by tokens; blank becomes null."""
+    text = F.regexp_replace(redact_emails(c), PHONE, PHONE_TOKEN)
     return blank_to_null(F.regexp_replace(text, DEVICE_ID, DEVICE_TOKEN))
 
 
@@ -53,11 +48,14 @@ def pii_kinds(c: Column) -> Column:
     """Kinds of personal data in a text; redaction tokens themselves are clean."""
     text = F.coalesce(c, F.lit(""))
     residual = F.when(text.contains("["), F.regexp_replace(text, REDACTED, " ")).otherwise(text)
-    at = text.contains("@")
-    found = F.array(
-        F.when(at & residual.rlike(EMAIL), F.lit("email pattern")),
-        F.when(residual.rlike(MOBILE), F.lit("phone pattern")),
-        F.when(residual.rlike(DEVICE_ID_SCAN), F.lit("device id pattern")),
-        F.when(at & residual.rlike(HANDLE), F.lit("username handle")),
-    )
-    return F.array_compact(found)
+
+    def kinds(t: Column) -> Column:
+        at = t.contains("@")
+        return F.array(
+            F.when(at & t.rlike(EMAIL), F.lit("email pattern")),
+            F.when(t.rlike(MOBILE), F.lit("phone pattern")),
+            F.when(t.rlike(DEVICE_ID_SCAN), F.lit("device id pattern")),
+            F.when(at & t.rlike(HANDLE), F.lit("username handle")),
+        )
+
+    return F.array_compact(bind(residual, kinds))

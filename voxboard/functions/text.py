@@ -6,6 +6,8 @@ Java's ``\\w``, ``\\s`` and ``\\b`` follow the JDK version and flags.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def strip_ws(c: Column) -> Column:
     return F.trim(c, F.lit(SPACE_CHARS))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(strip_ws(c), F.lit(""))
 

@@ -10,7 +10,6 @@ from voxboard.functions.keywords import keyword_scores, score_of
 from voxboard.functions.numbers import rating_sort
 from voxboard.functions.text import (
     english_signal,
-    is_verbatim,
     normalise_needle,
     truncate_words,
     unwrap_quotes,
@@ -26,6 +25,8 @@ from voxboard.model import (
     VOCABULARY,
     Vocabulary,
 )
+from voxboard.operators.barrier import compute_once
+from voxboard.operators.joins import join_small
 from voxboard.operators.ranking import first_per, top_ranked
 
 QUOTE_LENGTH_CAP = 240
@@ -149,7 +150,7 @@ def pad_quotes(
     order = [rating_sort(F.col("rating")), F.col("__words").desc(), F.col("id")]
     extra_columns = [c for c in ("theme_id",) if c in reviews.columns]
     pool = (
-        reviews.join(short, list(keys))
+        join_small(reviews, short, keys)
         .filter(~F.array_contains("__ids", F.col("id")))
         .select(
             *keys,
@@ -158,10 +159,14 @@ def pad_quotes(
             "id",
             *extra_columns,
             "rating",
-            word_count(F.col("text")).alias("__words"),
-            truncate_words(F.col("text")).alias("quote"),
+            "text",
         )
-        .withColumn("__needle", normalise_needle(F.col("quote")))
+    )
+    pool = compute_once(
+        pool, {"__words": word_count(F.col("text")), "quote": truncate_words(F.col("text"))}
+    ).drop("text")
+    pool = (
+        compute_once(pool, {"__needle": normalise_needle(F.col("quote"))})
         .filter((F.col("__needle") != "") & ~F.array_contains("__needles", F.col("__needle")))
         .drop("__needles")
     )
@@ -185,33 +190,27 @@ def verbatim_in_group(quotes: DataFrame, reviews: DataFrame, keys: list[str]) ->
     """Add ``verbatim``: does the quote occur in any review of its group.
 
     A quote that names its review is first looked up there by id; only quotes
-    that fail are compared with the other reviews of the group, of which the
-    streaming side of the join is the reviews, so a hot group can be split.
+    that fail are compared with the other reviews of the group. Reviews are the
+    side that streams by, so a hot group never comes together in one task.
     """
-    rows = quotes.withColumn("__needle", normalise_needle(F.col("quote")))
+    rows = compute_once(quotes, {"__needle": normalise_needle(F.col("quote"))})
     texts = reviews.select(*keys, "id", F.col("text").alias("__text"))
+
+    def found(needles: DataFrame, on: list[str]) -> DataFrame:
+        inside = F.col("__text").contains(F.col("__needle"))
+        return join_small(texts, needles, on).filter(inside).select(needles.columns).distinct()
+
+    asked = rows.filter(F.col("__needle") != "")
+    hits = asked.select(*keys, "__needle").limit(0)
     if "id" in rows.columns:
-        cited = rows.join(texts, [*keys, "id"], "left").withColumn(
-            "__cited", is_verbatim(F.col("__text"), F.col("quote"))
-        ).drop("__text")
-    else:
-        cited = rows.withColumn("__cited", F.lit(False))
-    open_needles = (
-        cited.filter(~F.col("__cited") & (F.col("__needle") != ""))
-        .select(*keys, "__needle")
-        .distinct()
-    )
-    found = (
-        texts.join(open_needles, list(keys))
-        .filter(F.col("__text").contains(F.col("__needle")))
-        .select(*keys, "__needle")
-        .distinct()
-        .withColumn("__found", F.lit(True))
-    )
+        cited = found(asked.select(*keys, "id", "__needle").distinct(), [*keys, "id"])
+        hits = cited.select(*keys, "__needle").distinct()
+    left_over = asked.select(*keys, "__needle").distinct().join(hits, [*keys, "__needle"], "left_anti")
+    every = hits.unionByName(found(left_over, keys)).withColumn("__found", F.lit(True))
     return (
-        cited.join(found, [*keys, "__needle"], "left")
-        .withColumn("verbatim", F.col("__cited") | F.coalesce("__found", F.lit(False)))
-        .drop("__cited", "__found", "__needle")
+        rows.join(every, [*keys, "__needle"], "left")
+        .withColumn("verbatim", F.coalesce("__found", F.lit(False)))
+        .drop("__found", "__needle")
     )
 
 
@@ -283,9 +282,9 @@ def _char_grams(chars: Column, lengths: list[int]) -> Column:
 
 
 def _found_needles(grams: DataFrame, anchors: DataFrame, texts: DataFrame) -> DataFrame:
-    candidates = grams.join(anchors, "__gram").select("__id", "__needle")
+    candidates = join_small(grams, anchors, ["__gram"]).select("__id", "__needle")
     return (
-        texts.join(candidates, "__id")
+        join_small(texts, candidates, ["__id"])
         .filter(F.col("__text").contains(F.col("__needle")))
         .select("__needle")
     )

@@ -11,6 +11,7 @@ from voxboard.functions.ids import opaque_id
 from voxboard.functions.numbers import coerce_rating
 from voxboard.functions.text import blank_to_null, is_blank, strip_ws
 from voxboard.model import RAW_FIELDS
+from voxboard.operators.barrier import compute_once
 
 WRONG_PACKAGE = "wrong_package"
 EMPTY_TEXT = "empty_text"
@@ -72,14 +73,10 @@ def classify_rows(df: DataFrame, product_id: str | None = None) -> DataFrame:
         *place,
     )
     text, title = promote_title(F.col("raw_text"), F.col("raw_title"))
-    rows = raw.select(
-        "package",
-        strip_ws(text).alias("text"),
-        title.alias("raw_title"),
-        "date",
-        "rating",
-        "language",
-        *place,
+    # Values that the reject test and all later filters read.
+    rows = compute_once(
+        raw.select("package", text.alias("text"), title.alias("raw_title"), "date", "rating", "language", *place),
+        {"text": strip_ws(F.col("text")), "date": F.col("date"), "rating": F.col("rating")},
     )
     wrong = (F.col("package") != product_id) if product_id is not None else F.lit(False)
     reason = (

@@ -30,13 +30,13 @@ def min_words(df: DataFrame, n: int = MIN_WORDS) -> DataFrame:
 
 
 def is_latin_text(c: Column) -> Column:
-    """No foreign script, some Latin letters, few others."""
+    """No foreign script, some Latin letters, few others; no Latin letter divides by zero."""
     body = strip_ws(c)
     letters = F.length(F.regexp_replace(body, r"[^\p{L}]+", ""))
     latin = letters - F.length(F.regexp_replace(body, r"[\P{L}A-Za-z]+", ""))
     others = F.length(F.regexp_replace(body, r"[[^\p{L}\p{Nl}\p{No}]A-Za-z]+", ""))
     return F.coalesce(
-        ~body.rlike(NON_LATIN_SCRIPT) & (latin > 0) & (others / latin <= MAX_OTHER_LETTERS),
+        ~body.rlike(NON_LATIN_SCRIPT) & (F.try_divide(others, latin) <= MAX_OTHER_LETTERS),
         F.lit(False),
     )
 

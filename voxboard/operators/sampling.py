@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxboard.functions.ids import opaque_id
 from voxboard.functions.numbers import rating_sort
+from voxboard.operators.joins import join_small
 from voxboard.operators.ranking import (
     GROUP_LIMIT,
     first_per,
@@ -101,4 +102,4 @@ def systematic_sample(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
     chosen = ranked.filter((place % step == 0) & (F.floor(place / step) < n)).select(
         *keys, "id", (F.floor(place / step) + 1).alias("pick")
     )
-    return df.join(chosen, [*keys, "id"])
+    return join_small(df, chosen, [*keys, "id"])

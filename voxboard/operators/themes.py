@@ -23,6 +23,8 @@ from voxboard.model import (
     VOCABULARY,
     Vocabulary,
 )
+from voxboard.operators.barrier import compute_once
+from voxboard.operators.joins import join_small
 from voxboard.operators.ranking import top_ranked
 
 OUTPUT_RESERVE = 400
@@ -30,7 +32,7 @@ OUTPUT_RESERVE = 400
 
 def score_reviews(df: DataFrame, vocab: Vocabulary = VOCABULARY) -> DataFrame:
     """Add ``scores``, the keyword hits per theme; every later step reads these."""
-    return df.withColumn("scores", keyword_scores(F.col("text"), vocab))
+    return compute_once(df, {"scores": keyword_scores(F.col("text"), vocab)})
 
 
 def label_heuristic(df: DataFrame, vocab: Vocabulary = VOCABULARY) -> DataFrame:
@@ -91,7 +93,7 @@ def split_label_queue(
         queue = top_ranked(unsure, keys, order, max_n, "queue_rank").select(
             *keys, "id", "queue_rank"
         )
-        routed = routed.join(queue, [*keys, "id"], "left")
+        routed = join_small(routed, queue, [*keys, "id"], "left")
     else:
         routed = routed.withColumn("queue_rank", F.lit(None).cast("int"))
     route = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxboard.functions.dates import clamp_weeks
 from voxboard.model import MAX_WEEKS, SPARSE_THRESHOLD
+from voxboard.operators.joins import join_small
 
 
 def as_date(value: str | dt.date | Column) -> Column:
@@ -70,11 +71,16 @@ def adaptive_window(
     keys: list[str],
     min_rows: int = SPARSE_THRESHOLD,
     with_flags: bool = False,
+    choice: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows inside the window settled for their group."""
+    """Rows inside the window settled for their group.
+
+    ``choice`` is the result of ``resolve_window`` where it is at hand already.
+    """
     widest = filter_window(df, MAX_WEEKS, as_of)
-    choice = resolve_window(widest, preferred_weeks, as_of, keys, min_rows)
-    rows = widest.join(choice, list(keys)).filter(F.col("date") >= F.col("window_start"))
+    if choice is None:
+        choice = resolve_window(widest, preferred_weeks, as_of, keys, min_rows)
+    rows = join_small(widest, choice, keys).filter(F.col("date") >= F.col("window_start"))
     flags = [
         "weeks_used",
         "in_window",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxboard.functions.privacy import redact_pii
 from voxboard.model import MAX_WEEKS, MIN_WEEKS, MIN_WORDS, SPARSE_THRESHOLD
+from voxboard.operators.barrier import compute_once
 from voxboard.operators.intake import BAD_DATE, EMPTY_TEXT, WRONG_PACKAGE, classify_rows
 from voxboard.operators.quality import filter_quality, quality_reason
 from voxboard.operators.sampling import dedupe_reviews
@@ -77,14 +78,11 @@ def ingest_stats(
     counted = parsed.groupBy(*keys).agg(F.count("*").alias("parsed"))
     recent = filter_window(parsed, MAX_WEEKS, as_of)
     choice = resolve_window(recent, weeks, as_of, keys, min_rows)
-    inside = adaptive_window(recent, weeks, as_of, keys, min_rows)
-    scrubbed = inside.select(*keys, redact_pii(F.col("text")).alias("text"), "language")
+    inside = adaptive_window(recent, weeks, as_of, keys, min_rows, choice=choice)
+    scrubbed = compute_once(inside, {"text": redact_pii(F.col("text"))})
     # One pass over the text gives the step at which each review leaves.
-    steps = scrubbed.select(
-        *keys,
-        F.col("text").isNotNull().alias("has_text"),
-        F.when(F.col("text").isNotNull(), quality_reason(F.col("text"), detector, MIN_WORDS)).alias("why"),
-    )
+    why = F.when(F.col("text").isNotNull(), quality_reason(F.col("text"), detector, MIN_WORDS))
+    steps = compute_once(scrubbed, {"why": why}).withColumn("has_text", F.col("text").isNotNull())
     left = steps.groupBy(*keys).agg(
         F.count_if("has_text").alias("after_scrub"),
         F.count_if(F.col("why") == "short_text").alias("dropped_short_text"),

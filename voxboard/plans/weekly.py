@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxboard.functions.dates import iso_week_key
-from voxboard.model import MIN_WEEKS, SPARSE_THRESHOLD, VOCABULARY, Vocabulary
+from voxboard.model import MAX_WEEKS, MIN_WEEKS, SPARSE_THRESHOLD, VOCABULARY, Vocabulary
 from voxboard.operators import evidence, gates, report, themes
 from voxboard.operators.sampling import stratified_sample
 from voxboard.operators.scrub import scrub
-from voxboard.operators.windows import adaptive_window, resolve_window
+from voxboard.operators.windows import adaptive_window, filter_window, resolve_window
 from voxboard.plans.staging import Stage, persisted
 
 
@@ -63,8 +63,11 @@ def weekly_reports(
     scores, are the one table that several steps read, so only they are staged.
     """
     keys = list(keys)
-    choice = resolve_window(reviews, preferred_weeks, as_of, keys, min_rows)
-    rows = adaptive_window(reviews, preferred_weeks, as_of, keys, min_rows)
+    choice = stage(
+        resolve_window(filter_window(reviews, MAX_WEEKS, as_of), preferred_weeks, as_of, keys, min_rows),
+        "windows",
+    )
+    rows = adaptive_window(reviews, preferred_weeks, as_of, keys, min_rows, choice=choice)
     if limit:
         rows = stratified_sample(rows, limit, keys).drop("pick")
     scored = themes.score_reviews(scrub(rows), vocab)
