@@ -32,12 +32,12 @@ def ranked(reviews):
     return themes.rank_themes(themes.theme_counts(reviews, KEYS, TEST_VOCABULARY), KEYS)
 
 
-def candidates(reviews):
-    return evidence.quote_candidates(reviews, ranked(reviews), KEYS)
+def candidates(reviews, top=None):
+    return evidence.quote_candidates(reviews, top or ranked(reviews), KEYS)
 
 
-def picked(reviews):
-    return evidence.select_quotes(candidates(reviews), KEYS, vocab=TEST_VOCABULARY)
+def picked(reviews, top=None):
+    return evidence.select_quotes(candidates(reviews, top), KEYS, vocab=TEST_VOCABULARY)
 
 
 @query(
@@ -95,8 +95,8 @@ padded AS (
   FROM placed WHERE place <= 3 - have)"""
 
 
-def padded(reviews):
-    first = persisted(picked(reviews).filter("quote_rank = 1 AND rating < 2"), "first")
+def padded(reviews, top=None):
+    first = persisted(picked(reviews, top).filter("quote_rank = 1 AND rating < 2"), "first")
     return evidence.pad_quotes(first, reviews, reviews.select(*KEYS), KEYS)
 
 

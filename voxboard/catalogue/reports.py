@@ -26,7 +26,7 @@ from voxboard.catalogue.evidence import PADDED, labelled, padded, picked, ranked
 from voxboard.catalogue.registry import query
 from voxboard.functions import text
 from voxboard.operators import report, themes
-from voxboard.plans.staging import persisted
+from voxboard.plans.staging import shared
 from voxboard.plans.weekly import report_payload, weekly_reports
 
 KEYS = ["product_id"]
@@ -145,8 +145,9 @@ composed AS (SELECT *, CASE WHEN {sql_word_count('full_body')} > 250 THEN brief_
 
 
 def composed(spark, sf, sparse: bool = False):
-    reviews = persisted(labelled(spark, sf), "labelled")
-    top = ranked(reviews)
+    stage = shared(spark)
+    reviews = stage(labelled(spark, sf), "labelled")
+    top = stage(ranked(reviews), "top")
     groups = reviews.groupBy(*KEYS).agg(
         F.max("date").alias("week_ending"), F.count("*").alias("review_count")
     )
@@ -158,7 +159,8 @@ def composed(spark, sf, sparse: bool = False):
         }
     )
     actions = report.default_actions(top, KEYS, TEST_VOCABULARY)
-    return report.assemble(groups, top, padded(reviews), actions, KEYS)
+    quotes = stage(padded(reviews, top), "quotes")
+    return stage(report.assemble(groups, top, quotes, actions, KEYS), "reports")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -204,7 +205,8 @@ def verbatim_in_group(quotes: DataFrame, reviews: DataFrame, keys: list[str]) ->
     hits = asked.select(*keys, "__needle").limit(0)
     if "id" in rows.columns:
         cited = found(asked.select(*keys, "id", "__needle").distinct(), [*keys, "id"])
-        hits = cited.select(*keys, "__needle").distinct()
+        # Few rows, read twice: what is found here need not be looked for again.
+        hits = cited.select(*keys, "__needle").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     left_over = asked.select(*keys, "__needle").distinct().join(hits, [*keys, "__needle"], "left_anti")
     every = hits.unionByName(found(left_over, keys)).withColumn("__found", F.lit(True))
     return (

@@ -182,8 +182,12 @@ def compose_sparse(
     quotes: str = "quotes",
     actions: str = "actions",
     report_name: str = REPORT_NAME,
+    normal: str | None = None,
 ) -> DataFrame:
-    """The report of a week with too few reviews, with a warning under the title."""
+    """The report of a week with too few reviews, with a warning under the title.
+
+    ``normal`` names the column with the report without a warning, if there is one.
+    """
     review_count, weeks = F.col("review_count"), F.col("weeks_used")
     long_banner = F.format_string(
         "**Insufficient signal:** only %d Play Store reviews in the "
@@ -197,8 +201,10 @@ def compose_sparse(
         review_count,
         weeks,
     )
-    rows = compose(df, product, "__long", themes, quotes, actions, report_name)
-    rows = _with_banner(rows, "__long", long_banner, "__long")
+    rows = df
+    if normal is None:
+        rows, normal = compose(df, product, "__long", themes, quotes, actions, report_name), "__long"
+    rows = _with_banner(rows, normal, long_banner, "__long")
     rows = rows.withColumns(
         {
             "__q": F.transform(quotes, lambda q: truncate_words(q, 20)),
@@ -269,7 +275,9 @@ def assemble(
         F.coalesce(F.col("__actions.theme_id"), empty).alias("action_themes"),
     )
     rows = compose(rows, product, "__normal", "__themes", report_name=report_name)
-    rows = compose_sparse(rows, product, "__sparse", "__themes", report_name=report_name)
+    rows = compose_sparse(
+        rows, product, "__sparse", "__themes", report_name=report_name, normal="__normal"
+    )
     body = F.when(F.col("insufficient_signal"), F.col("__sparse")).otherwise(F.col("__normal"))
     if "week_key" not in rows.columns:
         rows = rows.withColumn("week_key", iso_week_key(F.col("week_ending")))

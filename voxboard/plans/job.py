@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxboard.model import MIN_WEEKS, VOCABULARY, Vocabulary
 from voxboard.operators.ledger import latest_runs, publish_queue, require_fresh
-from voxboard.plans.staging import Stage, persisted
+from voxboard.plans.staging import Stage, shared
 from voxboard.plans.weekly import Weekly, weekly_reports
 from voxboard.sources.artifacts import append_run, read_runs, write_gates
 from voxboard.sources.raw import require_nonempty
@@ -27,10 +27,11 @@ def weekly_job(
     allow_sparse: bool = False,
     gates_path: str | None = None,
     vocab: Vocabulary = VOCABULARY,
-    stage: Stage = persisted,
+    stage: Stage | None = None,
 ) -> tuple[Weekly, DataFrame]:
     """Run the reports, append them to the ledger and say what is to be published."""
     keys = ["product_id"]
+    stage = stage or shared(spark)
     require_nonempty(reviews, "cleaned reviews")
     if "ingested_at" in reviews.columns:
         require_fresh(reviews, started, keys)
@@ -48,8 +49,7 @@ def weekly_job(
             gates_path,
         )
     # Ids of an earlier delivery stay on the week's latest row. The queue is
-    # settled before the ledger grows, or it would see its own run as prior.
-    queue.count()
+    # staged, hence settled, before the ledger grows: it must not see its own run.
     delivered = latest_runs(prior, week).select(*week, "doc_id", "doc_url", "draft_id", "sent_id")
     append_run(runs.join(delivered, week, "left"), ledger_path)
     return weekly, queue

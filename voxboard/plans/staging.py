@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from voxboard.session import ensure_checkpoint_dir
 
 Stage = Callable[[DataFrame, str], DataFrame]
 
@@ -26,6 +29,15 @@ def written_to(folder: str) -> Stage:
     return stage
 
 
+def shared(spark: SparkSession) -> Stage:
+    """A folder of its own under the session's checkpoint folder.
+
+    Later steps read back only the columns they need, a lost executor costs
+    nothing that was written, and plans start from a scan again.
+    """
+    return written_to(f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}")
+
+
 def inline(df: DataFrame, name: str) -> DataFrame:
     """Keep nothing; every reader computes the table itself."""
     return df

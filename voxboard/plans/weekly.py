@@ -14,7 +14,7 @@ from voxboard.operators import evidence, gates, report, themes
 from voxboard.operators.sampling import stratified_sample
 from voxboard.operators.scrub import scrub
 from voxboard.operators.windows import adaptive_window, filter_window, resolve_window
-from voxboard.plans.staging import Stage, persisted
+from voxboard.plans.staging import Stage, shared
 
 
 @dataclass
@@ -54,15 +54,17 @@ def weekly_reports(
     limit: int | None = None,
     min_rows: int = SPARSE_THRESHOLD,
     report_name: str = report.REPORT_NAME,
-    stage: Stage = persisted,
+    stage: Stage | None = None,
 ) -> Weekly:
     """Window, scrub, label, rank, quote, compose and check.
 
     ``labels`` are themes from an outside labeller for queued reviews; without
     them every review gets its keyword theme. The labelled reviews, with their
-    scores, are the one table that several steps read, so only they are staged.
+    scores, are the one large table that several steps read. It is staged, as are
+    the small tables per group that follow, by default in the shared folder.
     """
     keys = list(keys)
+    stage = stage or shared(reviews.sparkSession)
     choice = stage(
         resolve_window(filter_window(reviews, MAX_WEEKS, as_of), preferred_weeks, as_of, keys, min_rows),
         "windows",
@@ -84,7 +86,8 @@ def weekly_reports(
         .join(choice.select(*keys, "weeks_used", "window_widened", "insufficient_signal"), keys)
         .withColumn("week_key", iso_week_key(F.col("week_ending")))
     )
-    theme_table = themes.aggregate_themes(labelled, keys, vocab=vocab)
+    groups = stage(groups, "groups")
+    theme_table = stage(themes.aggregate_themes(labelled, keys, vocab=vocab), "themes")
     top = themes.rank_themes(theme_table, keys)
     candidates = evidence.quote_candidates(labelled, top, keys)
     picked = stage(evidence.select_quotes(candidates, keys, vocab=vocab), "picked")
