@@ -35,7 +35,7 @@ def with_position(df: DataFrame) -> DataFrame:
 
 def normalise_headers(df: DataFrame) -> DataFrame:
     """Lower-case, trimmed column names; of equal names the last one counts."""
-    last = {name.strip().lower(): i for i, name in enumerate(df.columns)}
+    last = {name.strip().lstrip("\ufeff").lower(): i for i, name in enumerate(df.columns)}
     if list(last) == df.columns:
         return df
     renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -56,6 +56,32 @@ def union_raw(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def _elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The review objects of JSON documents, each still as text.
+
+    A document is a list, an object wrapping a list, or one object; whatever is
+    no object inside a list is passed over.
+    """
+    docs = with_position(spark.read.option("wholetext", "true").text(paths))
+    text = F.col("value")
+    wrapped = F.from_json(text, ", ".join(f"{k} string" for k in WRAPPER_KEYS))
+    listed = F.coalesce(*[F.when(wrapped[k].startswith("["), wrapped[k]) for k in WRAPPER_KEYS])
+    as_list = F.when(F.ltrim(text).startswith("["), text).otherwise(listed)
+    items = F.coalesce(F.from_json(as_list, "array<string>"), F.array(text))
+    rows = docs.select("src_file", "src_pos", F.posexplode(items).alias("at", "element"))
+    position = F.struct(F.col("src_pos.block").alias("block"), F.col("at").cast("long").alias("row"))
+    return rows.filter(F.ltrim("element").startswith("{")).select(
+        "src_file", position.alias("src_pos"), "element"
+    )
+
+
+def _infer(spark: SparkSession, elements: DataFrame) -> T.StructType:
+    strings = getattr(elements.select("element")._jdf, "as")(
+        spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    )
+    return DataFrame(spark._jsparkSession.read().json(strings), spark).schema
+
+
 def scan_json(
     spark: SparkSession, paths: str | list[str], lines: bool = False, schema: T.StructType | None = None
 ) -> DataFrame:
@@ -64,45 +90,17 @@ def scan_json(
     ``lines=True`` reads one object per line, the form that can be split over
     many tasks; a single JSON document is always read by one task.
     """
-    reader = spark.read.option("multiLine", str(not lines).lower())
-    if schema is not None:
-        reader = reader.schema(schema)
-    raw = with_position(reader.json(paths))
-    wrappers = [
-        k
-        for k in WRAPPER_KEYS
-        if k in raw.columns
-        and isinstance(raw.schema[k].dataType, T.ArrayType)
-        and isinstance(raw.schema[k].dataType.elementType, T.StructType)
-    ]
-    position = ["src_file", "src_pos"]
-    own = [c for c in raw.columns if c not in wrappers and c != "_corrupt_record"]
-    plain = raw.filter(reduce(lambda p, k: p & F.col(k).isNull(), wrappers, F.lit(True)))
-    fields = [c for c in own if c not in position]
-    if fields:
-        # Elements that are no objects come out as rows without any value.
-        plain = plain.select(*own).filter(F.coalesce(*[F.col(c).cast("string") for c in fields]).isNotNull())
-    parts = [normalise_headers(plain)] if fields else []
-    before = F.lit(True)
-    for key in wrappers:
-        # Positions inside the list extend the position of the wrapper itself.
-        inner = (
-            raw.filter(before & F.col(key).isNotNull())
-            .select("src_file", "src_pos", F.posexplode(key).alias("at", "element"))
-            .filter(F.col("element").isNotNull())
-            .select(
-                "element.*",
-                "src_file",
-                F.struct(
-                    F.col("src_pos.block").alias("block"), F.col("at").cast("long").alias("row")
-                ).alias("src_pos"),
-            )
-        )
-        parts.append(normalise_headers(inner))
-        before = before & F.col(key).isNull()
-    if not parts:
-        raise ValueError(f"unsupported JSON shape in {paths}")
-    return _union(parts)
+    if lines:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        rows = with_position(reader.json(paths))
+        return normalise_headers(rows.drop("_corrupt_record"))
+    elements = _elements(spark, paths)
+    if schema is None:
+        schema = _infer(spark, elements)
+    if not schema.fields:
+        raise ValueError(f"no JSON objects in {paths}")
+    parsed = elements.select("src_file", "src_pos", F.from_json("element", schema).alias("e"))
+    return normalise_headers(parsed.select("e.*", "src_file", "src_pos"))
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
