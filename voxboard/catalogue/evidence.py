@@ -19,6 +19,7 @@ from voxboard.catalogue.registry import query
 from voxboard.operators import evidence, themes
 from voxboard.operators.report import default_actions
 from voxboard.plans.staging import persisted
+from voxboard.sources.scan import spread
 
 KEYS = ["product_id"]
 CHAIN = f"WITH {VOCAB}, {DOCS}, {SCORED}, {CANDIDATES}"
@@ -96,6 +97,7 @@ padded AS (
 
 
 def padded(reviews, top=None):
+    """Padding starts from part of the picked quotes; few rows, read several times."""
     first = persisted(picked(reviews, top).filter("quote_rank = 1 AND rating < 2"), "first")
     return evidence.pad_quotes(first, reviews, reviews.select(*KEYS), KEYS)
 
@@ -112,7 +114,7 @@ FROM benchmark b""",
 )
 def verbatim_corpus(spark, sf):
     items = table(spark, sf, "benchmark").withColumnRenamed("text", "needle")
-    rows = evidence.verbatim_in_corpus(items, table(spark, sf, "documents"), id_column="doc_id")
+    rows = evidence.verbatim_in_corpus(items, spread(table(spark, sf, "documents")), id_column="doc_id")
     return rows.select("item_id", "verbatim")
 
 
@@ -144,7 +146,7 @@ def verbatim_short(spark, sf):
     items = table(spark, sf, "benchmark").select(
         "item_id", F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("needle")
     )
-    rows = evidence.verbatim_in_corpus(items, table(spark, sf, "documents"), id_column="doc_id")
+    rows = evidence.verbatim_in_corpus(items, spread(table(spark, sf, "documents")), id_column="doc_id")
     return rows.select("item_id", "verbatim")
 
 

@@ -13,9 +13,9 @@ from voxboard.catalogue.adapters import (
     sql_word_count,
     table,
 )
-from voxboard.catalogue.evidence import PADDED, labelled
+from voxboard.catalogue.evidence import PADDED
 from voxboard.catalogue.registry import query
-from voxboard.catalogue.reports import PARTS, composed
+from voxboard.catalogue.reports import PARTS, composed, staged_reviews
 from voxboard.operators import gates, metrics, themes
 
 KEYS = ["product_id"]
@@ -24,9 +24,10 @@ PII = r"regexp_matches({x}, '(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,
 
 
 def checks(spark, sf):
-    reviews = labelled(spark, sf)
+    reviews = staged_reviews(spark, sf)
     table_ = themes.theme_counts(reviews, KEYS, TEST_VOCABULARY)
-    return gates.evaluate_gates(reviews, table_, composed(spark, sf), KEYS, vocab=TEST_VOCABULARY)
+    reports = composed(spark, sf, reviews=reviews)
+    return gates.evaluate_gates(reviews, table_, reports, KEYS, vocab=TEST_VOCABULARY)
 
 
 # Window: dates of the documents span 99 days, so this gate fails for most.
@@ -81,15 +82,16 @@ def gate_report(spark, sf):
 )
 def quote_verbatim(spark, sf):
     """Quotes cut from texts with uneven white space are not verbatim any more."""
-    rows = gates.quote_flags(composed(spark, sf), labelled(spark, sf), KEYS)
+    reviews = staged_reviews(spark, sf)
+    rows = gates.quote_flags(composed(spark, sf, reviews=reviews), reviews, KEYS)
     return rows.select("product_id", "place", "id", "verbatim")
 
 
 @query("stored_report_gates")
 def stored_report_gates(spark, sf):
     """Stored texts parsed and checked; products without a stored text fail."""
-    reviews = labelled(spark, sf)
-    stored = composed(spark, sf).filter("review_count >= 40").select("product_id", "body")
+    reviews = staged_reviews(spark, sf)
+    stored = composed(spark, sf, reviews=reviews).filter("review_count >= 40").select("product_id", "body")
     table_ = themes.theme_counts(reviews, KEYS, TEST_VOCABULARY)
     groups = reviews.select("product_id").distinct()
     return gates.evaluate_stored(reviews, table_, stored, groups, KEYS, vocab=TEST_VOCABULARY)

@@ -17,9 +17,10 @@ from voxboard.catalogue.windows import WINDOW
 from voxboard.functions import dates, numbers, privacy, text
 from voxboard.functions.ids import opaque_id
 from voxboard.operators import gates, intake, quality, scrub
+from voxboard.operators.sampling import dedupe_reviews
 from voxboard.plans.ingest import ingest_stats
 from voxboard.sources.raw import normalise_headers, union_raw
-from voxboard.operators.sampling import dedupe_reviews
+from voxboard.sources.scan import spread
 
 KEYS = ["product_id"]
 
@@ -38,7 +39,7 @@ def raw_documents(spark, sf) -> DataFrame:
         .when(form == 6, F.lit(""))
         .otherwise(F.date_format(d, "yyyyMMdd"))
     )
-    raw = table(spark, sf, "documents").select(
+    raw = spread(table(spark, sf, "documents")).select(
         F.when(F.col("lang") == "de", "").otherwise(F.col("source")).alias(" Package Name "),
         F.when(n % 17 == 0, "  ").otherwise(F.concat(F.lit(" "), "text", F.lit("\n"))).alias("Review Text"),
         F.when(n % 34 == 0, F.col("lang")).otherwise("").alias("TITLE"),
@@ -322,7 +323,7 @@ FROM (SELECT doc_id, {CLEAN} AS t FROM documents)""",
 )
 def pii_flags(spark, sf):
     kinds = privacy.pii_kinds(F.col("text"))
-    docs = table(spark, sf, "documents").select("doc_id", kinds.alias("kinds"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", kinds.alias("kinds"))
     return docs.select(
         "doc_id",
         F.array_contains("kinds", "email pattern").alias("email"),

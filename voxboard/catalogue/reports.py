@@ -144,9 +144,13 @@ composed AS (SELECT *, CASE WHEN {sql_word_count('full_body')} > 250 THEN brief_
 )
 
 
-def composed(spark, sf, sparse: bool = False):
+def staged_reviews(spark, sf):
+    return shared(spark)(labelled(spark, sf), "labelled")
+
+
+def composed(spark, sf, sparse: bool = False, reviews=None):
     stage = shared(spark)
-    reviews = stage(labelled(spark, sf), "labelled")
+    reviews = reviews or staged_reviews(spark, sf)
     top = stage(ranked(reviews), "top")
     groups = reviews.groupBy(*KEYS).agg(
         F.max("date").alias("week_ending"), F.count("*").alias("review_count")

@@ -11,7 +11,9 @@ def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     A filter on a computed column is pushed below the projection with a copy of
     the expression, so every regular expression in it runs once more per filter.
-    Values that come out of a generator stay above it.
+    Values that come out of a generator stay above it. They are not pruned
+    either, so this belongs where the columns are needed, or ahead of a staged
+    table.
     """
     kept = [c for c in df.columns if c not in columns]
     fields = [c.alias(name) for name, c in columns.items()]
