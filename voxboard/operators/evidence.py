@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -258,16 +260,8 @@ def _word_grams(tokens: Column) -> Column:
     return F.when(last >= 0, F.array_distinct(hashes))
 
 
-def _anchor(tokens: Column) -> Column:
-    """The run with the most letters, likely to be rare; ties by hash."""
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size(tokens) - GRAM_WORDS),
-        lambda i: F.struct(
-            sum((F.length(F.get(tokens, i + j)) for j in range(GRAM_WORDS)), F.lit(0)).alias("letters"),
-            _gram_hash(tokens, i).alias("gram"),
-        ),
-    )
-    return F.array_max(runs)["gram"]
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
 def _char_grams(chars: Column, lengths: list[int]) -> Column:
@@ -283,8 +277,19 @@ def _char_grams(chars: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))
 
 
-def _found_needles(grams: DataFrame, anchors: DataFrame, texts: DataFrame) -> DataFrame:
-    candidates = join_small(grams, anchors, ["__gram"]).select("__id", "__needle")
+def _found_needles(grams: DataFrame, needle_grams: DataFrame, texts: DataFrame) -> DataFrame:
+    """Needles that occur in a text holding their rarest run.
+
+    Runs no needle has are dropped while the texts are read. A needle with a run
+    that occurs nowhere is settled without a search.
+    """
+    wanted = needle_grams.select("__gram").distinct()
+    matched = join_small(grams, wanted, ["__gram"]).persist(StorageLevel.MEMORY_AND_DISK)
+    spread = matched.groupBy("__gram").agg(F.count("*").alias("__n"))
+    counted = needle_grams.join(spread, "__gram", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    rarest = first_per(counted, ["__needle"], [F.col("__n"), F.col("__gram")])
+    anchors = rarest.filter(F.col("__n") > 0).select("__needle", "__gram")
+    candidates = join_small(matched, anchors, ["__gram"]).select("__id", "__needle")
     return (
         join_small(texts, candidates, ["__id"])
         .filter(F.col("__text").contains(F.col("__needle")))
@@ -302,38 +307,46 @@ def verbatim_in_corpus(
     """Add ``verbatim``: does the needle occur in any text of the whole corpus.
 
     A containment test has no key to join on, but a text that contains a needle
-    contains every run of its inner words. Each needle is looked up by one such
-    run, and only the texts that hold it are searched, so no text is compared
-    with a needle it shares no run with. Needles with too few inner words are
-    looked up by their first characters instead; that pass is left out when
-    there are none.
+    contains every run of its inner words. Each needle is looked up by its
+    rarest run, and only the texts that hold it are searched, so a phrase that
+    fills much of the corpus pairs up with the needles made of nothing else.
+    Needles with too few inner words are looked up by runs of characters; that
+    pass is left out when there are none.
     """
     rows = needles.withColumn("__needle", normalise_needle(F.col(needle)))
     wanted = (
         rows.filter(F.col("__needle") != "")
         .select("__needle")
         .distinct()
-        .withColumn("__tokens", _inner_tokens(F.col("__needle")))
+        .withColumn("__t", _inner_tokens(F.col("__needle")))
     )
     texts = corpus.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
-    by_words = F.size("__tokens") >= GRAM_WORDS
-    anchors = wanted.filter(by_words).select("__needle", _anchor(F.col("__tokens")).alias("__gram"))
+    by_words = F.size("__t") >= GRAM_WORDS
     # Tokens are a column before they are indexed; inside a lambda they would be
     # split again for every position.
-    grams = texts.select("__id", _tokens(F.col("__text")).alias("__t")).select(
-        "__id", F.explode(_word_grams(F.col("__t"))).alias("__gram")
+    grams = texts.select("__id", _tokens(F.col("__text")).alias("__t"))
+    runs = F.explode(_word_grams(F.col("__t"))).alias("__gram")
+    found = _found_needles(
+        grams.select("__id", runs), wanted.filter(by_words).select("__needle", runs), texts
     )
-    found = _found_needles(grams, anchors, texts)
     short = wanted.filter(~by_words).select(
-        "__needle", F.substring("__needle", 1, CHAR_GRAM).alias("__gram")
+        "__needle", F.least(F.length("__needle"), F.lit(CHAR_GRAM)).alias("n")
     )
     # At most CHAR_GRAM distinct lengths.
-    lengths = sorted(r.n for r in short.select(F.length("__gram").alias("n")).distinct().collect())
+    lengths = sorted(r.n for r in short.select("n").distinct().collect())
     if lengths:
-        chars = texts.select(
-            "__id", F.regexp_extract_all("__text", F.lit("(?s)."), F.lit(0)).alias("__c")
-        ).select("__id", F.explode(_char_grams(F.col("__c"), lengths)).alias("__gram"))
-        found = found.unionByName(_found_needles(chars, short, texts))
+        by_length = [
+            short.filter(F.col("n") == n)
+            .select("__needle", _characters(F.col("__needle")).alias("__c"))
+            .select("__needle", F.explode(_char_grams(F.col("__c"), [n])).alias("__gram"))
+            for n in lengths
+        ]
+        chars = texts.select("__id", _characters(F.col("__text")).alias("__c")).select(
+            "__id", F.explode(_char_grams(F.col("__c"), lengths)).alias("__gram")
+        )
+        found = found.unionByName(
+            _found_needles(chars, reduce(DataFrame.unionByName, by_length), texts)
+        )
     hits = found.distinct().withColumn("__found", F.lit(True))
     return (
         rows.join(hits, "__needle", "left")

@@ -16,6 +16,7 @@ from voxboard.operators.quality import filter_quality, quality_reason
 from voxboard.operators.sampling import dedupe_reviews
 from voxboard.operators.scrub import scrub
 from voxboard.operators.windows import adaptive_window, as_date, filter_window, resolve_window
+from voxboard.plans.staging import Stage, shared
 
 
 @dataclass
@@ -44,16 +45,19 @@ def ingest(
     product_id: str | None = None,
     weeks: int = MIN_WEEKS,
     detector: Column | None = None,
+    stage: Stage | None = None,
 ) -> Intake:
-    """Normalise, dedupe, window, scrub and filter; one lazy plan.
+    """Normalise, dedupe, window, scrub and filter.
 
-    Reviews are shuffled once, to drop copies. A date filter as wide as the
-    widest window goes below that shuffle, since copies share their date.
+    Reviews are shuffled once, to drop copies, and staged, since the width of
+    the window depends on what is left. A date filter as wide as the widest
+    window goes below that shuffle: copies share their date.
     """
+    stage = stage or shared(raw.sparkSession)
     classified = classify_rows(raw, product_id)
     usable = classified.filter(F.col("reason").isNull()).drop("reason")
     parsed = dedupe_reviews(usable)
-    recent = dedupe_reviews(filter_window(usable, MAX_WEEKS, as_of))
+    recent = stage(dedupe_reviews(filter_window(usable, MAX_WEEKS, as_of)), "recent")
     reviews = clean_reviews(recent, as_of, weeks, detector=detector)
     return Intake(reviews.drop("src_file", "src_pos"), classified, parsed)
 
