@@ -233,6 +233,21 @@ NEEDLES = [
 ]
 
 
+def test_uneven_white_space(spark):
+    df = reviews(spark, [review("a", "one  two\nthree four")])
+    quotes = spark.createDataFrame([("p", "a", "one two three…")], "product_id string, id string, quote string")
+    assert not evidence.verbatim_in_group(quotes, df, KEYS).first().verbatim
+    assert evidence.verbatim_in_group(quotes, df, KEYS, loose_space=True).first().verbatim
+
+
+def test_label_payload(spark):
+    df = reviews(spark, [review("a", "x" * 400, None)])
+    payload = themes.label_payload(df).first().payload
+    assert payload == '{"id":"a","rating":null,"text":"' + "x" * 350 + '"}'
+    hinted = themes.label_payload(df.withColumn("hint", F.lit("fees_funding"))).first().payload
+    assert hinted.endswith('","hint":"fees_funding"}')
+
+
 def test_corpus_search_by_brute_force(spark):
     texts = [r[5] for r in GOLDEN] + ["", "é", "one two three four five six seven"]
     corpus = spark.createDataFrame(list(enumerate(texts)), "id long, text string")

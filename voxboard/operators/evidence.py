@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voxboard.functions.keywords import keyword_scores, score_of
 from voxboard.functions.numbers import rating_sort
 from voxboard.functions.text import (
+    collapse_ws,
     english_signal,
     normalise_needle,
     truncate_words,
@@ -189,15 +190,21 @@ def pad_quotes(
     return picked.select(padded.columns).unionByName(padded)
 
 
-def verbatim_in_group(quotes: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFrame:
+def verbatim_in_group(
+    quotes: DataFrame, reviews: DataFrame, keys: list[str], loose_space: bool = False
+) -> DataFrame:
     """Add ``verbatim``: does the quote occur in any review of its group.
 
     A quote that names its review is first looked up there by id; only quotes
     that fail are compared with the other reviews of the group. Reviews are the
     side that streams by, so a hot group never comes together in one task.
+
+    With ``loose_space`` any run of white space matches any other; a shortened
+    quote of a text with uneven white space is found only then.
     """
-    rows = compute_once(quotes, {"__needle": normalise_needle(F.col("quote"))})
-    texts = reviews.select(*keys, "id", F.col("text").alias("__text"))
+    shape = collapse_ws if loose_space else (lambda c: c)
+    rows = compute_once(quotes, {"__needle": shape(normalise_needle(F.col("quote")))})
+    texts = reviews.select(*keys, "id", shape(F.col("text")).alias("__text"))
 
     def found(needles: DataFrame, on: list[str]) -> DataFrame:
         inside = F.col("__text").contains(F.col("__needle"))

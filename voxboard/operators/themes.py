@@ -60,13 +60,12 @@ def with_label(df: DataFrame, vocab: Vocabulary = VOCABULARY) -> DataFrame:
 def label_payload(df: DataFrame) -> DataFrame:
     """What an outside labeller gets to see of a review, as one JSON object."""
     hint = F.col("hint") if "hint" in df.columns else F.lit(None).cast("string")
-    item = F.struct(
-        "id",
-        "rating",
-        F.substring("text", 1, REVIEW_TEXT_CHARS).alias("text"),
-        hint.alias("hint"),
-    )
-    return df.withColumn("payload", F.to_json(item))
+    item = ["id", "rating", F.substring("text", 1, REVIEW_TEXT_CHARS).alias("text")]
+    keep_nulls = {"ignoreNullFields": "false"}
+    # A missing rating is written out, a missing hint is not.
+    with_hint = F.to_json(F.struct(*item, hint.alias("hint")), keep_nulls)
+    payload = F.when(hint.isNull(), F.to_json(F.struct(*item), keep_nulls)).otherwise(with_hint)
+    return df.withColumn("payload", payload)
 
 
 def split_label_queue(
