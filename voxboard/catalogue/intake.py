@@ -167,7 +167,8 @@ ins AS (SELECT d.*, CASE WHEN NOT ({ENOUGH}) THEN 'short' WHEN NOT ({LATIN}) OR
 steps AS (SELECT product_id, count(*) FILTER (step = 'short') AS dropped_short_text,
                  count(*) FILTER (step = 'foreign') AS dropped_non_english,
                  count(*) FILTER (step = 'kept') AS after_quality FROM ins GROUP BY 1)
-SELECT product_id, raw_rows, 0 AS dropped_wrong_package, 0 AS dropped_empty_text, 0 AS dropped_bad_date,
+SELECT product_id, raw_rows, 0::BIGINT AS dropped_wrong_package, 0::BIGINT AS dropped_empty_text,
+       0::BIGINT AS dropped_bad_date,
        parsed, in_window, in_window AS after_scrub, dropped_short_text, dropped_non_english, after_quality,
        weeks_used, DATE '2024-03-31' - 7 * weeks_used AS window_start
 FROM raw JOIN par USING (product_id) JOIN win USING (product_id) JOIN steps USING (product_id)""",
@@ -210,7 +211,7 @@ def distinct_sources(spark, sf):
 
 @query(
     "union_texts",
-    """SELECT origin, lang, count(*) AS n, sum(length(text)) AS chars FROM (
+    """SELECT origin, lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (
   SELECT 'documents' AS origin, text, lang FROM documents
   UNION ALL SELECT 'conversations', text, NULL FROM conversations) GROUP BY ALL""",
 )
