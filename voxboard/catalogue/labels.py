@@ -14,6 +14,7 @@ from voxboard.catalogue.adapters import (
 )
 from voxboard.catalogue.registry import query
 from voxboard.functions import keywords, numbers
+from voxboard.model import VOCABULARY
 from voxboard.operators import metrics, themes
 
 KEYS = ["product_id"]
@@ -43,10 +44,23 @@ def heuristic_theme(spark, sf):
     return themes.label_heuristic(document_reviews(spark, sf), TEST_VOCABULARY).select("doc_id", "theme_id")
 
 
+def _trading_hits() -> str:
+    counts = []
+    for t in VOCABULARY.themes:
+        pattern = t.pattern.replace("'", "''")
+        counts.append(
+            f"CAST(len(regexp_extract_all(text, '(?i)\\b(?:{pattern})\\b')) AS INTEGER) AS {t.theme_id}"
+        )
+    # Word bounds are ASCII there: other letters become x, other signs blanks.
+    ascii_text = (
+        r"regexp_replace(regexp_replace(text, '[^\x00-\x7f\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7f]', 'x', 'g')"
+    )
+    source = f"(SELECT doc_id, {ascii_text} AS text FROM documents)"
+    return "SELECT doc_id, " + ", ".join(counts) + f" FROM {source}"
+
+
 # The trading vocabulary itself, on texts that hardly use it.
-@query(
-    "trading_vocabulary_hits",
-)
+@query("trading_vocabulary_hits", _trading_hits())
 def trading_vocabulary_hits(spark, sf):
     docs = document_reviews(spark, sf)
     return docs.select("doc_id", keywords.keyword_scores(F.col("text")).alias("s")).select("doc_id", "s.*")

@@ -76,6 +76,8 @@ def weekly_reports(
     if labels is None:
         labelled = themes.label_heuristic(scored, vocab)
     else:
+        # The queue is settled before it is joined; both read the scores.
+        scored = stage(scored, "scored")
         routed = themes.split_label_queue(scored, keys, vocab=vocab)
         labelled = themes.merge_labels(routed, labels, keys, vocab).select(*scored.columns, "theme_id")
     labelled = stage(themes.fold_unknown(labelled, vocab), "labelled")
