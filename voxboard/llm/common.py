@@ -28,27 +28,28 @@ def word_list(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Each document as one value ``row``, beside ``id``, ``text`` and ``body``.
+    """Each document under names of our own: ``in_0``, ``in_1``..., ``id``, ``text``, ``body``.
 
     ``text`` is never null. ``body`` is a hash of the text: with ``id`` it names a
-    document by its content, so that repeated ids with different texts stay apart,
-    a task that runs again makes the same keys, and no column of the input can
-    clash with ours.
+    document by its content, so that repeated ids with different texts stay apart and
+    a task that runs again makes the same keys. No column of the input can clash with
+    working columns; ``with_columns`` gives the names back.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        *[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)],
         F.col("doc_id").alias("id"),
         text.alias("text"),
         F.xxhash64(text).alias("body"),
     )
 
 
-def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """The fields of ``row`` and then ``columns``, which replace fields of their name."""
-    names = df.schema["row"].dataType.names
+def with_columns(df: DataFrame, docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` and then ``columns``, which replace those of their name."""
     taken = {c.lower() for c in columns}
-    kept = [F.col("row")[c].alias(c) for c in names if c.lower() not in taken]
+    kept = [
+        F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in taken
+    ]
     return df.select(*kept, *[c.alias(name) for name, c in columns.items()])
 
 

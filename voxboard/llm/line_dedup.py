@@ -67,6 +67,7 @@ def line_dedup(
     gone = F.coalesce(F.col("dropped"), F.array().cast("array<int>"))
     return with_columns(
         parts,
+        docs,
         {
             "text": kept,
             "n_lines": F.size("parts").cast("long"),

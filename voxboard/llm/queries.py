@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxboard.llm.common import documents
 from voxboard.llm.line_dedup import line_dedup
+from voxboard.llm.secret_scan import counted, joined, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir)).select(
+        "doc_id",
+        *[counted("base_spans", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(joined("base_spans"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 @query("op6_line_dedup", LINE_DEDUP_SQL)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select(
