@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxboard.llm.common import documents
 from voxboard.llm.line_dedup import line_dedup
 from voxboard.llm.secret_scan import counted, joined, secret_scan
+from voxboard.llm.simhash import as_hex, simhash_members
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,3 +65,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_members(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), as_hex(F.col("fp")).alias("fingerprint"), "component_id"
+    )
