@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from voxboard.llm.common import documents
 from voxboard.llm.line_dedup import line_dedup
 from voxboard.llm.secret_scan import counted, joined, secret_scan
 from voxboard.llm.simhash import as_hex, simhash_members
+from voxboard.llm.token_files import document_keys, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +52,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    files = write_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
+    found = files.digests(files.lookup(document_keys(docs)))
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
 @query("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).select(
