@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxboard.session import ensure_checkpoint_dir
 
@@ -68,3 +71,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append_batches(docs: DataFrame, fields: str, compute) -> DataFrame:
+    """Rows of ``docs`` with the columns ``fields``, worked out batch by batch.
+
+    ``compute`` gets the texts of a batch as bytes (null: None) and returns one Arrow
+    array per field. Rows stay where they are; columns of the new names are replaced.
+    """
+    taken = {f.name.lower() for f in _fields(fields)}
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    # Names of our own on the way, so that no column of the input can clash.
+    given = docs.select(
+        *[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(kept)],
+        F.col("text").cast("string").cast("binary").alias("text_bytes"),
+    )
+    made = T.StructType([*given.drop("text_bytes").schema.fields, *_fields(fields)])
+    n = len(kept)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:n] + compute([t.as_py() for t in batch.column(n)])
+            yield pa.RecordBatch.from_arrays(columns, names=made.names)
+
+    out = given.mapInArrow(run, made)
+    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)], *made.names[n:])
+
+
+def _fields(ddl: str) -> list[T.StructField]:
+    return T.StructType.fromDDL(ddl).fields

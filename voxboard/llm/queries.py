@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxboard.llm.common import documents
+from voxboard.llm.language_id import (
+    fit_language_models,
+    held_out,
+    labelled_documents,
+    language_id,
+)
 from voxboard.llm.line_dedup import line_dedup
 from voxboard.llm.secret_scan import counted, joined, secret_scan
 from voxboard.llm.simhash import as_hex, simhash_members
@@ -77,6 +83,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    models = fit_language_models(labelled_documents(docs))
+    found = language_id(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_members(documents(spark, sf_dir)).select(
