@@ -16,6 +16,7 @@ from voxboard.llm.language_id import (
     language_id,
 )
 from voxboard.llm.line_dedup import line_dedup
+from voxboard.llm.quality_rules import COUNTS, quality_rules
 from voxboard.llm.secret_scan import counted, joined, secret_scan
 from voxboard.llm.simhash import as_hex, simhash_members
 from voxboard.llm.token_files import document_keys, write_tokens
@@ -66,6 +67,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality_rules(documents(spark, sf_dir), labels)
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
+
+
 @query("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).select(
