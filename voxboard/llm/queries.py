@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxboard.llm.common import documents
+from voxboard.llm.decontaminate import contaminated
 from voxboard.llm.language_id import (
     fit_language_models,
     held_out,
@@ -48,6 +49,34 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_
 FROM marked GROUP BY doc_id
 """
 
+DECONTAMINATION_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'i', item_id, text FROM benchmark
+), lists AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM texts
+), items AS (
+  SELECT DISTINCT id AS item_id, least(len(w), 5) AS n,
+         unnest(list_transform(range(1, CAST(len(w) - least(len(w), 5) + 2 AS BIGINT)),
+                               lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
+  FROM lists WHERE kind = 'i' AND len(w) > 0
+), lengths AS (SELECT DISTINCT n FROM items
+), runs AS (
+  SELECT DISTINCT id AS doc_id,
+         unnest(list_transform(range(1, CAST(len(w) - n + 2 AS BIGINT)),
+                               lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+  FROM lists, lengths WHERE kind = 'd' AND len(w) >= n
+), sizes AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id
+), found AS (
+  SELECT doc_id, item_id, count(*) AS n_found FROM runs JOIN items USING (s) GROUP BY ALL
+)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+FROM found JOIN sizes USING (item_id) WHERE n_found * 10 >= n_shingles * 8
+"""
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
@@ -91,6 +120,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_decontamination", DECONTAMINATION_SQL)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contaminated(documents(spark, sf_dir), benchmark)
+
+
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
