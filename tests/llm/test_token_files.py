@@ -61,7 +61,7 @@ def test_documents(spark):
 @pytest.mark.parametrize("block_ids", [1, 40, 1 << 20])
 def test_repeats_nulls_and_long_texts(spark, block_ids):
     # Rows of one id have one text each, so that their order does not matter.
-    rows = [(None, "nothing here")] * 40 + [(5, "same text")] * 30 + [(7, None), (8, ""), (9, "x  y\n\n z")]
+    rows = [((1 << 60) + 1, "large id"), (None, "nothing here")] + [(None, "nothing here")] * 39 + [(5, "same text")] * 30 + [(7, None), (8, ""), (9, "x  y\n\n z")]
     rows += [(i, f"word{i} " * (i % 7)) for i in range(100, 160)] + [(999, "very long " * 20000)]
     df = spark.createDataFrame([(d, t, 1, "b") for d, t in rows], "doc_id long, text string, shard int, ids string")
     files = write_tokens(df, PATH, shards=5, block_ids=block_ids)

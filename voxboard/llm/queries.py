@@ -17,6 +17,7 @@ from voxboard.llm.language_id import (
     language_id,
 )
 from voxboard.llm.line_dedup import line_dedup
+from voxboard.llm.packing import pack
 from voxboard.llm.quality_rules import COUNTS, quality_rules
 from voxboard.llm.secret_scan import counted, joined, secret_scan
 from voxboard.llm.simhash import as_hex, simhash_members
@@ -126,6 +127,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), benchmark)
 
 
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

@@ -294,7 +294,7 @@ class TokenFiles:
     def write_index(self) -> None:
         n = self.buckets(self.blocks().agg(F.sum(F.size("ids"))).first()[0] or 0)
         rows = hashed(self.directory(), n)
-        index = rows.groupBy("bucket").applyInPandas(build_index, INDEX_FIELDS)
+        index = rows.drop("id", "copy").groupBy("bucket").applyInPandas(build_index, INDEX_FIELDS)
         index.withColumn("buckets", F.lit(n)).write.parquet(f"{self.folder}/index")
 
     def index(self) -> DataFrame:
@@ -304,14 +304,16 @@ class TokenFiles:
         """(id, copy, shard, block, offset, n_tokens) of the keys (id, copy) that exist."""
         index = self.index()
         head = index.select("buckets").head()
-        kind = keys.schema["id"].dataType.simpleString()
-        fields = f"id {kind}, copy long, shard int, block int, offset long, n_tokens long"
+        fields = "id string, copy long, shard int, block int, offset long, n_tokens long"
         asked = hashed(keys.select("id", F.col("copy").cast("long").alias("copy")), head[0] if head else 1)
-        return (
-            asked.groupBy("bucket")
+        # As text, since a null among numbers would make floats of them in the task.
+        found = (
+            asked.withColumn("id", F.col("id").cast("string"))
+            .groupBy("bucket")
             .cogroup(index.drop("buckets").groupBy("bucket"))
             .applyInPandas(find_places, fields)
         )
+        return found.withColumn("id", F.col("id").cast(keys.schema["id"].dataType))
 
     def digests(self, places: DataFrame) -> DataFrame:
         """Position, length and crc32 of the documents at ``places``, from the payloads."""
