@@ -19,6 +19,7 @@ from voxboard.llm.language_id import (
 from voxboard.llm.line_dedup import line_dedup
 from voxboard.llm.packing import pack
 from voxboard.llm.quality_rules import COUNTS, quality_rules
+from voxboard.llm.repeats import repeated_spans
 from voxboard.llm.secret_scan import counted, joined, secret_scan
 from voxboard.llm.simhash import as_hex, simhash_members
 from voxboard.llm.token_files import document_keys, write_tokens
@@ -97,6 +98,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
+@query("op3_repeats")
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir))
+
+
 @query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
