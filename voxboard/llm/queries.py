@@ -17,6 +17,7 @@ from voxboard.llm.language_id import (
     language_id,
 )
 from voxboard.llm.line_dedup import line_dedup
+from voxboard.llm.lm_score import lm_score
 from voxboard.llm.packing import pack
 from voxboard.llm.quality_rules import COUNTS, quality_rules
 from voxboard.llm.repeats import repeated_spans
@@ -98,6 +99,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(documents(spark, sf_dir))
+
+
 @query("op3_repeats")
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(documents(spark, sf_dir))
