@@ -130,11 +130,13 @@ def test_group_rank_equals_a_window(spark):
         F.lit("p").alias("product_id"),
         F.concat(F.lit("play-"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16)).alias("id"),
     )
-    ranked = ranking.group_rank(df, KEYS, {"b": ranking.hash_prefix(F.col("id"), 1)}, [F.col("id")])
+    ranked = ranking.group_rank(df, KEYS, {"b": ranking.order_buckets(df, "id")}, [F.col("id")])
     ids = [r.id for r in ranked.orderBy("rn").collect()]
     assert ids == sorted(ids) and len(ids) == 5000
-    with pytest.raises(ValueError):
-        ranking.top_ranked(df, KEYS, [F.col("id")], 5000)
+    other = df.withColumn("id", F.concat(F.lit("same long prefix "), F.col("id")))
+    ranked = ranking.group_rank(other, KEYS, {"b": ranking.order_buckets(other, "id")}, [F.col("id")])
+    assert [r.id for r in ranked.orderBy("rn").collect()] == ["same long prefix " + i for i in ids]
+    assert ranking.top_ranked(df, KEYS, [F.col("id")], 4000).count() == 4000
 
 
 def round_robin(rows, n):

@@ -30,7 +30,7 @@ from voxboard.model import (
     Vocabulary,
 )
 from voxboard.operators.barrier import compute_once
-from voxboard.operators.joins import join_small
+from voxboard.operators.joins import join_on, join_small
 from voxboard.operators.ranking import first_per, top_ranked
 
 QUOTE_LENGTH_CAP = 240
@@ -56,9 +56,8 @@ def quote_candidates(
         max_per_theme,
         "candidate_rank",
     )
-    return capped.join(
-        top.select(*keys, "theme_id", F.col("rank").alias("theme_rank")), [*keys, "theme_id"]
-    )
+    ranks = top.select(*keys, "theme_id", F.col("rank").alias("theme_rank"))
+    return join_on(capped, ranks, [*keys, "theme_id"])
 
 
 def limit_candidates(candidates: DataFrame, keys: list[str], n: int = MAX_CANDIDATES) -> DataFrame:
@@ -140,9 +139,7 @@ def pad_quotes(
     )
     none = F.array().cast("array<string>")
     short = (
-        groups.select(*keys)
-        .distinct()
-        .join(used, list(keys), "left")
+        join_on(groups.select(*keys).distinct(), used, keys, "left")
         .select(
             *keys,
             F.coalesce("__have", F.lit(0)).alias("__have"),
@@ -216,26 +213,40 @@ def verbatim_in_group(
         cited = found(asked.select(*keys, "id", "__needle").distinct(), [*keys, "id"])
         # Few rows, read twice: what is found here need not be looked for again.
         hits = cited.select(*keys, "__needle").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    left_over = asked.select(*keys, "__needle").distinct().join(hits, [*keys, "__needle"], "left_anti")
+    left_over = join_on(asked.select(*keys, "__needle").distinct(), hits, [*keys, "__needle"], "left_anti")
     every = hits.unionByName(found(left_over, keys)).withColumn("__found", F.lit(True))
     return (
-        rows.join(every, [*keys, "__needle"], "left")
+        join_on(rows, every, [*keys, "__needle"], "left")
         .withColumn("verbatim", F.coalesce("__found", F.lit(False)))
         .drop("__found", "__needle")
     )
 
 
 def resolve_picks(
-    picks: DataFrame, reviews: DataFrame, keys: list[str], n: int = TOP_K
+    picks: DataFrame,
+    reviews: DataFrame,
+    keys: list[str],
+    n: int = TOP_K,
+    fallback: DataFrame | None = None,
 ) -> DataFrame:
     """Quotes chosen outside: kept if their review exists and the words are verbatim.
 
-    ``picks`` has ``pick_rank``, ``id`` and ``quote``. Valid picks are renumbered.
+    ``picks`` has ``pick_rank``, ``id`` and ``quote``. Valid picks are renumbered. A
+    group with fewer than ``n`` of them gets its quotes of ``fallback`` instead, the
+    result of ``select_quotes``, if that is given.
     """
-    known = picks.join(reviews.select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
+    cited = picks.select(*keys, "id").distinct()
+    ids = join_small(reviews.select(*keys, "id"), cited, [*keys, "id"], "left_semi").distinct()
+    known = join_on(picks, ids, [*keys, "id"], "left_semi")
     valid = verbatim_in_group(known, reviews, keys).filter("verbatim").drop("verbatim")
     kept = top_ranked(valid, keys, [F.col("pick_rank")], n, "quote_rank")
-    return kept.withColumn("quote", truncate_words(unwrap_quotes(F.col("quote"))))
+    kept = kept.withColumn("quote", truncate_words(unwrap_quotes(F.col("quote"))))
+    if fallback is None:
+        return kept
+    columns = [*keys, "quote_rank", "id", "quote"]
+    full = kept.groupBy(*keys).count().filter(F.col("count") >= n).select(*keys)
+    chosen = join_on(kept.select(*columns), full, keys, "left_semi")
+    return chosen.unionByName(join_on(fallback.select(*columns), full, keys, "left_anti"))
 
 
 GRAM_WORDS = 3
@@ -378,7 +389,7 @@ def filter_evidence(
     if mode in vocab.ids:
         return rows.filter(F.col("theme_id") == mode)
     if mode == "top3" and not quotes:
-        return rows.join(top.select(*keys, "theme_id"), [*keys, "theme_id"], "left_semi")
+        return join_small(rows, top.select(*keys, "theme_id"), [*keys, "theme_id"], "left_semi")
     return rows
 
 
@@ -387,4 +398,4 @@ def ground_actions(actions: DataFrame, quotes: DataFrame, keys: list[str]) -> Da
     first = first_per(quotes, [*keys, "theme_id"], [F.col("quote_rank")]).select(
         *keys, "theme_id", F.col("quote").alias("grounded_in")
     )
-    return actions.join(first, [*keys, "theme_id"], "left")
+    return join_on(actions, first, [*keys, "theme_id"], "left")

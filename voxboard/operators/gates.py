@@ -24,6 +24,7 @@ from voxboard.model import (
     Vocabulary,
 )
 from voxboard.operators.evidence import verbatim_in_group
+from voxboard.operators.joins import join_on
 from voxboard.operators.windows import as_date
 
 # Gate names in display order and the least words of an action.
@@ -71,10 +72,15 @@ def source_violations(reviews: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def review_profile(
-    reviews: DataFrame, keys: list[str], as_of: str | dt.date | Column | None = None, weeks: Column | int | None = None
+    reviews: DataFrame,
+    keys: list[str],
+    as_of: str | dt.date | Column | None = None,
+    weeks: DataFrame | Column | int | None = None,
 ) -> DataFrame:
     """Counts the window and source gates need, one row per group.
 
+    ``weeks`` may be a table with the ``weeks_used`` of each group.
+
     Reviews are first counted per day, so the newest date of a group, which is
     the default end of the window, is found among days and not among reviews.
     """
@@ -84,7 +90,11 @@ def review_profile(
         F.count_if(_bad_language()).alias("__language"),
     )
     newest = F.max("date").over(W.partitionBy(*keys))
-    width = F.lit(MAX_WEEKS) if weeks is None else (F.lit(weeks) if isinstance(weeks, int) else weeks)
+    if isinstance(weeks, DataFrame):
+        daily = join_on(daily, weeks, keys, "left")
+        width = F.coalesce("weeks_used", F.lit(MAX_WEEKS))
+    else:
+        width = F.lit(MAX_WEEKS) if weeks is None else (F.lit(weeks) if isinstance(weeks, int) else weeks)
     width = F.greatest(F.lit(8), F.least(F.lit(MAX_WEEKS), width))
     end = newest if as_of is None else as_date(as_of)
     days = daily.withColumn("__as_of", end).withColumn("__width", width)
@@ -207,7 +217,9 @@ def theme_gate() -> Column:
     return _gate("theme_count", errors, F.format_string("%d clustered; report top %d", n, shown))
 
 
-def quote_flags(reports: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFrame:
+def quote_flags(
+    reports: DataFrame, reviews: DataFrame, keys: list[str], loose_space: bool = False
+) -> DataFrame:
     """Each quote of each report with its place and whether it is verbatim."""
     if "quote_ids" in reports.columns:
         paired = F.arrays_zip(F.col("quote_ids").alias("id"), F.col("quotes").alias("quote"))
@@ -218,7 +230,7 @@ def quote_flags(reports: DataFrame, reviews: DataFrame, keys: list[str]) -> Data
         quotes = reports.select(*keys, F.posexplode("quotes").alias("at", "quote")).select(
             *keys, (F.col("at") + 1).alias("place"), "quote"
         )
-    return verbatim_in_group(quotes, reviews, keys)
+    return verbatim_in_group(quotes, reviews, keys, loose_space)
 
 
 def quote_errors(flags: DataFrame, keys: list[str]) -> DataFrame:
@@ -307,6 +319,8 @@ def evaluate_gates(
     as_of: str | dt.date | Column | None = None,
     weeks: int | None = None,
     vocab: Vocabulary = VOCABULARY,
+    extra: list[Column] = (),
+    loose_space: bool = False,
 ) -> DataFrame:
     """All seven gates of every report, as rows.
 
@@ -314,8 +328,14 @@ def evaluate_gates(
     quote_ids, action_themes and insufficient_signal; a report flagged as
     insufficient may have fewer than three of each. What the gates need is
     joined to each report once, and all gates are read off that row.
+
+    The window is ``weeks`` wide, or as wide as the report's ``weeks_used`` says.
+    ``extra`` are further texts of the report that must hold no personal data. With
+    ``loose_space`` white space in quotes matches any other.
     """
     keys = list(keys)
+    if weeks is None and "weeks_used" in reports.columns:
+        weeks = reports.groupBy(*keys).agg(F.max("weeks_used").alias("weeks_used"))
     sparse = F.col("insufficient_signal") if "insufficient_signal" in reports.columns else F.lit(False)
     relaxed = F.coalesce(sparse, F.lit(False)) & (
         (F.size("quotes") < TOP_K) | (F.size("themes") < TOP_K)
@@ -328,27 +348,32 @@ def evaluate_gates(
         F.collect_set("theme_id").alias("seen"),
         F.array_sort(F.collect_list(F.struct("ordinal", "summary")))["summary"].alias("summaries"),
     )
-    facts = (
-        rows.join(review_profile(reviews, keys, as_of, weeks), keys, "left")
-        .join(theme_errors(themes, keys, vocab), keys, "left")
-        .join(observed, keys, "left")
-        .join(quote_errors(quote_flags(rows, reviews, keys), keys), keys, "left")
-        .withColumn("body_words", word_count(F.col("body")))
-    )
+    parts = [
+        review_profile(reviews, keys, as_of, weeks),
+        theme_errors(themes, keys, vocab),
+        observed,
+        quote_errors(quote_flags(rows, reviews, keys, loose_space), keys),
+    ]
+    for part in parts:
+        rows = join_on(rows, part, keys, "left")
+    facts = rows.withColumn("body_words", word_count(F.col("body")))
     gates = [
         window_gate(),
         theme_gate(),
         quote_gate(),
         action_gate(vocab, "action_themes" in reports.columns),
         length_gate(),
-        privacy_gate(review_columns=reviews.columns),
+        privacy_gate(extra, review_columns=reviews.columns),
         source_gate(),
     ]
     return facts.select(*keys, F.inline(F.array(*gates)))
 
 
-def gate_report(gates: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per report: overall result, gates by name and all errors in order."""
+def gate_report(gates: DataFrame, keys: list[str], reports: DataFrame | None = None) -> DataFrame:
+    """One row per report: overall result, gates by name and all errors in order.
+
+    With ``reports`` the row also has their ``insufficient_signal`` and ``warnings``.
+    """
     ordered = F.array_sort(
         F.collect_list(F.struct("ordinal", "name", "ok", "detail", "errors"))
     )
@@ -360,13 +385,18 @@ def gate_report(gates: DataFrame, keys: list[str]) -> DataFrame:
             F.struct(g["name"].alias("name"), g["ok"].alias("ok"), g["detail"].alias("detail"), g["errors"].alias("errors")).alias("value"),
         ),
     )
-    return rows.select(
+    result = rows.select(
         *keys,
         "ok",
         F.size(F.filter("__g", lambda g: ~g["ok"])).alias("n_failed"),
         F.flatten(F.col("__g.errors")).alias("errors"),
         F.map_from_entries(entry).alias("gates"),
     )
+    if reports is None:
+        return result
+    flag = F.coalesce("insufficient_signal", F.lit(False)).alias("insufficient_signal")
+    notes = sparse_warnings(reports).select(*keys, flag, "warnings")
+    return join_on(result, notes, keys, "left")
 
 
 def sparse_warnings(reports: DataFrame) -> DataFrame:
@@ -387,7 +417,7 @@ def sparse_warnings(reports: DataFrame) -> DataFrame:
 
 def missing_report_gates(groups: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
     """A failed length gate for every group without a stored report."""
-    lost = groups.select(*keys).distinct().join(reports.select(*keys), list(keys), "left_anti")
+    lost = join_on(groups.select(*keys).distinct(), reports.select(*keys), keys, "left_anti")
     gate = _gate("length", F.array(F.lit("report not found")), F.lit("report missing"))
     return lost.select(*keys, F.inline(F.array(gate)))
 
@@ -401,11 +431,12 @@ def evaluate_stored(
     as_of: str | dt.date | Column | None = None,
     weeks: int | None = None,
     vocab: Vocabulary = VOCABULARY,
+    loose_space: bool = False,
 ) -> DataFrame:
     """Gates of stored report texts, parsed back into their sections."""
     from voxboard.operators.report import parse_reports
 
-    flags = [c for c in ("insufficient_signal",) if c in stored.columns]
+    flags = [c for c in ("insufficient_signal", "weeks_used") if c in stored.columns]
     parsed = parse_reports(stored).select(
         *keys,
         F.col("parsed_themes").alias("themes"),
@@ -415,5 +446,7 @@ def evaluate_stored(
         F.col("parsed_word_count").alias("word_count"),
         *flags,
     )
-    present = evaluate_gates(reviews, themes, parsed, keys, as_of, weeks, vocab)
+    present = evaluate_gates(
+        reviews, themes, parsed, keys, as_of, weeks, vocab, loose_space=loose_space
+    )
     return present.unionByName(missing_report_gates(groups, stored, keys))

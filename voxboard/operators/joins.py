@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+def join_on(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal names, where null matches null.
+
+    A product, week or theme that is missing is a group like any other. The keys
+    come first, then the other columns of both sides.
+    """
+    names = list(on)
+    marks = [f"__on_{i}" for i in range(len(names))]
+    rest = [c for c in right.columns if c not in names]
+    marked = right.select(
+        *[F.col(f"`{c}`").alias(m) for c, m in zip(names, marks)], *[F.col(f"`{c}`") for c in rest]
+    )
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(m)) for c, m in zip(names, marks)])
+    joined = left.join(marked, same, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    own = [c for c in left.columns if c not in names]
+    return joined.select(*[F.col(f"`{c}`") for c in [*names, *own, *rest]])
+
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
 
@@ -35,5 +58,5 @@ def join_small(
     """
     kept = small.persist(StorageLevel.MEMORY_AND_DISK)
     if measured_small(kept, max_bytes, max_rows):
-        return big.join(F.broadcast(kept), list(on), how)
-    return big.join(kept, list(on), how)
+        return join_on(big, F.broadcast(kept), on, how)
+    return join_on(big, kept, on, how)

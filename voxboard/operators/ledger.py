@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxboard.operators.joins import join_on
 from voxboard.operators.ranking import first_per
 
 FRESH_SLACK_SECONDS = 5
@@ -35,7 +36,7 @@ def delivery_state(runs: DataFrame) -> DataFrame:
 def undelivered(weeks: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     """Weeks that are not fully delivered yet."""
     done = delivery_state(ledger).filter("already_delivered")
-    return weeks.join(done.select(*keys), list(keys), "left_anti")
+    return join_on(weeks, done.select(*keys), keys, "left_anti")
 
 
 def partial_deliveries(ledger: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def publish_queue(
         F.col("doc_id").alias("prior_doc_id"),
         F.col("doc_url").alias("prior_doc_url"),
     )
-    rows = passed.join(prior, list(keys), "left").filter(~F.coalesce("__done", F.lit(False)))
+    rows = join_on(passed, prior, keys, "left").filter(~F.coalesce("__done", F.lit(False)))
     draft_only = F.coalesce("__doc", F.lit(False))
     url = F.when(draft_only, F.col("prior_doc_url"))
     # With no prior document a new one is made first; its address then exists.

@@ -9,6 +9,7 @@ from voxboard.functions.keywords import keyword_scores
 from voxboard.functions.numbers import group_digits_indian, is_low_star, percent
 from voxboard.functions.text import count_words
 from voxboard.model import TOP_K, VOCABULARY, WORD_LIMIT, Vocabulary
+from voxboard.operators.joins import join_on
 
 STARS = [1, 2, 3, 4, 5]
 
@@ -80,7 +81,7 @@ def kpi_strip(reports: DataFrame) -> DataFrame:
 
 def theme_shares(themes: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Share of the corpus and share of low-star reviews of each theme, in percent."""
-    rows = themes.join(totals.select(*keys, F.col("review_count").alias("__total")), list(keys))
+    rows = join_on(themes, totals.select(*keys, F.col("review_count").alias("__total")), keys)
     severe = percent(F.col("low_star_count"), F.col("review_count"))
     return rows.select(
         *themes.columns,
@@ -93,7 +94,7 @@ def theme_shares(themes: DataFrame, totals: DataFrame, keys: list[str]) -> DataF
 def featured_themes(themes: DataFrame, top: DataFrame, keys: list[str]) -> DataFrame:
     """Top themes in rank order, the others after them without a rank."""
     ranks = top.select(*keys, "theme_id", "rank")
-    return themes.join(ranks, [*keys, "theme_id"], "left").withColumn(
+    return join_on(themes, ranks, [*keys, "theme_id"], "left").withColumn(
         "featured", F.col("rank").isNotNull() & (F.col("rank") <= TOP_K)
     )
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Up to this k Spark cuts each group before the shuffle (WindowGroupLimit), so a
-# hot group sends at most k rows per input task.
-GROUP_LIMIT = 1000
+from voxboard.operators.joins import join_on
+
+#: Rows that one bucket of ``order_buckets`` is meant to hold.
+BUCKET_ROWS = 50_000
 
 
 def top_ranked(
@@ -18,9 +21,11 @@ def top_ranked(
     k: int,
     rank: str = "rn",
 ) -> DataFrame:
-    """First k rows per group, with their rank."""
-    if k > GROUP_LIMIT:
-        raise ValueError(f"k={k} is above {GROUP_LIMIT}; use group_rank")
+    """First k rows per group, with their rank.
+
+    For a k that Spark takes for small it cuts each group before the shuffle
+    (WindowGroupLimit). Where k may be large, rank with ``group_rank``.
+    """
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
@@ -61,12 +66,23 @@ def group_rank(
     offsets = bucket_offsets(keyed, keys, names)
     inside = W.partitionBy(*keys, *names).orderBy(*order)
     return (
-        keyed.join(offsets, [*keys, *names])
+        join_on(keyed, offsets, [*keys, *names])
         .withColumn(rank, F.col("__before") + F.row_number().over(inside))
         .drop("__before", *names)
     )
 
 
-def hash_prefix(c: Column, digits: int = 3) -> Column:
-    """Leading part of a ``play-<hex>`` id: 16**digits evenly filled, ordered buckets."""
-    return F.substring(c, 1, len("play-") + digits)
+def order_buckets(df: DataFrame, text: str) -> Column:
+    """Leading characters of a text column that split it into ordered buckets.
+
+    What all values begin with says nothing and is left out; the number of
+    characters after it grows with the rows, so that hexadecimal ids, whatever
+    their prefix, fill buckets of about ``BUCKET_ROWS``. One row comes to the driver.
+    """
+    c = F.col(text).cast("string")
+    low, high, rows = df.agg(F.min(c), F.max(c), F.count(c)).first()
+    shared = len(commonprefix([low or "", high or ""]))
+    digits = 1
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return F.coalesce(F.substring(c, shared + 1, digits + 1), F.lit(""))

@@ -16,8 +16,10 @@ from voxboard.functions.text import (
     word_count,
 )
 from voxboard.model import MAX_WEEKS, TOP_K, VOCABULARY, WORD_LIMIT, Vocabulary
+from voxboard.operators.joins import join_on
 from voxboard.operators.ranking import first_per, top_ranked
 
+UNNAMED_PRODUCT = "unnamed product"
 REPORT_NAME = "Weekly Review"
 EMPTY_THEME = "Insufficient volume this window"
 
@@ -259,11 +261,13 @@ def assemble(
 
     ``groups`` has week_ending, review_count, weeks_used, window_widened and
     insufficient_signal. ``top`` and ``actions`` are padded; groups below the
-    sparse floor get the warning variant.
+    sparse floor get the warning variant. Reviews without a product make a report of
+    their own, under a placeholder.
     """
-    product = F.col("product_id") if product is None else product
+    if product is None:
+        product = F.coalesce(F.col("product_id"), F.lit(UNNAMED_PRODUCT))
     empty = F.array().cast("array<string>")
-    joined = groups.join(_parts(top, quotes, actions, keys), list(keys), "left")
+    joined = join_on(groups, _parts(top, quotes, actions, keys), keys, "left")
     rows = joined.select(
         *groups.columns,
         "__themes",

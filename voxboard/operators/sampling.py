@@ -7,14 +7,8 @@ from pyspark.sql import functions as F
 
 from voxboard.functions.ids import opaque_id
 from voxboard.functions.numbers import rating_sort
-from voxboard.operators.joins import join_small
-from voxboard.operators.ranking import (
-    GROUP_LIMIT,
-    first_per,
-    group_rank,
-    hash_prefix,
-    top_ranked,
-)
+from voxboard.operators.joins import join_on, join_small
+from voxboard.operators.ranking import first_per, group_rank, order_buckets
 
 
 def fingerprint(date: Column, rating: Column, text: Column) -> Column:
@@ -61,12 +55,9 @@ def stratified_sample(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
     # Null-safe grouping: a missing rating is a stratum of its own, sorted last.
     marked = df.withColumn("__r", rating_sort(F.col("rating")))
     by = [*keys, "__r"]
-    if n <= GROUP_LIMIT:
-        ranked = top_ranked(marked, by, [F.col("id")], n, "__rn")
-    else:
-        ranked = group_rank(
-            marked, by, {"__b": hash_prefix(F.col("id"))}, [F.col("id")], "__rn"
-        ).drop("group_size").filter(F.col("__rn") <= n)
+    buckets = {"__b": order_buckets(df, "id")}
+    ranked = group_rank(marked, by, buckets, [F.col("id")], "__rn").drop("group_size")
+    ranked = ranked.filter(F.col("__rn") <= n)
     rn, r = F.col("__rn").cast("long"), F.col("__r")
     place = F.aggregate(
         "__sizes",
@@ -76,7 +67,7 @@ def stratified_sample(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
         + F.when((s["r"] <= r) & (s["n"] >= rn), 1).otherwise(0),
     )
     return (
-        ranked.join(sizes, list(keys))
+        join_on(ranked, sizes, keys)
         .withColumn("pick", place)
         .filter(F.col("pick") <= n)
         .drop("__sizes", "__r", "__rn")
@@ -93,7 +84,7 @@ def systematic_sample(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
     ranked = group_rank(
         narrow,
         list(keys),
-        {"__b1": F.col("__r"), "__b2": hash_prefix(F.col("id"))},
+        {"__b1": F.col("__r"), "__b2": order_buckets(df, "id")},
         [F.col("id")],
         "__rank",
     )

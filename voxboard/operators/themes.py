@@ -24,7 +24,7 @@ from voxboard.model import (
     Vocabulary,
 )
 from voxboard.operators.barrier import compute_once
-from voxboard.operators.joins import join_small
+from voxboard.operators.joins import join_on, join_small
 from voxboard.operators.ranking import top_ranked
 
 OUTPUT_RESERVE = 400
@@ -50,7 +50,7 @@ def attach_assignments(
     reviews: DataFrame, assignments: DataFrame, keys: list[str] = (), vocab: Vocabulary = VOCABULARY
 ) -> DataFrame:
     """Reviews with the theme assigned to their id; the default where there is none."""
-    return fold_unknown(reviews.join(assignments, [*keys, "id"], "left"), vocab)
+    return fold_unknown(join_on(reviews, assignments, [*keys, "id"], "left"), vocab)
 
 
 def with_label(df: DataFrame, vocab: Vocabulary = VOCABULARY) -> DataFrame:
@@ -122,7 +122,7 @@ def merge_labels(
     ``theme_id`` per id; rows that were not queued keep the theme they have.
     """
     given = labels.select(*keys, "id", F.col("theme_id").alias("__given"))
-    joined = routed.join(given, [*keys, "id"], "left")
+    joined = join_on(routed, given, [*keys, "id"], "left")
     outside = F.when(vocab.contains(F.col("__given")), F.col("__given"))
     theme = F.when(
         F.col("route") == "queue", F.coalesce(outside, F.col("hint"), F.lit(vocab.default))
@@ -186,9 +186,8 @@ def aggregate_themes(
 ) -> DataFrame:
     """The theme table of each group: counts, average, summary and sample ids."""
     folded = fold_unknown(df, vocab)
-    return theme_counts(folded, keys, vocab).join(
-        sample_ids(folded, keys, n_samples), [*keys, "theme_id"]
-    )
+    counts, samples = theme_counts(folded, keys, vocab), sample_ids(folded, keys, n_samples)
+    return join_on(counts, samples, [*keys, "theme_id"])
 
 
 def severity(df: DataFrame, keys: list[str], vocab: Vocabulary = VOCABULARY) -> DataFrame:
@@ -263,10 +262,6 @@ def themes_report(
     vocabulary = F.map_from_entries(
         F.transform(vocab.as_array(), lambda t: F.struct(t["theme_id"], t["label"]))
     )
-    return (
-        rows.join(tops, list(keys), "left")
-        .join(lows, list(keys), "left")
-        .join(runs, list(keys), "left")
-        .withColumn("mode", F.lit(mode))
-        .withColumn("vocabulary", vocabulary)
-    )
+    for part in (tops, lows, runs):
+        rows = join_on(rows, part, keys, "left")
+    return rows.withColumn("mode", F.lit(mode)).withColumn("vocabulary", vocabulary)

@@ -12,6 +12,7 @@ from voxboard.functions.privacy import redact_pii
 from voxboard.model import MAX_WEEKS, MIN_WEEKS, MIN_WORDS, SPARSE_THRESHOLD
 from voxboard.operators.barrier import compute_once
 from voxboard.operators.intake import BAD_DATE, EMPTY_TEXT, WRONG_PACKAGE, classify_rows
+from voxboard.operators.joins import join_on
 from voxboard.operators.quality import filter_quality, quality_reason
 from voxboard.operators.sampling import dedupe_reviews
 from voxboard.operators.scrub import scrub
@@ -94,7 +95,7 @@ def ingest_stats(
         F.count_if(F.col("has_text") & F.col("why").isNull()).alias("after_quality"),
     )
     joined = (
-        reasons.join(counted, keys, "left").join(choice, keys, "left").join(left, keys, "left")
+        join_on(join_on(join_on(reasons, counted, keys, "left"), choice, keys, "left"), left, keys, "left")
     )
     zero = F.lit(0).cast("long")
     counts = [

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxboard.model import MIN_WEEKS, VOCABULARY, Vocabulary
+from voxboard.operators.joins import join_on
 from voxboard.operators.ledger import latest_runs, publish_queue, require_fresh
 from voxboard.plans.staging import Stage, shared
 from voxboard.plans.weekly import Weekly, weekly_reports
@@ -45,11 +46,11 @@ def weekly_job(
     queue = stage(publish_queue(runs, prior, week, allow_sparse), "queue")
     if gates_path is not None:
         write_gates(
-            weekly.gates.join(weekly.reports.select(*week), keys).withColumn("run", F.lit(str(started))),
+            join_on(weekly.gates, weekly.reports.select(*week), keys).withColumn("run", F.lit(str(started))),
             gates_path,
         )
     # Ids of an earlier delivery stay on the week's latest row. The queue is
     # staged, hence settled, before the ledger grows: it must not see its own run.
     delivered = latest_runs(prior, week).select(*week, "doc_id", "doc_url", "draft_id", "sent_id")
-    append_run(runs.join(delivered, week, "left"), ledger_path)
+    append_run(join_on(runs, delivered, week, "left"), ledger_path)
     return weekly, queue

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxboard.functions.numbers import round_half_even
 from voxboard.model import VOCABULARY, Vocabulary
+from voxboard.operators.joins import join_on
 from voxboard.operators.ledger import latest_runs, undelivered
 from voxboard.operators.themes import rank_themes
 from voxboard.sources.artifacts import append_run, read_runs
@@ -33,7 +34,7 @@ def runs_from_counts(counts: DataFrame, vocab: Vocabulary = VOCABULARY) -> DataF
     top = rank_themes(table, keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rank", "theme_id")))["theme_id"].alias("top_3")
     )
-    return totals.join(top, keys)
+    return join_on(totals, top, keys)
 
 
 def ledger_upsert(path: str, keys: list[str] = ("product_id", "week_key")) -> Callable[[DataFrame, int], None]:
@@ -51,7 +52,7 @@ def ledger_upsert(path: str, keys: list[str] = ("product_id", "week_key")) -> Ca
         runs = runs_from_counts(batch)
         fresh = undelivered(runs, latest_runs(ledger, keys), keys)
         known = latest_runs(ledger, keys).select(*same)
-        new = fresh.join(known, same, "left_anti").withColumn("finished_at", F.current_timestamp())
+        new = join_on(fresh, known, same, "left_anti").withColumn("finished_at", F.current_timestamp())
         append_run(new, path)
 
     return write
