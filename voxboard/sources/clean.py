@@ -27,17 +27,38 @@ def _blank_to_null(name: str) -> Column:
     return F.nullif(F.col(name), F.lit("")).alias(name)
 
 
-def scan_clean(spark: SparkSession, path: str) -> DataFrame:
-    """Cleaned reviews from JSON, CSV or parquet."""
-    if path.endswith(".parquet") or path.endswith(".parquet/"):
+def _exists(spark: SparkSession, path: str) -> bool:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+
+
+def table_format(spark: SparkSession, path: str) -> str:
+    """Format of a file or table folder, by the suffixes of the files in it."""
+    files = [f.lower() for f in spark.read.format("binaryFile").load(path).inputFiles()]
+    kinds = {k for k in ("parquet", "csv", "json") for f in files if f.endswith(f".{k}") or f".{k}." in f}
+    if len(kinds) != 1:
+        raise ValueError(f"format of {path} is unclear ({sorted(kinds)}); name it")
+    return kinds.pop()
+
+
+def scan_clean(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = False) -> DataFrame:
+    """Cleaned reviews from parquet, CSV or JSON lines; malformed input is an error.
+
+    ``fmt`` names the format, else the files tell. ``multiline`` is for JSON written as
+    one document, and for CSV texts with line breaks.
+    """
+    fmt = fmt or table_format(spark, path)
+    if fmt == "parquet":
         return spark.read.parquet(path)
     text = T.StructType([T.StructField(c, T.StringType()) for c in REVIEW_COLUMNS])
-    if path.endswith(".csv"):
+    many = str(multiline).lower()
+    if fmt == "csv":
         raw = (
             spark.read.schema(text)
             .option("header", "true")
             .option("escape", '"')
-            .option("multiLine", "true")
+            .option("mode", "FAILFAST")
+            .option("multiLine", many)
             .csv(path)
         )
         return raw.select(
@@ -49,8 +70,8 @@ def scan_clean(spark: SparkSession, path: str) -> DataFrame:
             F.try_to_date("date", "yyyy-MM-dd").alias("date"),
             _blank_to_null("language"),
         )
-    df = spark.read.schema(REVIEW_SCHEMA).option("multiLine", "true").json(path)
-    return df.withColumn("source", F.coalesce("source", F.lit("play")))
+    reader = spark.read.schema(REVIEW_SCHEMA).option("mode", "FAILFAST").option("multiLine", many)
+    return reader.json(path).withColumn("source", F.coalesce("source", F.lit("play")))
 
 
 def scan_clean_preferred(spark: SparkSession, json_path: str | None, csv_path: str | None) -> DataFrame:
@@ -58,14 +79,16 @@ def scan_clean_preferred(spark: SparkSession, json_path: str | None, csv_path: s
     for path in (json_path, csv_path):
         if path is None:
             continue
-        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath):
-            return scan_clean(spark, path)
+        if _exists(spark, path):
+            return scan_clean(spark, path, multiline=True)
     raise FileNotFoundError(f"no cleaned corpus at {json_path} or {csv_path}")
 
 
 def write_clean(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
-    """Partitioned by product and week; the rebalance hint evens out hot weeks."""
+    """Partitioned by product and week; the rebalance hint evens out hot weeks.
+
+    Overwriting replaces the weeks that are written and leaves all others as they are.
+    """
     assert_no_pii_columns(df)
     keys = [k for k in ("product_id", "week_key") if k in df.columns]
     if "product_id" in keys and "week_key" not in keys:
@@ -73,9 +96,9 @@ def write_clean(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
         keys.append("week_key")
     out = keep_columns(df, keys)
     if keys:
-        out.hint("rebalance", *[F.col(k) for k in keys]).write.mode(mode).partitionBy(*keys).format(
-            fmt
-        ).save(path)
+        out.hint("rebalance", *[F.col(k) for k in keys]).write.mode(mode).option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(*keys).format(fmt).save(path)
     else:
         out.write.mode(mode).format(fmt).save(path)
 

@@ -1,31 +1,38 @@
 """Raw review exports: JSON, CSV and TSV files of one folder as one DataFrame.
 
-Every row keeps ``src_file`` and ``src_pos``, its place in the files, because
-the first copy of a review in file order is the one that is kept.
+Every row keeps ``src_file`` (the path) and ``src_pos``, its place in the files,
+because the first copy of a review in file order is the one that is kept.
+
+How files are laid out is found out by one pass of Spark over all their lines,
+which brings one short row per file to the driver.
 """
 
 from __future__ import annotations
 
-import csv
+import re
 from collections import defaultdict
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxboard.functions.dates import parse_date_number
+from voxboard.model import RAW_FIELDS
+
 # List-valued keys of wrapped exports and accepted file suffixes.
 WRAPPER_KEYS = ["reviews", "data", "results", "items"]
 SUFFIXES = (".json", ".csv", ".tsv")
+DATE_NAMES = {n.lower() for n in RAW_FIELDS["date"] + RAW_FIELDS["millis"]}
 DELIMITERS = ",\t;"
-PROBE_BYTES = 4096
 
 
 def with_position(df: DataFrame) -> DataFrame:
     """Add where in the files a row stands; orders rows inside one file."""
     return df.select(
         "*",
-        F.col("_metadata.file_name").alias("src_file"),
+        F.col("_metadata.file_path").alias("src_file"),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
@@ -46,16 +53,82 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: union_raw(a, b), parts)
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    """A column as text; a number in a date column as the date that it stands for."""
+    c = F.col(f"`{name}`")
+    if name in DATE_NAMES and isinstance(df.schema[name].dataType, T.NumericType):
+        return F.coalesce(parse_date_number(c).cast("string"), c.cast("string"))
+    return c.cast("string")
+
+
 def union_raw(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Bag union by column name; a column typed differently on both sides becomes text."""
+    """Bag union by column name; a column typed differently on both sides becomes text.
+
+    Epochs are numbers, so a date column that is a number on one side is read as such
+    before it becomes text.
+    """
     types_a, types_b = dict(a.dtypes), dict(b.dtypes)
     clash = [c for c in types_a if c in types_b and types_a[c] != types_b[c]]
-    for c in clash:
-        a = a.withColumn(c, F.col(c).cast("string"))
-        b = b.withColumn(c, F.col(c).cast("string"))
+    a = a.withColumns({c: _as_text(a, c) for c in clash}) if clash else a
+    b = b.withColumns({c: _as_text(b, c) for c in clash}) if clash else b
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@dataclass(frozen=True)
+class Layout:
+    """What all lines of a file say of it."""
+
+    path: str
+    encoding: str
+    header: str
+    multiline: bool
+    json_lines: bool
+
+    def delimiter(self) -> str:
+        outside = "".join(self.header.split('"')[::2])
+        most = max(DELIMITERS, key=outside.count)
+        return most if most in outside else ","
+
+
+def layouts(spark: SparkSession, paths: list[str]) -> list[Layout]:
+    """Encoding, header and form of each file, judged by all its bytes.
+
+    A file is UTF-8 if every line is. Otherwise it is UTF-16 if it starts with a byte
+    order mark or most lines hold zero bytes, and else Latin-1. A line with an odd
+    number of quotes means that some record goes over several lines. A JSON file of
+    several lines, each of them an object, can be read line by line.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        "value",
+    )
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    filled = F.btrim(value) != ""
+    entire = F.btrim(value).startswith("{") & F.btrim(value).endswith("}")
+    facts = lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8(value)).alias("utf8"),
+        F.count_if(F.contains(value, F.lit("\0"))).alias("zeros"),
+        F.count("*").alias("lines"),
+        F.min_by(F.hex(value.cast("binary")), "place").alias("first"),
+        F.bool_or(quotes % 2 == 1).alias("odd"),
+        (F.bool_and(~filled | entire) & (F.count_if(filled) > 1)).alias("objects"),
+    )
+    found = []
+    for r in facts.toLocalIterator():
+        first = bytes.fromhex(r["first"])
+        encoding = "UTF-8" if r["utf8"] else "ISO-8859-1"
+        if first[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            encoding = "UTF-16"
+        elif 2 * r["zeros"] > r["lines"]:
+            encoding = "UTF-16LE"
+        header = first.decode(encoding, errors="ignore").lstrip("\ufeff").rstrip("\r\n\0")
+        wide = encoding.startswith("UTF-16")
+        found.append(Layout(r["path"], encoding, header, r["odd"] or wide, r["objects"] and not wide))
+    return sorted(found, key=lambda x: x.path)
+
+
 def _elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The review objects of JSON documents, each still as text.
 
@@ -82,56 +155,52 @@ def _infer(spark: SparkSession, elements: DataFrame) -> T.StructType:
     return DataFrame(spark._jsparkSession.read().json(strings), spark).schema
 
 
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The objects of JSON lines, each still as text; files can be split."""
+    rows = with_position(spark.read.text(paths))
+    return rows.filter(F.btrim("value").startswith("{")).select(
+        "src_file", "src_pos", F.col("value").alias("element")
+    )
+
+
 def scan_json(
-    spark: SparkSession, paths: str | list[str], lines: bool = False, schema: T.StructType | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    lines: bool | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
-    """A list of objects, an object wrapping such a list, or one object per file.
+    """A list of objects, an object wrapping such a list, or one object per file or line.
 
-    ``lines=True`` reads one object per line, the form that can be split over
-    many tasks; a single JSON document is always read by one task.
+    ``lines=True`` reads one object per line, the form that can be split over many
+    tasks; a single JSON document is always read by one task. Without it, files in
+    which every line is an object are read line by line.
     """
-    if lines:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        rows = with_position(reader.json(paths))
-        return normalise_headers(rows.drop("_corrupt_record"))
-    elements = _elements(spark, paths)
+    files = [paths] if isinstance(paths, str) else list(paths)
+    by_line = files if lines else []
+    if lines is None:
+        by_line = [x.path for x in layouts(spark, files) if x.json_lines]
+    whole = [f for f in files if not any(_same_path(f, p) for p in by_line)]
+    parts = ([_lines(spark, by_line)] if by_line else []) + ([_elements(spark, whole)] if whole else [])
+    elements = reduce(DataFrame.unionByName, parts)
     if schema is None:
         schema = _infer(spark, elements)
     if not schema.fields:
         raise ValueError(f"no JSON objects in {paths}")
-    parsed = elements.select("src_file", "src_pos", F.from_json("element", schema).alias("e"))
-    return normalise_headers(parsed.select("e.*", "src_file", "src_pos"))
-
-
-def _head(spark: SparkSession, path: str) -> bytes:
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(hpath)
-    try:
-        return bytes(stream.readNBytes(PROBE_BYTES))
-    finally:
-        stream.close()
-
-
-def probe_encoding(head: bytes) -> str:
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "UTF-16"
-    if head[1:64:2].count(0) > len(head[1:64:2]) // 2:
-        return "UTF-16LE"
-    for cut in range(4):
-        # The probe may end inside a character.
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return "ISO-8859-1"
+    parsed = elements.select("src_file", "src_pos", "element", F.from_json("element", schema).alias("e"))
+    columns = []
+    for f in schema.fields:
+        c = F.col("e")[f.name]
+        if f.name.strip().lower() in DATE_NAMES and isinstance(f.dataType, T.StringType):
+            # Numbers and texts were mixed: a number is an epoch, a text is not.
+            number = F.col("element").rlike(rf'"{re.escape(f.name)}"\s*:\s*-?[0-9]')
+            c = F.when(number, F.coalesce(parse_date_number(c.try_cast("double")).cast("string"), c)).otherwise(c)
+        columns.append(c.alias(f.name))
+    return normalise_headers(parsed.select(*columns, "src_file", "src_pos"))
 
 
-def probe_delimiter(sample: str) -> str:
-    try:
-        return csv.Sniffer().sniff(sample, delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        return ","
+def _same_path(a: str, b: str) -> bool:
+    """Equal but for the scheme and the slashes after it."""
+    return a.split(":", 1)[-1].lstrip("/") == b.split(":", 1)[-1].lstrip("/")
 
 
 def scan_csv(
@@ -139,29 +208,29 @@ def scan_csv(
     paths: str | list[str],
     encoding: str | None = None,
     sep: str | None = None,
-    multiline: bool = True,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """Delimited exports, every column as text.
 
-    Only the first bytes of each file are looked at on the driver, to choose
-    encoding, delimiter and header; files that agree are read in one scan.
+    Files that agree in encoding, delimiter and header are read in one scan. Only
+    those with records over several lines, and UTF-16, are read by one task each.
     """
-    layouts: dict[tuple[str, str, str], list[str]] = defaultdict(list)
-    for path in [paths] if isinstance(paths, str) else paths:
-        head = _head(spark, path)
-        enc = encoding or probe_encoding(head)
-        sample = head.decode(enc, errors="ignore").lstrip("\ufeff")
-        header = sample.splitlines()[0] if sample else ""
-        layouts[(enc, sep or probe_delimiter(sample), header)].append(path)
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    for x in layouts(spark, [paths] if isinstance(paths, str) else list(paths)):
+        many = x.multiline if multiline is None else multiline
+        header = x.header
+        if encoding:
+            header = header.encode(x.encoding, "ignore").decode(encoding, "ignore")
+        groups[(encoding or x.encoding, sep or x.delimiter(), header, many)].append(x.path)
     parts = []
-    for (enc, delimiter, _), files in layouts.items():
+    for (enc, delimiter, _, many), files in groups.items():
         df = (
             spark.read.option("header", "true")
             .option("sep", delimiter)
             .option("encoding", enc)
             .option("quote", '"')
             .option("escape", '"')
-            .option("multiLine", str(multiline).lower())
+            .option("multiLine", str(many).lower())
             .option("inferSchema", "false")
             .csv(files)
         )
@@ -170,20 +239,19 @@ def scan_csv(
 
 
 def discover_raw(spark: SparkSession, folder: str) -> list[str]:
-    """Export files of a folder, by name; other files are passed over."""
-    listing = spark.read.format("binaryFile").load(folder).select("path")
-    found = [r.path for r in listing.toLocalIterator() if r.path.lower().endswith(SUFFIXES)]
-    return sorted(found, key=lambda p: p.rsplit("/", 1)[-1])
+    """Export files of a folder, by path; other files are passed over."""
+    found = spark.read.format("binaryFile").load(folder).inputFiles()
+    return sorted(p for p in found if p.lower().endswith(SUFFIXES))
 
 
 def scan_raw(
-    spark: SparkSession, folder_or_files: str | list[str], json_lines: bool = False
+    spark: SparkSession, folder_or_files: str | list[str], json_lines: bool | None = None
 ) -> DataFrame:
     """All rows of all export files, with their place in the files."""
     if isinstance(folder_or_files, str):
         files = discover_raw(spark, folder_or_files)
     else:
-        files = sorted(folder_or_files, key=lambda p: p.rsplit("/", 1)[-1])
+        files = sorted(folder_or_files)
     if not files:
         raise FileNotFoundError(f"no raw export files in {folder_or_files}")
     unknown = [f for f in files if not f.lower().endswith(SUFFIXES)]
