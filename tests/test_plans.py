@@ -111,7 +111,12 @@ def test_sparse_week(spark):
 def test_weekly_job_and_ledger(spark, tmp_path):
     ledger, gates = str(tmp_path / "runs"), str(tmp_path / "gates")
     started = dt.datetime(2026, 9, 8, 8)
-    weekly, queue = weekly_job(spark, corpus(spark, 45), ledger, AS_OF, started, gates_path=gates)
+    folder = str(tmp_path / "themes")
+    weekly, queue = weekly_job(
+        spark, corpus(spark, 45), ledger, AS_OF, started, gates_path=gates, themes_path=folder
+    )
+    artifact = spark.read.json(folder).first()
+    assert artifact.labeled_reviews == 45 and artifact.week_key == "2026-W37" and len(artifact.top_3) == 3
     assert [r.week_key for r in queue.collect()] == ["2026-W37"]
     run = artifacts.read_runs(spark, ledger).first()
     assert run.validation_ok and run.review_count == 45 and run.top_3[0] and run.doc_id is None
@@ -120,7 +125,7 @@ def test_weekly_job_and_ledger(spark, tmp_path):
     assert sum(payload.rating_histogram) == 45 and len(payload.gates) == 7 and payload.snippets
     # A delivered week is left out of the next queue.
     done = artifacts.read_runs(spark, ledger).withColumns(
-        {"doc_id": F.lit("d"), "draft_id": F.lit("m"), "finished_at": F.lit("2026-09-08 09:00:00").cast("timestamp")}
+        {"doc_id": F.lit("d"), "draft_id": F.lit("m"), "finished_at": F.lit("2099-09-08 09:00:00").cast("timestamp")}
     )
     artifacts.append_run(spark.createDataFrame(done.collect(), done.schema), ledger)
     _, again = weekly_job(spark, corpus(spark, 45), ledger, AS_OF, dt.datetime(2026, 9, 8, 10))

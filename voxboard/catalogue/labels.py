@@ -44,6 +44,18 @@ def heuristic_theme(spark, sf):
     return themes.label_heuristic(document_reviews(spark, sf), TEST_VOCABULARY).select("doc_id", "theme_id")
 
 
+# Sentences with words of the trading vocabulary, dealt out by document id.
+TRADING_SENTENCES = [
+    "buy sell stop-loss stop loss f&o SL-M",
+    "orders crashes fees are no words of it",
+    "no  response from customer care, call centre",
+    "average buy price wrong price",
+    "doesnt work; worst app",
+    "UPI deposit and withdraw, hidden charge",
+    "limit order market order order",
+]
+
+
 def _trading_hits() -> str:
     counts = []
     for t in VOCABULARY.themes:
@@ -55,14 +67,18 @@ def _trading_hits() -> str:
     ascii_text = (
         r"regexp_replace(regexp_replace(text, '[^\x00-\x7f\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7f]', 'x', 'g')"
     )
-    source = f"(SELECT doc_id, {ascii_text} AS text FROM documents)"
+    listed = ", ".join(f"'{s}'" for s in TRADING_SENTENCES)
+    added = f"[{listed}][doc_id % {len(TRADING_SENTENCES)} + 1]"
+    source = f"(SELECT doc_id, {ascii_text} || ' ' || {added} AS text FROM documents)"
     return "SELECT doc_id, " + ", ".join(counts) + f" FROM {source}"
 
 
-# The trading vocabulary itself, on texts that hardly use it.
+# The trading vocabulary itself, on texts that end with some of its words.
 @query("trading_vocabulary_hits", _trading_hits())
 def trading_vocabulary_hits(spark, sf):
-    docs = document_reviews(spark, sf)
+    sentences = F.array(*[F.lit(s) for s in TRADING_SENTENCES])
+    added = F.get(sentences, (F.col("doc_id") % len(TRADING_SENTENCES)).cast("int"))
+    docs = document_reviews(spark, sf).withColumn("text", F.concat_ws(" ", "text", added))
     return docs.select("doc_id", keywords.keyword_scores(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 

@@ -119,11 +119,6 @@ def normalise_needle(c: Column) -> Column:
     return strip_ws(F.regexp_replace(unwrap_quotes(c), rf"(?:…|\.\.\.){SPACE}*$", ""))
 
 
-def is_verbatim(text: Column, quote: Column) -> Column:
-    needle = normalise_needle(quote)
-    return F.coalesce((needle != "") & text.contains(needle), F.lit(False))
-
-
 def collapse_ws(c: Column) -> Column:
     """White space runs as single blanks, for whitespace-tolerant matching."""
     return F.regexp_replace(strip_ws(c), SPACE + "+", " ")

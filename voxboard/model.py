@@ -38,6 +38,7 @@ RUN_SCHEMA = T.StructType(
         T.StructField("sent_id", T.StringType()),
         T.StructField("errors", T.ArrayType(T.StringType())),
         T.StructField("finished_at", T.TimestampType()),
+        T.StructField("run_id", T.StringType()),
     ]
 )
 

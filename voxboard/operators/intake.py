@@ -128,14 +128,6 @@ def require_product(df: DataFrame, product_id: str) -> DataFrame:
     return df
 
 
-def strip_row_text(df: DataFrame) -> DataFrame:
-    out = df
-    for name in ("title", "text", "language"):
-        if name in df.columns:
-            out = out.withColumn(name, blank_to_null(F.col(name)))
-    return out
-
-
 def reject_counts(classified: DataFrame, keys: list[str]) -> DataFrame:
     """Rows per group and reject reason; ``accepted`` for usable rows."""
     return classified.groupBy(

@@ -18,8 +18,11 @@ def _given(c: Column) -> Column:
 
 
 def latest_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """The last finished run of each week."""
-    return first_per(runs, keys, [F.col("finished_at").desc()])
+    """The last finished run of each week; of runs that ended together the last run id."""
+    # Ledgers without run ids are settled by what the rows hold.
+    held = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(runs.columns)]))
+    last = F.col("run_id") if "run_id" in runs.columns else F.lit(None)
+    return first_per(runs, keys, [F.col("finished_at").desc(), last.desc(), held.desc()])
 
 
 def delivery_state(runs: DataFrame) -> DataFrame:

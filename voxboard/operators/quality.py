@@ -10,9 +10,8 @@ from voxboard.model import MIN_WORDS
 
 # Scripts that rule out English, and the share of other letters allowed.
 NON_LATIN_SCRIPT = (
-    r"[ऀ-ॿঀ-৿਀-੿઀-૿଀-୿"
-    r"஀-௿ఀ-౿ಀ-೿ഀ-ൿ؀-ۿ"
-    r"一-鿿぀-ヿ가-힯]"
+    r"[\u0900-\u097F\u0980-\u09FF\u0A00-\u0A7F\u0A80-\u0AFF\u0B00-\u0B7F\u0B80-\u0BFF"
+    r"\u0C00-\u0C7F\u0C80-\u0CFF\u0D00-\u0D7F\u0600-\u06FF\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF]"
 )
 MAX_OTHER_LETTERS = 0.15
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxboard.functions.ids import opaque_id
 from voxboard.functions.numbers import rating_sort
 from voxboard.operators.joins import join_on, join_small
 from voxboard.operators.ranking import first_per, group_rank, order_buckets
@@ -36,10 +35,6 @@ def dedupe_reviews(
     )
 
 
-def with_content_id(df: DataFrame) -> DataFrame:
-    return df.withColumn("id", opaque_id(F.col("date"), F.col("rating"), F.col("text")))
-
-
 def stratified_sample(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
     """Round robin over the ratings: first of each rating, then second, until n.
 

@@ -53,10 +53,6 @@ def attach_assignments(
     return fold_unknown(join_on(reviews, assignments, [*keys, "id"], "left"), vocab)
 
 
-def with_label(df: DataFrame, vocab: Vocabulary = VOCABULARY) -> DataFrame:
-    return df.withColumn("label", vocab.label_of(F.col("theme_id")))
-
-
 def label_payload(df: DataFrame) -> DataFrame:
     """What an outside labeller gets to see of a review, as one JSON object."""
     hint = F.col("hint") if "hint" in df.columns else F.lit(None).cast("string")

@@ -6,6 +6,7 @@ settings from here except through the session it is given.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,7 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not configured:
-        if not sc.master.startswith("local"):
+        # A local cluster has executors of its own, which share no temporary folder.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="voxboard-checkpoint-")
     sc.setCheckpointDir(configured)

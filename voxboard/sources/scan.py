@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out where a scan has too few splits to keep the cores busy.
+    """Deal out the rows of a table that is a single split.
 
     A parquet file with one row group is one task, and the expressions on review
-    texts cost far more than moving the rows. Large inputs have splits enough
-    and come back as they are.
+    texts cost far more than moving the rows. No more than one split is ever
+    moved; a table of two or more comes back as it is, however many cores there are.
     """
-    if df.isStreaming:
+    if df.isStreaming or df.rdd.getNumPartitions() > 1:
         return df
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() * 2 <= wanted else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
