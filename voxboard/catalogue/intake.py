@@ -18,7 +18,7 @@ from voxboard.functions import dates, numbers, privacy, text
 from voxboard.functions.ids import opaque_id
 from voxboard.operators import gates, intake, quality, scrub
 from voxboard.operators.sampling import dedupe_reviews
-from voxboard.plans.ingest import ingest_stats
+from voxboard.plans.ingest import ingest, ingest_stats
 from voxboard.sources.raw import normalise_headers, union_raw
 from voxboard.sources.scan import spread
 
@@ -342,15 +342,77 @@ def redact_emails(spark, sf):
     return table(spark, sf, "documents").select("doc_id", privacy.redact_emails(F.col("text")).alias("text"))
 
 
-@query("scrub_reviews")
+# What is redacted, in the SQL engine's dialect. It has no lookarounds, so
+# the character before and after is part of the match; that is enough to say whether.
+REDACTED_SQL = r"""regexp_matches(text, '{email}')
+  OR regexp_matches(text, '(^|[^\p{{Nd}}])(\+?91[\s-]*)?[6-9]\p{{Nd}}{{9}}([^\p{{Nd}}]|$)')
+  OR regexp_matches(text, '(^|[^\p{{Nd}}])\+?\p{{Nd}}{{1,3}}[\s.-]?\(?\p{{Nd}}{{2,4}}\)?[\s.-]?\p{{Nd}}{{3,4}}[\s.-]?\p{{Nd}}{{3,4}}([^\p{{Nd}}]|$)')
+  OR regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])([0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}([^\p{{L}}\p{{N}}_]|$)|(gaid|idfa|android[_-]?id)\s*[:=]\s*[^\s]*[\p{{L}}\p{{N}}_]|[0-9a-f]{{16,}}([^\p{{L}}\p{{N}}_]|$))')
+""".format(email=EMAIL_SQL)
+
+
+@query(
+    "scrub_reviews",
+    f"""WITH {DOCS}, flagged AS (SELECT doc_id, product_id, text, {REDACTED_SQL} AS redacted FROM docs)
+SELECT doc_id, product_id, redacted, CASE WHEN NOT redacted THEN {sql_strip('text')} END AS text
+FROM flagged WHERE {sql_strip('text')} <> ''""",
+)
 def scrub_reviews(spark, sf):
-    """Lookarounds have no SQL twin here; tests compare with brute force."""
-    return scrub.scrub(document_reviews(spark, sf)).select("doc_id", "product_id", "text")
+    """Which texts are redacted, and the others word by word."""
+    original = document_reviews(spark, sf).select("*", F.col("text").alias("original"))
+    scrubbed = scrub.scrub(original)
+    redacted = F.col("text") != text.strip_ws(F.col("original"))
+    return scrubbed.select(
+        "doc_id", "product_id", redacted.alias("redacted"), F.when(~redacted, F.col("text")).alias("text")
+    )
+
+
+def _clean_sql(foreign: str) -> str:
+    """The whole intake over the raw export, one window per product or none."""
+    kept = f"({ENOUGH}) AND ({LATIN})" + (f" AND {foreign}" if foreign else "")
+    return f"""WITH {RAW}, docs AS (SELECT * FROM cls WHERE reason IS NULL), dd AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
+    PARTITION BY product_id, date, rating, text ORDER BY doc_id) AS rn FROM docs) WHERE rn = 1),
+{WINDOW.replace('FROM docs', 'FROM dd')}
+SELECT d.product_id, 'play-' || substr(sha256(strftime(date, '%Y-%m-%d') || '|' ||
+       coalesce(CAST(rating AS VARCHAR), '') || '|' || text), 1, 16) AS id, rating, date, 'en' AS language
+FROM dd d JOIN win w ON d.product_id IS NOT DISTINCT FROM w.product_id
+WHERE d.date BETWEEN DATE '2024-03-31' - 7 * w.weeks_used AND DATE '2024-03-31' AND {kept}"""
 
 
-@query("clean_corpus")
+CLEANED = ["product_id", "id", "rating", "date", "language"]
+
+
+@query("clean_corpus", _clean_sql("language = 'en'"))
 def clean_corpus(spark, sf):
     """Raw export to cleaned corpus, the whole intake."""
-    from voxboard.plans.ingest import ingest
+    detector = F.col("language") == "en"
+    return ingest(raw_documents(spark, sf), AS_OF, detector=detector).reviews.select(*CLEANED)
+
+
+@query("clean_corpus_all_products", _clean_sql(""))
+def clean_corpus_all_products(spark, sf):
+    """Rows without a product, here the German ones, are a corpus of their own."""
+    reviews = ingest(raw_documents(spark, sf), AS_OF, detector=F.lit(True)).reviews
+    return reviews.select(*CLEANED)
+
 
-    return ingest(raw_documents(spark, sf), AS_OF, detector=F.col("language") == "en").reviews
+@query(
+    "raw_funnel",
+    f"""WITH {RAW}, docs AS (SELECT * FROM cls WHERE reason IS NULL), dd AS (
+  SELECT DISTINCT product_id, date, rating, text FROM docs),
+{WINDOW.replace('FROM docs', 'FROM dd')},
+drops AS (SELECT product_id, count(*) AS raw_rows, count(*) FILTER (reason = 'empty_text') AS dropped_empty_text,
+                 count(*) FILTER (reason = 'bad_date') AS dropped_bad_date FROM cls GROUP BY 1),
+par AS (SELECT product_id, count(*) AS parsed FROM dd GROUP BY 1)
+SELECT r.product_id, raw_rows, dropped_empty_text, dropped_bad_date, parsed, in_window, weeks_used
+FROM drops r JOIN par p ON r.product_id IS NOT DISTINCT FROM p.product_id
+JOIN win w ON r.product_id IS NOT DISTINCT FROM w.product_id""",
+)
+def raw_funnel(spark, sf):
+    """The funnel from the raw export on, rows without a product among them."""
+    done = ingest(raw_documents(spark, sf), AS_OF, detector=F.lit(True))
+    stats = ingest_stats(done.classified, done.parsed, AS_OF, detector=F.lit(True))
+    return stats.select(
+        "product_id", "raw_rows", "dropped_empty_text", "dropped_bad_date", "parsed", "in_window", "weeks_used"
+    )

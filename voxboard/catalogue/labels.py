@@ -171,9 +171,20 @@ def estimate_tokens(spark, sf):
     )
 
 
-@query("batch_tokens")
+@query(
+    "batch_tokens",
+    f"""WITH {DOCS}, {SCORED}, {QUEUE},
+items AS (SELECT product_id, queue_rank, (queue_rank - 1) // 5 AS batch,
+    CASE WHEN hint IS NULL THEN to_json({{'id': id, 'rating': rating, 'text': substr(text, 1, 350)}})
+         ELSE to_json({{'id': id, 'rating': rating, 'text': substr(text, 1, 350), 'hint': hint}}) END AS item
+  FROM routed WHERE route = 'queue'),
+requests AS (SELECT product_id, CAST(batch AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS n,
+    '[' || string_agg(CAST(item AS VARCHAR), ', ' ORDER BY queue_rank) || ']' AS payload
+  FROM items GROUP BY ALL)
+SELECT product_id, batch, n, CAST((length(payload) + 3) // 4 + 400 AS INTEGER) AS tokens FROM requests""",
+)
 def batch_tokens(spark, sf):
-    """Estimated tokens per request; JSON spacing has no SQL twin."""
+    """Estimated tokens per request."""
     return themes.batch_tokens(themes.batch_payloads(routed(spark, sf), KEYS)).drop("payload")
 
 

@@ -203,9 +203,36 @@ def unknown_themes(spark, sf):
     return seen.filter(~VOCABULARY.contains(F.col("theme_id")))
 
 
-@query("themes_report")
+WEEK_AGG = agg_sql("ev", "product_id, week_key")
+WEEK_RANK = rank_sql("product_id, week_key")
+
+
+@query(
+    "themes_report",
+    f"""WITH {VOCAB}, {EV}, {WEEK_AGG}, {WEEK_RANK},
+ending AS (SELECT product_id, week_key, max(date) AS week_ending FROM ev GROUP BY ALL),
+tops AS (SELECT product_id, week_key, string_agg(theme_id, ',' ORDER BY rank) AS top_3
+         FROM ranked WHERE rank <= 3 GROUP BY ALL)
+SELECT r.product_id, r.week_key, week_ending, top_3, CAST(sum(review_count) AS BIGINT) AS labeled_reviews,
+       string_agg(r.theme_id || ':' || review_count, ',' ORDER BY v.ordinal) AS themes,
+       string_agg(r.theme_id || ':' || low_star_count, ',' ORDER BY r.theme_id) AS severity
+FROM ranked r JOIN vocab v ON r.theme_id = v.theme_id
+JOIN ending e ON r.product_id = e.product_id AND r.week_key = e.week_key
+JOIN tops t ON r.product_id = t.product_id AND r.week_key = t.week_key GROUP BY ALL""",
+)
 def themes_report(spark, sf):
-    """The nested theme artifact of each week."""
+    """The nested theme artifact of each week, its lists written out."""
+    pairs = F.transform("themes", lambda t: F.concat_ws(":", t["id"], t["review_count"]))
+    low = F.transform(
+        F.array_sort(F.map_entries("severity")), lambda e: F.concat_ws(":", e["key"], e["value"])
+    )
+    return _themes_report(spark, sf).select(
+        *WEEKLY, "week_ending", F.array_join("top_3", ",").alias("top_3"), "labeled_reviews",
+        F.array_join(pairs, ",").alias("themes"), F.array_join(low, ",").alias("severity"),
+    )
+
+
+def _themes_report(spark, sf):
     reviews = event_reviews(spark, sf)
     table_ = themes.aggregate_themes(reviews, WEEKLY)
     ending = metrics.week_ending(reviews, WEEKLY)
