@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxboard.catalogue.adapters import (
@@ -24,10 +26,15 @@ from voxboard.catalogue.adapters import (
 )
 from voxboard.catalogue.evidence import PADDED, labelled, padded, picked, ranked
 from voxboard.catalogue.registry import query
+from voxboard.catalogue.windows import WINDOW
 from voxboard.functions import text
 from voxboard.operators import report, themes
+from voxboard.operators.joins import join_on
+from voxboard.operators.ledger import publish_queue
 from voxboard.plans.staging import shared
 from voxboard.plans.weekly import report_payload, weekly_reports
+from voxboard.session import ensure_checkpoint_dir
+from voxboard.sources.artifacts import read_runs
 
 KEYS = ["product_id"]
 WEEKLY = ["product_id", "week_key"]
@@ -278,3 +285,33 @@ def weekly_report(spark, sf):
 @query("report_payload")
 def report_payload_query(spark, sf):
     return report_payload(weekly_documents(spark, sf), KEYS)
+
+
+# Cleaned reviews pass their gates; three products keep reviews in other languages.
+@query(
+    "publishable_reports",
+    f"""WITH {DOCS}, mine AS (
+  SELECT * FROM docs WHERE language = 'en' OR product_id IN ('src1', 'src2', 'src5')),
+{WINDOW.replace('FROM docs', 'FROM mine')},
+ins AS (SELECT m.product_id, m.language, w.weeks_used, w.in_window FROM mine m JOIN win w USING (product_id)
+        WHERE m.date BETWEEN DATE '2024-03-31' - 7 * w.weeks_used AND DATE '2024-03-31'),
+res AS (SELECT product_id, count(*) AS review_count, CAST(any_value(weeks_used) AS INTEGER) AS weeks_used,
+               any_value(in_window) < 30 AS insufficient_signal,
+               count(*) FILTER (language <> 'en') AS n_foreign FROM ins GROUP BY 1)
+SELECT product_id, review_count, weeks_used, insufficient_signal, n_foreign = 0 AS validation_ok,
+       CASE WHEN n_foreign > 0 THEN n_foreign || ' review(s): language must be ''en''' ELSE '' END AS errors,
+       insufficient_signal AS warned, n_foreign = 0 AND NOT insufficient_signal AS published FROM res""",
+)
+def publishable_reports(spark, sf):
+    """From reviews to the publish queue; quotes may differ in white space."""
+    reviews = document_reviews(spark, sf).drop("doc_id")
+    mine = reviews.filter((F.col("language") == "en") | F.col("product_id").isin("src1", "src2", "src5"))
+    weekly = weekly_reports(mine, AS_OF, vocab=TEST_VOCABULARY, loose_space=True)
+    runs = weekly.run_rows(KEYS, F.lit("2024-04-01 00:00:00").cast("timestamp"))
+    none = read_runs(spark, f"{ensure_checkpoint_dir(spark)}/no-ledger-{uuid.uuid4().hex}")
+    queue = publish_queue(runs, none, WEEKLY).select(*KEYS, F.lit(True).alias("queued"))
+    return join_on(runs, queue, KEYS, "left").select(
+        *KEYS, "review_count", "weeks_used", "insufficient_signal", "validation_ok",
+        F.array_join("errors", " | ").alias("errors"), (F.size("warnings") > 0).alias("warned"),
+        F.coalesce("queued", F.lit(False)).alias("published"),
+    )
