@@ -21,7 +21,7 @@ from voxboard.llm.lm_score import lm_score
 from voxboard.llm.packing import pack
 from voxboard.llm.quality_rules import COUNTS, quality_rules
 from voxboard.llm.repeats import repeated_spans
-from voxboard.llm.secret_scan import counted, joined, secret_scan
+from voxboard.llm.secret_scan import counted, joined, secret_scan, sql_twin
 from voxboard.llm.simhash import as_hex, simhash_members
 from voxboard.llm.token_files import document_keys, write_tokens
 
@@ -116,7 +116,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
 
 
-@query("op5_secret_scan")
+@query("op5_secret_scan", sql_twin())
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).select(
         "doc_id",

@@ -260,3 +260,58 @@ def joined(spans: str) -> Column:
 
 def counted(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
+def sql_twin(
+    classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED
+) -> str:
+    """The same result as SQL over ``documents``, each window counted anew.
+
+    That engine has no lookahead and folds case beyond ASCII: candidates that need a
+    digit are filtered, and names are spelled in both cases.
+    """
+    names = ["password", "passwd", "secret", "token", "apikey"]
+    spelled = ["".join(f"[{c}{c.upper()}]" for c in n) for n in names]
+    spelled[-1] = spelled[-1].replace("[kK]", "_?[kK]", 1)
+    value = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = [("assign", f"(?:{'|'.join(spelled)}){value}"), ("access", ACCESS), ("hex", HEX)]
+    patterns += [(c.kind, c.pattern.partition(")")[2] if c.pattern.startswith("(?=") else c.pattern) for c in classes]
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {rank} AS rank, {quoted(kind)} AS kind, regexp_extract_all(text, {quoted(p)}) AS found, "
+        f"string_split_regex(text, {quoted(p)}) AS gaps FROM texts"
+        for rank, (kind, p) in enumerate(patterns)
+    )
+    barred = " OR ".join(f"regexp_matches(f, {quoted(a)})" for a in allowed)
+    windows = []
+    for rank, rule in enumerate(classes, 3):
+        own, w = Entropy(rule), rule.window
+        digit = "regexp_matches(f, '[0-9]')" if rule.pattern.startswith("(?=") else "true"
+        total = (
+            f"list_sum(list_transform(list_distinct(chars[i + 1:i + {w}]), lambda ch: "
+            f"{own.terms}[len(list_filter(chars[i + 1:i + {w}], lambda x: x = ch)) + 1]))"
+        )
+        windows.append(
+            f"SELECT doc_id, rank, kind, start + min(i) AS start, start + max(i) + {w} AS stop FROM ("
+            f"SELECT *, unnest(range(0, len(chars) - {w} + 1)) AS i FROM ("
+            f"SELECT *, string_split(f, '') AS chars FROM placed WHERE rank = {rank} AND {digit} AND NOT ({barred})))"
+            f" WHERE {total} <= {own.limit} GROUP BY doc_id, rank, kind, start"
+        )
+    joined = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), runs AS ({found}),
+each AS (SELECT doc_id, rank, kind, gaps, found, unnest(found) AS f, generate_subscripts(found, 1) AS i
+         FROM runs WHERE len(found) > 0),
+placed AS (SELECT doc_id, rank, kind, f, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM each),
+base AS (SELECT doc_id, rank, kind, start, start + length(f) AS stop FROM placed WHERE rank IN (1, 2) OR
+  (rank = 0 AND length(regexp_extract(f, {quoted(patterns[0][1])}, 1)) >= {ASSIGN_VALUE_CHARS})),
+spans AS (SELECT * FROM base UNION ALL {' UNION ALL '.join(windows)}),
+b AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1,
+             count(*) FILTER (rank = 2) AS n2, {joined} AS s FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, {joined} AS s FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+       sha256(coalesce(b.s, '')) AS base_sha256, coalesce(a.s, '') AS spans
+FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN a ON d.doc_id = a.doc_id"""
