@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -348,23 +346,26 @@ def verbatim_in_corpus(
         grams.select("__id", runs), wanted.filter(by_words).select("__needle", runs), texts
     )
     short = wanted.filter(~by_words).select(
-        "__needle", F.least(F.length("__needle"), F.lit(CHAR_GRAM)).alias("n")
+        "__needle",
+        F.least(F.length("__needle"), F.lit(CHAR_GRAM)).alias("n"),
+        (F.length("__needle") > CHAR_GRAM).alias("longer"),
     )
-    # At most CHAR_GRAM distinct lengths.
-    lengths = sorted(r.n for r in short.select("n").distinct().collect())
+    # At most CHAR_GRAM distinct lengths, and whether any needle is longer than that.
+    lengths = sorted(tuple(r) for r in short.select("n", "longer").distinct().collect())
     if lengths:
-        by_length = [
-            short.filter(F.col("n") == n)
-            .select("__needle", _characters(F.col("__needle")).alias("__c"))
-            .select("__needle", F.explode(_char_grams(F.col("__c"), [n])).alias("__gram"))
-            for n in lengths
-        ]
+        sizes = sorted({n for n, _ in lengths})
         chars = texts.select("__id", _characters(F.col("__text")).alias("__c")).select(
-            "__id", F.explode(_char_grams(F.col("__c"), lengths)).alias("__gram")
-        )
-        found = found.unionByName(
-            _found_needles(chars, reduce(DataFrame.unionByName, by_length), texts)
+            "__id", F.explode(_char_grams(F.col("__c"), sizes)).alias("__gram")
         )
+        # A needle that is one run is settled by the run itself; no text is searched.
+        whole = short.filter(~F.col("longer")).select("__needle", F.col("__needle").alias("__gram"))
+        found = found.unionByName(join_small(chars, whole, ["__gram"]).select("__needle").distinct())
+        if (CHAR_GRAM, True) in lengths:
+            runs = short.filter("longer").select("__needle", _characters(F.col("__needle")).alias("__c"))
+            grams = runs.select(
+                "__needle", F.explode(_char_grams(F.col("__c"), [CHAR_GRAM])).alias("__gram")
+            )
+            found = found.unionByName(_found_needles(chars, grams, texts))
     hits = found.distinct().withColumn("__found", F.lit(True))
     return (
         rows.join(hits, "__needle", "left")
