@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,10 +20,30 @@ PLAIN.encode_special_tokens = True
 OWN = Encoder(PATH, kept=50)
 
 
+def check(texts):
+    got = [ids.tolist() for ids in OWN.encode(pa.array(texts, pa.string()))]
+    assert got == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @given(st.text(st.sampled_from(list("ab'é.1 \n\t\x1c\x85\xa0 \U0001f600s<|")), max_size=30))
 @settings(max_examples=400, deadline=None)
 def test_pieces_give_the_ids_of_the_whole(text):
-    assert OWN.encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    check([text])
+
+
+@given(st.text(max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_any_text(text):
+    check([text.encode("utf-8", "ignore").decode(), "", text.encode("ascii", "ignore").decode()])
+
+
+def test_other_tokenizers_are_used_as_they_are():
+    path = tokenizer_path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    own = Encoder(path)
+    texts = ["Hello  World", "a b c", "É!"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in own.encode(pa.array(texts))] == want
 
 
 @given(st.lists(st.integers(0, (1 << 64) - 1), max_size=300))

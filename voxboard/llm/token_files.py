@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -12,6 +13,8 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,52 +26,120 @@ from voxboard.session import ensure_checkpoint_dir
 END_ID = 2
 BLOCK_IDS = 1 << 20
 BUCKET_KEYS = 50_000
-MEMO_PIECES = 300_000
+#: Units whose ids a task keeps.
+KEPT_UNITS = 900_000
+#: Bytes of text that are encoded together.
+ENCODED_BYTES = 8 << 20
+
+# Fixed value: how byte-level tokenizers of this kind cut a text into units.
+UNITS = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+#: Beyond this, Unicode tables of two libraries may differ; such pieces go to the tokenizer whole.
+LATIN = "\u024f"
+MARKS = frozenset(".,;:!?")
+
 
-#: White space before and after a blank, or at the end: cutting there could change ids.
-UNSAFE = re.compile(r"\s (?:\s|\Z)")
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: itself if it can be seen, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """A byte-level BPE tokenizer that encodes each distinct piece of text once.
+    """A byte-level BPE tokenizer that works on each distinct word once.
 
     Such a tokenizer starts a new unit at every blank that is followed by something
-    else than white space, so a text can be cut before its blanks and the ids of the
-    pieces be put together. Pieces repeat much: their ids are kept, up to a bound.
-    Texts with longer runs of white space are encoded in one piece.
+    else than white space, so texts can be cut before their blanks, the pieces into
+    units, and the ids of the units be put together. Arrow numbers the pieces of many
+    texts, each different one is looked up once, and numpy lines up their ids. Units
+    that were met are kept, up to a bound. Texts with longer runs of white
+    space, pieces with letters beyond Latin, and files of another kind of tokenizer
+    are encoded as they are.
     """
 
-    def __init__(self, path: str, kept: int = MEMO_PIECES):
+    def __init__(self, path: str, kept: int = KEPT_UNITS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        cut = rules["pre_tokenizer"] or {}
+        self.simple = (
+            rules["normalizer"] is None
+            and rules["model"]["type"] == "BPE"
+            and cut.get("type") == "ByteLevel"
+            and cut.get("use_regex", True)
+            and not cut.get("add_prefix_space")
+        )
         self.kept = kept
-        self.known: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.units: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        for at in range(0, len(new), 4096):
-            part = [" " + p for p in new[at : at + 4096]]
-            for piece, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[piece[1:]] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        if UNSAFE.search(text):
-            return self.whole(text)
-        first, *pieces = text.split(" ")
-        known = self.known
-        missing = {p for p in pieces if p not in known}
-        if missing:
-            if len(known) + len(missing) > self.kept:
-                known.clear()
-                missing = set(pieces)
-            self.learn(missing)
-        ids = b"".join([known[p] for p in pieces])
-        return np.concatenate((self.whole(first) if first else np.zeros(0, "<u4"), np.frombuffer(ids, "<u4")))
+    def unit(self, text: str) -> bytes:
+        if len(self.units) >= self.kept:
+            self.units.clear()
+        spelled = text.encode().decode("latin-1").translate(self.letters)
+        found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        self.units[text] = found
+        return found
+
+    def pieces(self, blank: str, texts: list[str]) -> list[bytes]:
+        """Ids of pieces and the blank before each, whatever comes after them."""
+        known, unit, out = self.units.get, self.unit, []
+        for text in texts:
+            # Most pieces are a word, or a word and one mark, and need no cutting.
+            if text.isalpha() and (text.isascii() or max(text) <= LATIN):
+                whole = blank + text
+                ids = known(whole) or unit(whole)
+            elif text[-1:] in MARKS and text[:-1].isalpha() and max(text) <= LATIN:
+                word, mark = blank + text[:-1], text[-1]
+                ids = (known(word) or unit(word)) + (known(mark) or unit(mark))
+            elif max(text, default="") <= LATIN:
+                ids = b"".join([known(u) or unit(u) for u in UNITS.findall(blank + text)])
+            else:
+                ids = self.whole(blank + text).tobytes()
+            out.append(ids)
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
+        if not self.simple:
+            return [self.whole(t) for t in texts.to_pylist()]
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        names, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+        # A blank belongs to the white space around it if there is some on both sides.
+        opens = np.array([not p or p[0].isspace() for p in names], bool)
+        closes = np.array([not p or p[-1].isspace() for p in names], bool)
+        joins = np.zeros(len(codes) + 1, np.int64)
+        joins[1:-1] = opens[codes[1:]] & closes[codes[:-1]]
+        first = offsets[:-1]
+        joins[first] = 0
+        odd = np.add.reduceat(joins, first) > 0 if len(first) else np.zeros(0, bool)
+        # The first piece of a text has no blank before it and gets a number of its own.
+        table = self.pieces(" ", names) + self.pieces("", [names[c] for c in codes[first]])
+        codes = codes.astype(np.int64)
+        codes[first] = len(names) + np.arange(len(first))
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begin = np.cumsum(sizes) - sizes
+        own = sizes[codes]
+        ends = np.cumsum(own)
+        total = ends[-1] if len(ends) else 0
+        kind = np.int32 if max(total, sizes.sum()) < 1 << 31 else np.int64
+        at = np.arange(total, dtype=kind) + np.repeat((begin[codes] - ends + own).astype(kind), own)
+        ids = np.frombuffer(b"".join(table), "<u4")[at]
+        cuts = np.append(0, ends)[offsets]
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        for i in np.flatnonzero(odd):
+            out[i] = self.whole(texts[i].as_py())
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -76,6 +147,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def pieces_of(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch whose texts have about ``most`` bytes."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 BLOCK_FIELDS = "shard int, block int, start long, row long, {id}, lengths array<long>, offsets array<long>, width int, payload binary"
 
 
@@ -110,17 +191,18 @@ def encode_batches(path: str, end_id: int, id_type: pa.DataType, block_ids: int,
             names = ["shard", "block", "start", "row", "ids", "lengths", "offsets", "width", "payload"]
             return pa.RecordBatch.from_arrays(columns, names)
 
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
-                ids = np.append(own.encode(text.as_py()), np.uint32(end_id))
-                keys.append(key.as_py())
-                lengths.append(len(ids))
-                parts.append(ids)
-                held += len(ids)
-                if held >= block_ids:
-                    yield closed()
-                    block, start, row = block + 1, start + held, row + len(keys)
-                    keys, lengths, parts, held = [], [], [], 0
+            for part in pieces_of(batch, 1, ENCODED_BYTES):
+                for key, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1))):
+                    keys.append(key)
+                    lengths.append(len(ids) + 1)
+                    parts += [ids, end]
+                    held += len(ids) + 1
+                    if held >= block_ids:
+                        yield closed()
+                        block, start, row = block + 1, start + held, row + len(keys)
+                        keys, lengths, parts, held = [], [], [], 0
         if keys:
             yield closed()
 
