@@ -19,6 +19,7 @@ from voxboard.functions.ids import opaque_id
 from voxboard.operators import gates, intake, quality, scrub
 from voxboard.operators.sampling import dedupe_reviews
 from voxboard.plans.ingest import ingest, ingest_stats
+from voxboard.plans.staging import shared
 from voxboard.sources.raw import normalise_headers, union_raw
 from voxboard.sources.scan import spread
 
@@ -176,7 +177,7 @@ FROM raw JOIN par USING (product_id) JOIN win USING (product_id) JOIN steps USIN
 def ingest_stats_query(spark, sf):
     """Redaction runs as in production; its tokens change no count on these texts."""
     rows = document_reviews(spark, sf).withColumn("reason", F.lit(None).cast("string"))
-    parsed = dedupe_reviews(rows.drop("reason"), KEYS, [F.col("doc_id")])
+    parsed = shared(spark)(dedupe_reviews(rows.drop("reason"), KEYS, [F.col("doc_id")]), "parsed")
     return ingest_stats(rows, parsed, AS_OF, detector=F.col("language") == "en")
 
 

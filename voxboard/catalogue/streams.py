@@ -7,33 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxboard.catalogue.adapters import DOCS, EV, document_reviews, event_reviews, table
+from voxboard.catalogue.adapters import DOCS, EV, document_reviews, event_reviews, stream_table
+from voxboard.catalogue.intake import RAW, raw_documents
 from voxboard.catalogue.registry import query
 from voxboard.session import ensure_checkpoint_dir
 from voxboard.sources.artifacts import read_runs
-from voxboard.streaming.intake import stream_dedupe
+from voxboard.streaming.intake import stream_dedupe, stream_raw, stream_reviews
 from voxboard.streaming.upsert import ledger_upsert
 from voxboard.streaming.weekly import weekly_theme_counts
 
 KEYS = ["product_id"]
 
 
-class _Streamed:
-    """A table read as a stream, for adapters that take a session and a folder."""
-
-    def __init__(self, spark: SparkSession, sf: str):
-        self.spark, self.sf = spark, sf
-
-    @property
-    def read(self):
-        return self
-
-    def parquet(self, path: str) -> DataFrame:
-        schema = self.spark.read.parquet(path).schema
-        # The file source wants a folder or a pattern.
-        return self.spark.readStream.schema(schema).parquet(path.replace(".parquet", ".parque[t]"))
-
-
 def run_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -55,7 +40,7 @@ def week_rows(df: DataFrame) -> DataFrame:
 def weekly_counts(spark, sf):
     """Counts of a stream, kept complete in a table per micro-batch."""
     folder = run_folder(spark)
-    counts = weekly_theme_counts(week_rows(event_reviews(_Streamed(spark, sf), sf)), delay=None)
+    counts = weekly_theme_counts(week_rows(event_reviews(spark, sf, stream_table(spark, sf, "events"))), delay=None)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out")
@@ -85,7 +70,7 @@ def weekly_counts_batch(spark, sf):
 )
 def streamed_dedupe(spark, sf):
     folder = run_folder(spark)
-    kept = stream_dedupe(week_rows(document_reviews(_Streamed(spark, sf), sf)))
+    kept = stream_dedupe(week_rows(document_reviews(spark, sf, stream_table(spark, sf, "documents"))))
     finish(
         kept.select("product_id", "id")
         .writeStream.outputMode("append")
@@ -112,7 +97,7 @@ def stream_ledger(spark, sf):
     """Weekly runs written to a ledger by a stream; the counts are sent twice."""
     folder = run_folder(spark)
     upsert = ledger_upsert(f"{folder}/ledger")
-    counts = weekly_theme_counts(week_rows(event_reviews(_Streamed(spark, sf), sf)), delay=None)
+    counts = weekly_theme_counts(week_rows(event_reviews(spark, sf, stream_table(spark, sf, "events"))), delay=None)
 
     def twice(batch: DataFrame, batch_id: int) -> None:
         upsert(batch, batch_id)
@@ -127,3 +112,55 @@ def stream_ledger(spark, sf):
     return runs.select(
         "product_id", "week_key", "week_ending", "review_count", F.array_join("top_3", ",").alias("top_3")
     )
+
+
+# One review in sixteen lands late, after the watermark has passed most weeks.
+@query(
+    "late_rows",
+    f"""WITH {EV}, first AS (SELECT max(date) AS last FROM ev WHERE substr(id, 6, 1) <> '0'),
+on_time AS (SELECT ev.* FROM ev, first WHERE substr(id, 6, 1) <> '0'
+            OR CAST(date_trunc('week', date) AS DATE) + 7 > last - 7)
+SELECT product_id, week_key, theme_id, count(*) AS review_count FROM on_time GROUP BY ALL""",
+)
+def late_rows(spark, sf):
+    """Weekly counts with the watermark on: rows of weeks already closed are left out."""
+    folder = run_folder(spark)
+    rows = week_rows(event_reviews(spark, sf))
+    digit = F.substring("id", 6, 1)
+    # A row is late by the watermark of the batch before the one that it comes in.
+    for test in (digit > "1", digit == "1", digit == "0"):
+        rows.filter(test).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+    landed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landing")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{folder}/out")
+
+    finish(
+        weekly_theme_counts(landed, delay="7 days")
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", f"{folder}/state")
+        .foreachBatch(keep)
+    )
+    keys = ["product_id", "week_key", "theme_id"]
+    # The last update of a count is the largest: counts only grow.
+    return spark.read.parquet(f"{folder}/out").groupBy(*keys).agg(F.max("review_count").alias("review_count"))
+
+
+@query(
+    "landed_files",
+    f"""WITH {RAW} SELECT doc_id AS src_pos, product_id, text, date, rating FROM cls WHERE reason IS NULL""",
+)
+def landed_files(spark, sf):
+    """Raw exports that land as JSON lines, normalised as they come."""
+    folder = run_folder(spark)
+    raw = raw_documents(spark, sf)
+    raw.write.json(f"{folder}/landing")
+    rows = stream_reviews(stream_raw(spark, f"{folder}/landing", raw.schema, max_files=4))
+    finish(
+        rows.select("src_pos", "product_id", "text", "date", "rating")
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("checkpointLocation", f"{folder}/state")
+        .option("path", f"{folder}/out")
+    )
+    return spark.read.parquet(f"{folder}/out")

@@ -51,15 +51,13 @@ def ingest(
     """Normalise, dedupe, window, scrub and filter.
 
     Reviews are shuffled once, to drop copies, and staged, since the width of
-    the window depends on what is left. A date filter as wide as the widest
-    window goes below that shuffle: copies share their date.
+    the window depends on what is left, and the funnel counts the same rows.
     """
     stage = stage or shared(raw.sparkSession)
     classified = classify_rows(raw, product_id)
     usable = classified.filter(F.col("reason").isNull()).drop("reason")
-    parsed = dedupe_reviews(usable)
-    recent = stage(dedupe_reviews(filter_window(usable, MAX_WEEKS, as_of)), "recent")
-    reviews = clean_reviews(recent, as_of, weeks, detector=detector)
+    parsed = stage(dedupe_reviews(usable), "parsed")
+    reviews = clean_reviews(parsed, as_of, weeks, detector=detector)
     return Intake(reviews.drop("src_file", "src_pos"), classified, parsed)
 
 
