@@ -76,9 +76,7 @@ def select_quotes(spark, sf):
     return picked(labelled(spark, sf))
 
 
-# Padding starts from the best-ranked quote of each product only.
-PADDED = f"""first AS (SELECT * FROM picked WHERE quote_rank = 1 AND rating < 2),
-pool AS (
+PADDING = f"""pool AS (
   SELECT l.product_id, l.id, l.theme_id, l.rating, l.wc, {sql_truncate('text')} AS quote FROM lab l
   WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.product_id = l.product_id AND f.id = l.id)),
 need AS (SELECT p.*, {sql_needle('quote')} AS needle FROM pool p),
@@ -94,6 +92,10 @@ padded AS (
   SELECT * FROM first
   UNION ALL SELECT product_id, CAST(have + place AS INTEGER), id, theme_id, rating, quote
   FROM placed WHERE place <= 3 - have)"""
+# Padding alone: it starts from the best-ranked quote of each product, if rated low.
+PADDED = f"first AS (SELECT * FROM picked WHERE quote_rank = 1 AND rating < 2), {PADDING}"
+# What reports are composed of: all picked quotes, padded where they are too few.
+CHOSEN = f"first AS (SELECT * FROM picked), {PADDING}"
 
 
 def padded(reviews, top=None):
@@ -102,6 +104,11 @@ def padded(reviews, top=None):
     return evidence.pad_quotes(first, reviews, reviews.select(*KEYS), KEYS)
 
 
+def chosen(reviews, top=None):
+    first = persisted(picked(reviews, top), "first")
+    return evidence.pad_quotes(first, reviews, reviews.select(*KEYS), KEYS)
+
+
 @query("pad_quotes", f"{CHAIN}, {PADDED} SELECT * FROM padded")
 def pad_quotes(spark, sf):
     return padded(labelled(spark, sf))

@@ -13,13 +13,13 @@ from voxboard.catalogue.adapters import (
     sql_word_count,
     table,
 )
-from voxboard.catalogue.evidence import PADDED
+from voxboard.catalogue.evidence import CHOSEN
 from voxboard.catalogue.registry import query
 from voxboard.catalogue.reports import PARTS, composed, staged_reviews
 from voxboard.operators import gates, metrics, themes
 
 KEYS = ["product_id"]
-CHAIN = f"WITH {VOCAB}, {DOCS}, {SCORED}, {CANDIDATES}, {PADDED}, {PARTS}"
+CHAIN = f"WITH {VOCAB}, {DOCS}, {SCORED}, {CANDIDATES}, {CHOSEN}, {PARTS}"
 # The personal-data patterns, in the SQL engine's dialect.
 PII = r"regexp_matches({x}, '(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b|(^|[^\p{Nd}])(\+?91[\s-]*)?[6-9]\p{Nd}{9}([^\p{Nd}]|$)|(^|[^\p{L}\p{N}_])@[A-Za-z][A-Za-z0-9._]{2,}|(^|[^\p{L}\p{N}_])([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}([^\p{L}\p{N}_]|$)|(gaid|idfa|android[_-]?id)\s*[:=]\s*[^\s]*[\p{L}\p{N}_])')"
 

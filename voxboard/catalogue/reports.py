@@ -24,7 +24,7 @@ from voxboard.catalogue.adapters import (
     sql_word_count,
     table,
 )
-from voxboard.catalogue.evidence import PADDED, labelled, padded, picked, ranked
+from voxboard.catalogue.evidence import CHOSEN, chosen, labelled, picked, ranked
 from voxboard.catalogue.registry import query
 from voxboard.catalogue.windows import WINDOW
 from voxboard.functions import text
@@ -170,13 +170,13 @@ def composed(spark, sf, sparse: bool = False, reviews=None):
         }
     )
     actions = report.default_actions(top, KEYS, TEST_VOCABULARY)
-    quotes = stage(padded(reviews, top), "quotes")
+    quotes = stage(chosen(reviews, top), "quotes")
     return stage(report.assemble(groups, top, quotes, actions, KEYS), "reports")
 
 
 @query(
     "compose_report",
-    f"""{CHAIN}, {PADDED}, {PARTS}
+    f"""{CHAIN}, {CHOSEN}, {PARTS}
 SELECT product_id, week_ending, strftime(week_ending, '%G-W%V') AS week_key, body,
        {sql_word_count('body')} AS word_count,
        product_id || ' Weekly Review - ' || strftime(week_ending, '%G-W%V') || ' (week ending ' ||
@@ -203,7 +203,7 @@ LONG = (
 
 @query(
     "compose_sparse_report",
-    f"""{CHAIN}, {PADDED}, {PARTS}, sp AS (SELECT *, {_banner('body', LONG)} AS warned FROM composed)
+    f"""{CHAIN}, {CHOSEN}, {PARTS}, sp AS (SELECT *, {_banner('body', LONG)} AS warned FROM composed)
 SELECT product_id, warned AS body, {sql_word_count('warned')} AS word_count FROM sp""",
 )
 def compose_sparse_report(spark, sf):
@@ -213,7 +213,7 @@ def compose_sparse_report(spark, sf):
 # Reports are composed and read back; quotes lose their marks and ellipsis.
 @query(
     "parse_report",
-    f"""{CHAIN}, {PADDED}, {PARTS}
+    f"""{CHAIN}, {CHOSEN}, {PARTS}
 SELECT c.product_id, c.week_ending AS parsed_week_ending, {sql_word_count('c.body')} AS parsed_word_count,
   (SELECT string_agg(label, ' | ' ORDER BY rank) FROM t3 WHERE t3.product_id = c.product_id) AS themes,
   (SELECT string_agg(n, ' | ' ORDER BY quote_rank) FROM (
