@@ -276,15 +276,59 @@ def weekly_documents(spark, sf):
     return weekly_reports(document_reviews(spark, sf).drop("doc_id"), AS_OF, vocab=TEST_VOCABULARY)
 
 
-@query("weekly_report")
+# The reviews inside each product's window, as the weekly plan sees them.
+WINDOWED = f"""WITH {VOCAB}, {DOCS.replace('docs AS', 'every AS', 1)}, {WINDOW.replace('FROM docs', 'FROM every')},
+docs AS (SELECT e.* FROM every e JOIN win w USING (product_id)
+         WHERE e.date BETWEEN DATE '2024-03-31' - 7 * w.weeks_used AND DATE '2024-03-31'),
+{SCORED}, {agg_sql('lab', 'product_id')}, {rank_sql('product_id')}"""
+
+
+@query(
+    "weekly_report",
+    f"""{WINDOWED}, tops AS (
+  SELECT product_id, string_agg(theme_id || ':' || low_star_count, ',' ORDER BY rank) AS top_3
+  FROM ranked WHERE rank <= 3 GROUP BY 1),
+sized AS (SELECT product_id, count(*) AS review_count, max(date) AS week_ending FROM docs GROUP BY 1)
+SELECT s.product_id, review_count, week_ending, strftime(week_ending, '%G-W%V') AS week_key,
+       CAST(weeks_used AS INTEGER) AS weeks_used, weeks_used > 8 AS window_widened,
+       in_window < 30 AS insufficient_signal, top_3
+FROM sized s JOIN win USING (product_id) JOIN tops USING (product_id)""",
+)
 def weekly_report(spark, sf):
-    """The whole weekly plan for every product."""
-    return weekly_documents(spark, sf).results(KEYS)
+    """The whole weekly plan for every product; texts and gates have queries of their own."""
+    weekly = weekly_documents(spark, sf)
+    ranks = F.array_sort(F.collect_list(F.struct("rank", "theme_id", "low_star_count")))
+    tops = weekly.top.groupBy(*KEYS).agg(ranks.alias("tops"))
+    rows = join_on(weekly.results(KEYS), tops, KEYS)
+    named = F.transform("tops", lambda t: F.concat_ws(":", t["theme_id"], t["low_star_count"]))
+    return rows.select(
+        *KEYS, "review_count", "week_ending", "week_key", "weeks_used", "window_widened",
+        "insufficient_signal", F.array_join(named, ",").alias("top_3"),
+    )
 
 
-@query("report_payload")
+@query(
+    "report_payload",
+    f"""{WINDOWED}, hist AS (
+  SELECT product_id, concat_ws(',', {", ".join(f"count(*) FILTER (rating = {i})" for i in range(1, 6))}) AS histogram
+  FROM docs GROUP BY 1),
+rows AS (SELECT product_id, string_agg(theme_id || ':' || review_count || ':' || low_star_count, ',' ORDER BY theme_id) AS theme_rows,
+                CAST(sum(least(review_count, 12)) AS INTEGER) AS n_snippets FROM agg GROUP BY 1)
+SELECT product_id, histogram, theme_rows, n_snippets, 7 AS n_gates FROM hist JOIN rows USING (product_id)""",
+)
 def report_payload_query(spark, sf):
-    return report_payload(weekly_documents(spark, sf), KEYS)
+    """The nested row for a viewer, its lists written out."""
+    rows = report_payload(weekly_documents(spark, sf), KEYS)
+    themes_ = F.transform(
+        "theme_rows", lambda t: F.concat_ws(":", t["theme_id"], t["review_count"], t["low_star_count"])
+    )
+    return rows.select(
+        *KEYS,
+        F.array_join(F.transform("rating_histogram", lambda n: n.cast("string")), ",").alias("histogram"),
+        F.array_join(themes_, ",").alias("theme_rows"),
+        F.size("snippets").alias("n_snippets"),
+        F.size("gates").alias("n_gates"),
+    )
 
 
 # Cleaned reviews pass their gates; three products keep reviews in other languages.
