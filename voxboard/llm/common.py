@@ -62,6 +62,21 @@ def same_document(left: str = "l", right: str = "r") -> Column:
     )
 
 
+def hash_unit(*columns: Column | str) -> Column:
+    """A number from 0 to 1 (exclusive) that depends on the values alone."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) / F.lit(float(1 << 31))
+
+
+def hash_share(rows: Column | int, wanted: int) -> Column:
+    """Below this share of ``hash_unit`` lie ``wanted`` of so many rows, and some to spare.
+
+    The rows with the smallest hashes are then found among these, so that no task
+    sends or sorts more than its part of them.
+    """
+    spare = wanted + 10 * wanted**0.5
+    return F.lit(spare) / F.greatest(F.lit(rows) if isinstance(rows, int) else rows, F.lit(1))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
