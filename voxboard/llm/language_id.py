@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from voxboard.llm.common import append_batches
+from voxboard.llm.common import append_batches, hash_share, hash_unit
 
 ORDER = 4
 #: Labelled documents per language that a model is fitted on, and that it is calibrated on.
@@ -22,6 +22,7 @@ FIT_DOCUMENTS = 1500
 CALIBRATION_DOCUMENTS = 500
 MAX_LANGUAGES = 64
 LETTERS = 254
+SPARE = 2.0
 UNKNOWN = "und"
 FIELDS = "lang_pred string, score double, cross_entropy double, rejected boolean"
 #: Characters that are scored at once.
@@ -165,8 +166,9 @@ class CharacterModels:
 
         A language's limit lies halfway between its own documents' cross-entropy and
         the lowest that another language's documents have under its model, plus what
-        texts of a given length vary by: their largest deviation times the square root
-        of their length, divided by the square root of the length at hand.
+        texts of a given length vary by: ``SPARE`` times the largest deviation times the
+        square root of its length, divided by the square root of the length at hand. A
+        text of a few words says little, and stays unless it is far off.
         """
         n = len(self.languages)
         self.limits, self.noise = np.full(n, np.log(LETTERS + 2)), np.zeros(n)
@@ -181,7 +183,7 @@ class CharacterModels:
                 if other != name and (o := (names == other) & (sizes > 0)).any()
             ]
             self.limits[l] = (centre + min([*others, np.log(LETTERS + 2)])) / 2
-            self.noise[l] = ((entropies[own, l] - centre) * np.sqrt(sizes[own])).max()
+            self.noise[l] = SPARE * ((entropies[own, l] - centre) * np.sqrt(sizes[own])).max()
 
     def predict(self, texts: list[bytes | None]) -> list[pa.Array]:
         if not self.languages:
@@ -208,14 +210,16 @@ class CharacterModels:
 def labelled_sample(labelled: DataFrame, per_language: int, max_languages: int) -> DataFrame:
     """(lang, n, text): the same documents on every run, by a hash of their ids.
 
-    Ranks are cut inside the tasks before anything is shuffled, and only (lang, id)
-    of the chosen rows go back to the texts.
+    Rows that cannot be among the first are passed over where they are read, and only
+    the keys of the chosen ones go back to the texts.
     """
-    top = (
-        labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    )
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
+    top = sizes.orderBy(F.desc("size"), "lang").limit(max_languages)
     body = F.xxhash64("text").alias("body")
-    ids = labelled.join(F.broadcast(top), "lang").select("lang", "id", body, F.xxhash64("id").alias("h"))
+    ids = labelled.join(F.broadcast(top), "lang").select(
+        "lang", "id", body, "size", hash_unit("id").alias("h")
+    )
+    ids = ids.filter(F.col("h") <= hash_share(F.col("size"), per_language))
     order = W.partitionBy("lang").orderBy("h", "id", "body")
     ranked = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
     chosen = ranked.groupBy("lang", "id", "body").agg(F.min("n").alias("n"))
