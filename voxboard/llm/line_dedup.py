@@ -10,6 +10,7 @@ from voxboard.operators.barrier import compute_once
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+SALTS = 16
 
 
 def long_lines(base: DataFrame, min_chars: int) -> DataFrame:
@@ -51,8 +52,11 @@ def line_dedup(
     """
     base = keyed(docs)
     lines = stage(long_lines(base, min_chars), "lines")
+    # Documents that hold a common line are dealt to SALTS tasks, each with the key.
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "body"), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     hits = (
-        lines.join(shared_lines(lines, min_docs), ["h1", "h2"])
+        salted.join(shared_lines(lines, min_docs).select("*", salts), ["h1", "h2", "salt"])
         .filter(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id", "body")
         .agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
