@@ -27,9 +27,9 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 BUCKET_KEYS = 50_000
 #: Units whose ids a task keeps.
-KEPT_UNITS = 900_000
+KEPT_UNITS = 800_000
 #: Bytes of text that are encoded together.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 6 << 20
 
 # Fixed value: how byte-level tokenizers of this kind cut a text into units.
 UNITS = regex.compile(
