@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a table that is a single split.
+    """Deal out the rows of a table that is one file no larger than a split.
 
-    A parquet file with one row group is one task, and the expressions on review
-    texts cost far more than moving the rows. No more than one split is ever
-    moved; a table of two or more comes back as it is, however many cores there are.
+    Such a file is mostly one row group, hence one task, and the expressions on
+    review texts cost far more than moving the rows. No more than one split is ever
+    moved; tables of several files, or larger ones, come back as they are, however
+    many cores there are.
     """
-    if df.isStreaming or df.rdd.getNumPartitions() > 1:
+    files = [] if df.isStreaming else df.inputFiles()
+    if len(files) != 1:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    if status.getLen() > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
