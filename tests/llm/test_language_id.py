@@ -111,3 +111,30 @@ def test_learns_from_the_right_rows_only(spark):
 
     ids = {r.id for r in L.labelled_documents(docs).collect()}
     assert ids == {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+
+
+def test_every_language_and_letter_is_learned(spark):
+    """Seventy languages with scripts of their own, all letters of which lie beyond the first 254."""
+    rnd = np.random.default_rng(4)
+    scripts = {f"l{k:02}": [chr(0x4E00 + 40 * k + i) for i in range(40)] for k in range(70)}
+
+    def text(own):
+        return " ".join("".join(rnd.choice(own, 3)) for _ in range(60))
+
+    rows = [(f"{lang}-{i}", lang, text(own)) for lang, own in scripts.items() for i in range(6 + (lang < "l64"))]
+    models = L.fit_language_models(spark.createDataFrame(rows, "id string, lang string, text string"))
+    assert models.languages == sorted(scripts) and len(models.alphabet) == 2800
+    assert len(set(models.codes("".join(sum(scripts.values(), [])).encode()).tolist())) == 2800
+    fresh = [text(own).encode() for own in scripts.values()]
+    assert models.predict(fresh)[0].to_pylist() == sorted(scripts)
+    # Probabilities of all characters after a context, the other letters included, add up to one.
+    context = models.codes(rows[0][2][:3].encode()).tolist()
+    last = [*range(2801), (1 << models.width) - 1]
+    keys = [context[0] << 48 | context[1] << 32 | context[2] << 16 | c for c in last]
+    assert models.probability(np.array(keys, np.uint64), 4).sum(axis=0) == pytest.approx([1] * 70)
+
+
+def test_widest_alphabet():
+    alphabet = np.arange(1, 70_001, dtype=np.uint32)
+    models = L.CharacterModels(["a"], alphabet, L.ORDER)
+    assert (models.width, models.order, models.kinds) == (21, 3, 70_002)

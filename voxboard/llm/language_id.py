@@ -20,8 +20,10 @@ ORDER = 4
 #: Labelled documents per language that a model is fitted on, and that it is calibrated on.
 FIT_DOCUMENTS = 1500
 CALIBRATION_DOCUMENTS = 500
-MAX_LANGUAGES = 64
+#: So many letters go with eight bits a character; a larger alphabet gets wider ones.
 LETTERS = 254
+#: Languages that share a table of grams; a table has a column for each of them.
+BLOCK = 4
 SPARE = 2.0
 UNKNOWN = "und"
 FIELDS = "lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -51,15 +53,20 @@ def letters(text: bytes | None) -> np.ndarray:
     return codes[keep]
 
 
-def grams(codes: np.ndarray, order: int) -> np.ndarray:
-    """Each character with the ``order - 1`` before it, eight bits a character.
+def code_width(alphabet: np.ndarray) -> int:
+    """Bits a character, so that each learned letter, the break and "other" have a code."""
+    return next(w for w in (8, 16, 21) if len(alphabet) + 2 <= 1 << w)
 
-    Up to order 8 this is a hash without collisions; a text starts after zeros.
+
+def grams(codes: np.ndarray, order: int, width: int = 8) -> np.ndarray:
+    """Each character with the ``order - 1`` before it, ``width`` bits a character.
+
+    Up to 64 bits this is a hash without collisions; a text starts after zeros.
     """
     padded = np.concatenate((np.zeros(order - 1, np.uint64), codes.astype(np.uint64)))
     out = np.zeros(len(codes), np.uint64)
     for k in range(order):
-        out = (out << np.uint64(8)) | padded[k : k + len(codes)]
+        out = (out << np.uint64(width)) | padded[k : k + len(codes)]
     return out
 
 
@@ -72,9 +79,9 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Level:
-    """One order of all languages' models, in sorted hash arrays.
+    """One order of a block of languages' models, in sorted hash arrays.
 
-    ``keys`` are the grams that any language has, ``probability`` has a column per
+    ``keys`` are the grams that any language of the block has, ``probability`` has a column per
     language. ``contexts`` and ``weight`` are what goes to the next shorter order.
     """
 
@@ -89,36 +96,52 @@ class CharacterModels:
     languages: list[str]
     alphabet: np.ndarray
     order: int
-    levels: list[Level] = field(default_factory=list)
+    blocks: list[list[Level]] = field(default_factory=list)
     limits: np.ndarray | None = None
     noise: np.ndarray | None = None
 
+    def __post_init__(self) -> None:
+        self.width = code_width(self.alphabet)
+        # 65,534 letters and fewer leave room for four characters, more of them for three.
+        self.order = min(self.order, 64 // self.width)
+        self.kinds = LETTERS + 2 if self.width == 8 else len(self.alphabet) + 2
+
     def codes(self, text: bytes | None) -> np.ndarray:
-        """0 for a break, 1 to 254 for the learned letters, 255 for any other letter."""
+        """0 for a break, from 1 the learned letters, the highest code for any other letter."""
         found = letters(text)
         at, known = find(self.alphabet, found)
-        return np.where(found == 0, 0, np.where(known, at + 1, LETTERS + 1)).astype(np.uint8)
+        out = np.where(found == 0, 0, np.where(known, at + 1, (1 << self.width) - 1))
+        return out.astype(np.uint8 if self.width == 8 else np.uint32)
+
+    def grams(self, text: bytes | None) -> np.ndarray:
+        return grams(self.codes(text), self.order, self.width)
+
+    def mask(self, order: int) -> np.uint64:
+        return np.uint64((1 << (self.width * order)) - 1)
 
     def fit(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         """``counts``: sorted grams of the full order and their counts, per language."""
-        own = [counts[name] for name in self.languages]
+        for at in range(0, len(self.languages), BLOCK):
+            self.fit_block([counts[name] for name in self.languages[at : at + BLOCK]])
+
+    def fit_block(self, own: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """The models of the next languages; none depends on another language."""
         by_order: dict[int, list] = {self.order: own}
+        width, levels = np.uint64(self.width), []
         for m in range(self.order - 1, 0, -1):
             # A shorter gram counts the characters that come before it.
-            mask = np.uint64((1 << (8 * m)) - 1)
-            by_order[m] = [np.unique(keys & mask, return_counts=True) for keys, _ in by_order[m + 1]]
-        uniform = 1.0 / (LETTERS + 2)
+            by_order[m] = [np.unique(keys & self.mask(m), return_counts=True) for keys, _ in by_order[m + 1]]
         for m in range(1, self.order + 1):
             keys = np.unique(np.concatenate([k for k, _ in by_order[m]]))
-            contexts = np.unique(keys >> np.uint64(8))
+            contexts = np.unique(keys >> width)
             probability = np.empty((len(keys), len(own)))
             weight = np.ones((len(contexts), len(own)))
-            below = self.probability(keys, m - 1) if m > 1 else np.full((len(keys), len(own)), uniform)
-            place = np.searchsorted(contexts, keys >> np.uint64(8))
+            below = self.in_block(levels, len(own), keys, m - 1)
+            place = np.searchsorted(contexts, keys >> width)
             for l, (k, c) in enumerate(by_order[m]):
                 once, twice = (c == 1).sum(), (c == 2).sum()
                 discount = once / (once + 2 * twice) if once and twice else 0.5
-                context = np.searchsorted(contexts, k >> np.uint64(8))
+                context = np.searchsorted(contexts, k >> width)
                 total = np.bincount(context, c, len(contexts))
                 kinds = np.bincount(context, minlength=len(contexts))
                 seen = total > 0
@@ -126,39 +149,48 @@ class CharacterModels:
                 probability[:, l] = weight[place, l] * below[:, l]
                 at = np.searchsorted(keys, k)
                 probability[at, l] += (c - discount) / total[context]
-            self.levels.append(Level(keys, probability, contexts, weight))
+            levels.append(Level(keys, probability, contexts, weight))
+        self.blocks.append(levels)
 
     def probability(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """Interpolated probability of each gram's last character, by language.
+        """Interpolated probability of each gram's last character, by language."""
+        found, n = [], len(self.languages)
+        for i, levels in enumerate(self.blocks):
+            found.append(self.in_block(levels, min(BLOCK, n - i * BLOCK), keys, order))
+        return found[0] if len(found) == 1 else np.concatenate(found, axis=1)
+
+    def in_block(self, levels: list[Level], n: int, keys: np.ndarray, order: int) -> np.ndarray:
+        """``probability`` by the ``n`` languages of a block.
 
         A gram that no language has comes from the next shorter one, times the weight
         that its context leaves over; a context that a language lacks leaves all.
         """
         if order == 0:
-            return np.full((len(keys), len(self.languages)), 1.0 / (LETTERS + 2))
-        level = self.levels[order - 1]
+            return np.full((len(keys), n), 1.0 / self.kinds)
+        level = levels[order - 1]
         if order < self.order:
-            keys = keys & np.uint64((1 << (8 * order)) - 1)
+            keys = keys & self.mask(order)
         at, known = find(level.keys, keys)
         out = level.probability[at]
         lost = np.flatnonzero(~known)
         if len(lost):
             rest = keys[lost]
-            place, seen = find(level.contexts, rest >> np.uint64(8))
+            place, seen = find(level.contexts, rest >> np.uint64(self.width))
             weight = np.where(seen[:, None], level.weight[place], 1.0)
-            out[lost] = weight * self.probability(rest, order - 1)
+            out[lost] = weight * self.in_block(levels, n, rest, order - 1)
         return out
 
     def cross_entropies(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character by language, and the number of characters; texts are whole."""
         out = np.zeros((len(texts), len(self.languages)))
         sizes = np.zeros(len(texts), np.int64)
+        chunk = max(1, CHUNK // max(1, len(self.blocks)))
         for i, text in enumerate(texts):
             codes = self.codes(text)
             sizes[i] = len(codes) if codes.any() else 0
-            keys = grams(codes, self.order)
-            for at in range(0, len(keys) if sizes[i] else 0, CHUNK):
-                out[i] -= np.log(self.probability(keys[at : at + CHUNK], self.order)).sum(axis=0)
+            keys = grams(codes, self.order, self.width)
+            for at in range(0, len(keys) if sizes[i] else 0, chunk):
+                out[i] -= np.log(self.probability(keys[at : at + chunk], self.order)).sum(axis=0)
         return out / np.maximum(sizes, 1)[:, None], sizes
 
     def calibrate(self, names: np.ndarray, entropies: np.ndarray, sizes: np.ndarray) -> None:
@@ -171,7 +203,7 @@ class CharacterModels:
         text of a few words says little, and stays unless it is far off.
         """
         n = len(self.languages)
-        self.limits, self.noise = np.full(n, np.log(LETTERS + 2)), np.zeros(n)
+        self.limits, self.noise = np.full(n, np.log(self.kinds)), np.zeros(n)
         for l, name in enumerate(self.languages):
             own = (names == name) & (sizes > 0)
             if not own.any():
@@ -182,7 +214,7 @@ class CharacterModels:
                 for other in self.languages
                 if other != name and (o := (names == other) & (sizes > 0)).any()
             ]
-            self.limits[l] = (centre + min([*others, np.log(LETTERS + 2)])) / 2
+            self.limits[l] = (centre + min([*others, np.log(self.kinds)])) / 2
             self.noise[l] = SPARE * ((entropies[own, l] - centre) * np.sqrt(sizes[own])).max()
 
     def predict(self, texts: list[bytes | None]) -> list[pa.Array]:
@@ -207,16 +239,15 @@ class CharacterModels:
         ]
 
 
-def labelled_sample(labelled: DataFrame, per_language: int, max_languages: int) -> DataFrame:
+def labelled_sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """(lang, n, text): the same documents on every run, by a hash of their ids.
 
     Rows that cannot be among the first are passed over where they are read, and only
     the keys of the chosen ones go back to the texts.
     """
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
-    top = sizes.orderBy(F.desc("size"), "lang").limit(max_languages)
     body = F.xxhash64("text").alias("body")
-    ids = labelled.join(F.broadcast(top), "lang").select(
+    ids = labelled.join(F.broadcast(sizes), "lang").select(
         "lang", "id", body, "size", hash_unit("id").alias("h")
     )
     ids = ids.filter(F.col("h") <= hash_share(F.col("size"), per_language))
@@ -236,7 +267,7 @@ def gram_counts(alphabet: np.ndarray, order: int):
         for batch in batches:
             totals: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, n = np.unique(grams(models.codes(text), order), return_counts=True)
+                keys, n = np.unique(models.grams(text), return_counts=True)
                 own = totals.setdefault(lang, Counter())
                 for k, c in zip(keys.view(np.int64).tolist(), n.tolist()):
                     own[k] += c
@@ -267,17 +298,16 @@ def fit_language_models(
     order: int = ORDER,
     fit_documents: int = FIT_DOCUMENTS,
     calibration_documents: int = CALIBRATION_DOCUMENTS,
-    max_languages: int = MAX_LANGUAGES,
 ) -> CharacterModels:
     """Models of the languages in ``labelled`` (id, lang, text; none null).
 
-    Bounded on purpose: at most ``fit_documents`` whole texts per language (and as
-    many again as ``calibration_documents`` for the limits) of at most
-    ``max_languages`` languages, the most frequent. Grams are counted in the tasks
-    and added up by Spark; their number is bounded by the sample, and so is what the
-    driver gets. Without a labelled row there is no language.
+    Every language is learned, and every letter of the sample has a code of its own.
+    Bounded on purpose: at most ``fit_documents`` whole texts per language, and
+    ``calibration_documents`` more for the limits. Grams are counted in the tasks
+    and added up by Spark; their number is bounded by the sample, and the driver gets
+    those of ``BLOCK`` languages at a time. Without a labelled row there is no language.
     """
-    sample = labelled_sample(labelled, fit_documents + calibration_documents, max_languages)
+    sample = labelled_sample(labelled, fit_documents + calibration_documents)
     kept = sample.select("lang", F.col("text").cast("binary").alias("text"), "n").persist()
     # In small samples a fourth is left for calibration.
     sizes = kept.groupBy("lang").agg(F.count("*").alias("size"))
@@ -287,23 +317,25 @@ def fit_language_models(
     )
     fit = marked.filter("fit").select("lang", "text")
     found = fit.select("text").mapInArrow(letter_counts, "letter long, n long")
-    common = found.filter("letter > 0").groupBy("letter").agg(F.sum("n").alias("n"))
-    alphabet = [r[0] for r in common.orderBy(F.desc("n"), "letter").limit(LETTERS).collect()]
-    alphabet = np.array(sorted(alphabet), np.uint32)
+    learned = found.filter("letter > 0").select("letter").distinct().collect()
+    alphabet = np.array(sorted(r[0] for r in learned), np.uint32)
     rows = (
         fit.mapInArrow(gram_counts(alphabet, order), "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .persist()
     )
-    counts = {}
-    for lang, part in rows.groupby("lang"):
-        keys = part["gram"].to_numpy().view(np.uint64)
-        place = np.argsort(keys)
-        counts[lang] = (keys[place], part["n"].to_numpy()[place].astype(np.float64))
-    models = CharacterModels(sorted(counts), alphabet, order)
-    if counts:
-        models.fit(counts)
+    models = CharacterModels(sorted(r[0] for r in rows.select("lang").distinct().collect()), alphabet, order)
+    for at in range(0, len(models.languages), BLOCK):
+        names = models.languages[at : at + BLOCK]
+        counts = {}
+        for lang, part in rows.filter(F.col("lang").isin(names)).toPandas().groupby("lang"):
+            keys = part["gram"].to_numpy().view(np.uint64)
+            place = np.argsort(keys)
+            counts[lang] = (keys[place], part["n"].to_numpy()[place].astype(np.float64))
+        models.fit_block([counts[name] for name in names])
+    rows.unpersist()
+    if models.languages:
         unseen = marked.filter(~F.col("fit")).select("lang", "text")
         shared = labelled.sparkSession.sparkContext.broadcast(models)
 
@@ -315,11 +347,11 @@ def fit_language_models(
                     ["lang", "entropies", "n"],
                 )
 
-        measured = unseen.mapInArrow(measure, "lang string, entropies array<double>, n long").collect()
+        measured = unseen.mapInArrow(measure, "lang string, entropies array<double>, n long").toArrow()
         models.calibrate(
-            np.array([r["lang"] for r in measured]),
-            np.array([r["entropies"] for r in measured]).reshape(-1, len(models.languages)),
-            np.array([r["n"] for r in measured], np.int64),
+            np.array(measured["lang"].to_pylist()),
+            measured["entropies"].combine_chunks().flatten().to_numpy().reshape(-1, len(models.languages)),
+            measured["n"].to_numpy().astype(np.int64),
         )
     kept.unpersist()
     return models
