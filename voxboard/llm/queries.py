@@ -19,6 +19,7 @@ from voxboard.llm.language_id import (
 from voxboard.llm.line_dedup import line_dedup
 from voxboard.llm.lm_score import lm_score
 from voxboard.llm.packing import pack
+from voxboard.llm.periodic_runs import periodic_runs, run_digests, with_planted_periods
 from voxboard.llm.quality_rules import COUNTS, quality_rules
 from voxboard.llm.repeats import repeated_spans
 from voxboard.llm.secret_scan import counted, joined, secret_scan, sql_twin
@@ -80,6 +81,55 @@ SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
 FROM found JOIN sizes USING (item_id) WHERE n_found * 10 >= n_shingles * 8
 """
 
+# Words that match themselves at a lag are found by their last 16 words: any run has
+# at least 16 words that do.
+PERIODIC_RUNS_SQL = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS v
+    FROM range(256) r(b))
+), hashed AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+                         lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM documents, crc
+), placed AS (
+  SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed
+), texts AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+           w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w
+  FROM placed
+), grams AS (
+  SELECT doc_id, unnest(range(15, n)) AS i,
+         unnest(list_transform(range(15, n), lambda i: array_to_string(w[i - 14:i + 1], ' '))) AS gram
+  FROM texts WHERE n >= 24
+), twice AS (SELECT doc_id, gram, list(i) AS places FROM grams GROUP BY ALL HAVING count(*) > 1
+), matches AS (
+  SELECT doc_id, i, i - j AS lag FROM (SELECT doc_id, places, unnest(places) AS i FROM twice), unnest(places) u(j) WHERE j < i
+), islands AS (
+  SELECT doc_id, lag, i, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM matches
+), stretches AS (
+  SELECT doc_id, min(i) - 15 - lag AS s, max(i) - (min(i) - 15 - lag) + 1 AS length, lag
+  FROM islands GROUP BY doc_id, lag, island
+), runs AS (
+  SELECT doc_id, s, length, min(lag) AS period FROM stretches
+  WHERE length >= 24 AND length >= 3 * lag GROUP BY doc_id, s, length
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, list({'s': s, 'l': length, 'p': period}) AS r,
+         string_agg(s || ',' || length || ',' || period || chr(10), '' ORDER BY s, period) AS lines
+  FROM runs GROUP BY doc_id
+), best AS (
+  SELECT doc_id, s, length, period FROM runs a WHERE NOT EXISTS (
+    SELECT 1 FROM runs b WHERE a.doc_id = b.doc_id AND (b.length * a.period > a.length * b.period
+      OR b.length * a.period = a.length * b.period AND (b.s < a.s OR b.s = a.s AND b.period < a.period)))
+)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.length, b.period,
+       1000 * b.length // b.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN r IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT coalesce(list_bool_or(
+         list_transform(r, lambda q: i - 1 >= q.s + q.p AND i - 1 < q.s + q.l)), false)) END, ' ')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed l ON t.doc_id = l.doc_id LEFT JOIN best b ON t.doc_id = b.doc_id
+"""
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
@@ -157,3 +207,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_members(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), as_hex(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op13_periodic_runs", PERIODIC_RUNS_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_periods(documents(spark, sf_dir))))
