@@ -16,6 +16,7 @@ from voxboard.llm.language_id import (
     labelled_documents,
     language_id,
 )
+from voxboard.llm.lexical_search import build_index
 from voxboard.llm.line_dedup import line_dedup
 from voxboard.llm.lm_score import lm_score
 from voxboard.llm.packing import pack
@@ -81,6 +82,30 @@ SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
 FROM found JOIN sizes USING (item_id) WHERE n_found * 10 >= n_shingles * 8
 """
 
+LEXICAL_SEARCH_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), corpus AS (SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM texts WHERE len(t) > 0
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), postings AS (
+  SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM texts)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, corpus GROUP BY term, n_docs
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN postings USING (term), corpus GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 # Words that match themselves at a lag are found by their last 16 words: any run has
 # at least 16 words that do.
 PERIODIC_RUNS_SQL = r"""
@@ -212,3 +237,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_periodic_runs", PERIODIC_RUNS_SQL)
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_periods(documents(spark, sf_dir))))
+
+
+@query("op11_lexical_search", LEXICAL_SEARCH_SQL)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return build_index(documents(spark, sf_dir)).search(items)
