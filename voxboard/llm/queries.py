@@ -21,6 +21,8 @@ from voxboard.llm.line_dedup import line_dedup
 from voxboard.llm.lm_score import lm_score
 from voxboard.llm.packing import pack
 from voxboard.llm.periodic_runs import periodic_runs, run_digests, with_planted_periods
+from voxboard.llm.personal_data import KINDS, joined_spans, personal_data
+from voxboard.llm.personal_data import counted as counted_kind
 from voxboard.llm.quality_rules import COUNTS, quality_rules
 from voxboard.llm.repeats import repeated_spans
 from voxboard.llm.secret_scan import counted, joined, secret_scan, sql_twin
@@ -234,6 +236,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_personal_data")
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"),
+        *[counted_kind("base_spans", kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(joined_spans("base_spans"), 256).alias("base_sha256"),
+        joined_spans("spans").alias("spans"),
+    )
+
+
 @query("op13_periodic_runs", PERIODIC_RUNS_SQL)
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_periods(documents(spark, sf_dir))))
