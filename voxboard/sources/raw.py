@@ -9,6 +9,7 @@ which brings one short row per file to the driver.
 
 from __future__ import annotations
 
+import csv
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -20,12 +21,24 @@ from pyspark.sql import types as T
 
 from voxboard.functions.dates import parse_date_number
 from voxboard.model import RAW_FIELDS
+from voxboard.sources.ranges import (
+    DelimitedScan,
+    JsonScan,
+    changes,
+    file_groups,
+    members,
+    quoted_after,
+    records,
+    starts,
+)
 
 # List-valued keys of wrapped exports and accepted file suffixes.
 WRAPPER_KEYS = ["reviews", "data", "results", "items"]
 SUFFIXES = (".json", ".csv", ".tsv")
 DATE_NAMES = {n.lower() for n in RAW_FIELDS["date"] + RAW_FIELDS["millis"]}
 DELIMITERS = ",\t;"
+#: Encodings whose records can be cut by byte ranges.
+CHARSETS = ("UTF-8", "ISO-8859-1", "UTF-16LE", "UTF-16BE")
 
 
 def with_position(df: DataFrame) -> DataFrame:
@@ -120,32 +133,65 @@ def layouts(spark: SparkSession, paths: list[str]) -> list[Layout]:
         first = bytes.fromhex(r["first"])
         encoding = "UTF-8" if r["utf8"] else "ISO-8859-1"
         if first[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            encoding = "UTF-16"
+            encoding = "UTF-16LE" if first[:1] == b"\xff" else "UTF-16BE"
         elif 2 * r["zeros"] > r["lines"]:
             encoding = "UTF-16LE"
+        # The line ends inside the line break of a wide encoding.
         header = first.decode(encoding, errors="ignore").lstrip("\ufeff").rstrip("\r\n\0")
         wide = encoding.startswith("UTF-16")
         found.append(Layout(r["path"], encoding, header, r["odd"] or wide, r["objects"] and not wide))
     return sorted(found, key=lambda x: x.path)
 
 
-def _elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The review objects of JSON documents, each still as text.
+def _record_rows(found: DataFrame) -> DataFrame:
+    position = F.struct(F.col("block"), F.col("row"))
+    return found.select(F.col("path").alias("src_file"), position.alias("src_pos"), "record")
+
+
+def _chosen_lists(spark: SparkSession, paths: list[str], known: dict) -> dict[str, tuple]:
+    """Per file the places between which the list of the first wrapper key that has one stands."""
+    by_file = defaultdict(list)
+    for r in members(spark, paths, known).collect():
+        by_file[r["path"]].append(((r["block"], r["piece"], r["at"]), r["key"], r["is_list"]))
+    out = {}
+    for path, found in by_file.items():
+        found.sort()
+        # Of equal keys the last one counts.
+        lists = {key: i for i, (_, key, is_list) in enumerate(found) if is_list}
+        at = next((lists[k] for k in WRAPPER_KEYS if k in lists), None)
+        if at is not None:
+            end = found[at + 1][0] if at + 1 < len(found) else (1 << 62, 0, 0)
+            out[path] = (found[at][0], end)
+    return out
+
+
+def _elements(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """The review objects of JSON documents, each still as text, and files of JSON lines.
 
     A document is a list, an object wrapping a list, or one object; whatever is
-    no object inside a list is passed over.
+    no object inside a list is passed over. Lists are cut by byte ranges, however long a
+    document or a line of it is; a document that is one object is one row.
     """
-    docs = with_position(spark.read.option("wholetext", "true").text(paths))
-    text = F.col("value")
-    wrapped = F.from_json(text, ", ".join(f"{k} string" for k in WRAPPER_KEYS))
-    listed = F.coalesce(*[F.when(wrapped[k].startswith("["), wrapped[k]) for k in WRAPPER_KEYS])
-    as_list = F.when(F.ltrim(text).startswith("["), text).otherwise(listed)
-    items = F.coalesce(F.from_json(as_list, "array<string>"), F.array(text))
-    rows = docs.select("src_file", "src_pos", F.posexplode(items).alias("at", "element"))
-    position = F.struct(F.col("src_pos.block").alias("block"), F.col("at").cast("long").alias("row"))
-    return rows.filter(F.ltrim("element").startswith("{")).select(
-        "src_file", position.alias("src_pos"), "element"
-    )
+    parts, by_line = [], []
+    for group in file_groups(spark, paths):
+        rows = changes(spark, group, JsonScan()).collect()
+        form = {r["path"]: r["form"] for r in rows if r["form"]}
+        by_line += [p for p in group if form.get(p) == "lines"]
+        lists = [p for p in group if form.get(p) == "list"]
+        objects = [p for p in group if form.get(p) == "object"]
+        known = starts(rows, JsonScan())
+        wrapped = _chosen_lists(spark, objects, known) if objects else {}
+        if lists:
+            parts.append(_record_rows(records(spark, lists, JsonScan(), known)))
+        if wrapped:
+            scan = JsonScan(2, wrapped)
+            inner = starts([r for r in rows if r["path"] in wrapped], scan)
+            parts.append(_record_rows(records(spark, list(wrapped), scan, inner)))
+        if single := [p for p in objects if p not in wrapped]:
+            whole = with_position(spark.read.text(single, wholetext=True))
+            parts.append(whole.select("src_file", "src_pos", F.col("value").alias("record")))
+    found = reduce(DataFrame.unionByName, parts).withColumnRenamed("record", "element") if parts else None
+    return found, by_line
 
 
 def _infer(spark: SparkSession, elements: DataFrame) -> T.StructType:
@@ -171,16 +217,15 @@ def scan_json(
 ) -> DataFrame:
     """A list of objects, an object wrapping such a list, or one object per file or line.
 
-    ``lines=True`` reads one object per line, the form that can be split over many
-    tasks; a single JSON document is always read by one task. Without it, files in
-    which every line is an object are read line by line.
+    ``lines=True`` reads one object per line. Without it, files that hold one object
+    after the other are read line by line, and lists are cut by byte ranges. Every form
+    but a single object per file is split over many tasks.
     """
     files = [paths] if isinstance(paths, str) else list(paths)
-    by_line = files if lines else []
-    if lines is None:
-        by_line = [x.path for x in layouts(spark, files) if x.json_lines]
-    whole = [f for f in files if not any(_same_path(f, p) for p in by_line)]
-    parts = ([_lines(spark, by_line)] if by_line else []) + ([_elements(spark, whole)] if whole else [])
+    listed, by_line = (None, files) if lines else _elements(spark, files)
+    parts = ([_lines(spark, by_line)] if by_line else []) + ([listed] if listed is not None else [])
+    if not parts:
+        raise ValueError(f"no JSON objects in {paths}")
     elements = reduce(DataFrame.unionByName, parts)
     if schema is None:
         schema = _infer(spark, elements)
@@ -198,11 +243,6 @@ def scan_json(
     return normalise_headers(parsed.select(*columns, "src_file", "src_pos"))
 
 
-def _same_path(a: str, b: str) -> bool:
-    """Equal but for the scheme and the slashes after it."""
-    return a.split(":", 1)[-1].lstrip("/") == b.split(":", 1)[-1].lstrip("/")
-
-
 def scan_csv(
     spark: SparkSession,
     paths: str | list[str],
@@ -212,8 +252,8 @@ def scan_csv(
 ) -> DataFrame:
     """Delimited exports, every column as text.
 
-    Files that agree in encoding, delimiter and header are read in one scan. Only
-    those with records over several lines, and UTF-16, are read by one task each.
+    Files that agree in encoding, delimiter and header are read in one scan. Files with
+    records over several lines, and UTF-16, are cut into records by byte ranges.
     """
     groups: dict[tuple, list[str]] = defaultdict(list)
     for x in layouts(spark, [paths] if isinstance(paths, str) else list(paths)):
@@ -223,21 +263,51 @@ def scan_csv(
             header = header.encode(x.encoding, "ignore").decode(encoding, "ignore")
         groups[(encoding or x.encoding, sep or x.delimiter(), header, many)].append(x.path)
     parts = []
-    for (enc, delimiter, _, many), files in groups.items():
-        df = (
-            spark.read.option("header", "true")
-            .option("sep", delimiter)
-            .option("encoding", enc)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("multiLine", str(many).lower())
-            .option("inferSchema", "false")
-            .csv(files)
-        )
-        parts.append(normalise_headers(with_position(df)))
+    for (enc, delimiter, header, many), files in groups.items():
+        # A header that goes over several lines is left to Spark's reader.
+        by_range = many and enc in CHARSETS and not quoted_after(header, False, delimiter)
+        if by_range:
+            cut, files = _delimited(spark, files, DelimitedScan(enc, delimiter), header)
+            parts += cut
+        if files:
+            df = (
+                spark.read.option("header", "true")
+                .option("sep", delimiter)
+                .option("encoding", enc)
+                .option("quote", '"')
+                .option("escape", '"')
+                .option("multiLine", str(many).lower())
+                .option("inferSchema", "false")
+                .csv(files)
+            )
+            parts.append(normalise_headers(with_position(df)))
     return _union(parts)
 
 
+def _delimited(
+    spark: SparkSession, files: list[str], scan: DelimitedScan, header: str
+) -> tuple[list[DataFrame], list[str]]:
+    """Rows of files cut by byte ranges, and the files in which a range ends inside a character."""
+    names = next(csv.reader([header], delimiter=scan.sep))
+    # Of equal names the last one counts.
+    last = {n.strip().lower() or f"_c{i}": i for i, n in enumerate(names)}
+    kinds = ", ".join(f"c{i} string" for i in range(len(names)))
+    options = {"sep": scan.sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    parts, left = [], []
+    for group in file_groups(spark, files):
+        rows = changes(spark, group, scan).collect()
+        broken = {r["path"] for r in rows if r["broken"]}
+        left += sorted(broken)
+        if not (whole := [p for p in group if p not in broken]):
+            continue
+        found = records(spark, whole, scan, starts(rows, scan))
+        # The first record is the header; an empty one is no row.
+        rows = _record_rows(found.filter("(block > 0 or row > 0) and record <> ''"))
+        parsed = rows.select("src_file", "src_pos", F.from_csv("record", kinds, options).alias("r"))
+        parts.append(parsed.select(*[F.col(f"r.c{i}").alias(n) for n, i in last.items()], "src_file", "src_pos"))
+    return parts, left
+
+
 def discover_raw(spark: SparkSession, folder: str) -> list[str]:
     """Export files of a folder, by path; other files are passed over."""
     found = spark.read.format("binaryFile").load(folder).inputFiles()
