@@ -64,6 +64,10 @@ TEXTS = [
     "zzzzzzzzzzzzzzzzzzzzzzzz9k9Zq3LmX7vT2bNc8RyWp0aHs5aaaaaaaaaaaaaaaaaaaaaa",
     "x " * 3000 + " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(700)),
     "0123456789abcdef0123456789abcdef my-example-0a1b2c3d4e5f6g7h8i9j0",
+    "well-known-words_and-more/of=them+12-3456 well-known-words_and-more-12345 a-1b-2c-3d-4e-5f-6g-7h-8i",
+    "z-" * 8000 + "1",
+    "q" * 60_000,
+    "Zq-" * 20_000 + "x9",
 ]
 
 
@@ -94,3 +98,14 @@ def test_digest(spark):
 
 def test_empty(spark):
     assert secret_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_megabyte_without_an_end_takes_seconds(spark):
+    import time
+
+    texts = ["z-" * 500_000 + "1", "q" * 1_000_000, "password" * 125_000, "7" * 1_000_000, "token = " * 125_000, "AKIA" * 250_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    begin = time.time()
+    got = {r.doc_id: len(r.base_spans) for r in secret_scan(df).select("doc_id", "base_spans", "spans").collect()}
+    assert time.time() - begin < 60
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1}

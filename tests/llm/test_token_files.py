@@ -16,7 +16,6 @@ from voxboard.llm.token_files import Encoder, document_keys, write_tokens
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 OWN = Encoder(PATH, kept=50)
 
 
@@ -37,6 +36,17 @@ def test_any_text(text):
     check([text.encode("utf-8", "ignore").decode(), "", text.encode("ascii", "ignore").decode()])
 
 
+def test_added_tokens_are_found_in_texts():
+    check(["hello <|endoftext|> world", "a<|endoftext|>b c", "<|endoftext|>", "<|endof text|>", "plain", "", "x <|endoftext|"])
+    assert [50256 in ids for ids in OWN.encode(pa.array(["x <|endoftext|> y", "<|endoftext"]))] == [True, False]
+
+
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "<|", "|>", "\n", "  ", "endoftext"]), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_added_tokens_anywhere(parts):
+    check(["".join(parts)])
+
+
 def test_other_tokenizers_are_used_as_they_are():
     path = tokenizer_path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)

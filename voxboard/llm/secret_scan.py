@@ -25,7 +25,8 @@ class CharacterClass:
     """Candidates of one alphabet, and how much entropy a window of them may have.
 
     ``pattern`` finds the candidates, ``alphabet`` lists their characters. Windows
-    of ``window`` characters with at least ``bits`` of Shannon entropy are hits.
+    of ``window`` characters with at least ``bits`` of Shannon entropy are hits, in
+    candidates that hold a match of ``needs``.
     """
 
     kind: str
@@ -33,6 +34,7 @@ class CharacterClass:
     alphabet: str
     window: int
     bits: float
+    needs: str = ""
 
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,18 +44,20 @@ CLASSES = (
     # 20 random base64 characters have 4.1 bits; runs without a digit are words.
     CharacterClass(
         "entropy_base64",
-        r"(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{20,}",
+        r"[A-Za-z0-9+/=_-]{20,}",
         DIGITS + LOWER + UPPER + "+/=_-",
         20,
         3.7,
+        "[0-9]",
     ),
 )
 
-#: Candidates that match one of these are no secrets, whatever their entropy.
+#: Candidates that match one of these are no secrets, whatever their entropy. Repeated groups
+#: take all they can and give nothing back: otherwise each repeat stays on Java's stack.
 ALLOWED = (
     r"^[0-9]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]+([-_/=+][A-Za-z]+)*([-_/=+][0-9]{1,4})*$",
+    r"^[A-Za-z]++(?:[-_/=+][A-Za-z]++)*+(?:[-_/=+][0-9]{1,4})*+$",
     r"^(?i:0123456789abcdef|abcdefghijklmnopqrstuvwxyz0123456789).*$",
     r"(?i:example|sample|dummy|placeholder)",
 )
@@ -218,8 +222,10 @@ def secret_scan(
     with a sliding window; a hit spans from its first to its last window of enough
     entropy. Base spans are never suppressed. Offsets are code points, ends exclusive.
 
-    One pass over the rows without a shuffle: a text is scanned where it was read.
-    A null text is an empty one and has no spans; repeated rows each give a row.
+    One pass over the rows without a shuffle: a text is scanned where it was read, in
+    time that grows with its length. A null text is an empty one and has no spans; an empty
+    table gives an empty one; repeated rows each give a row. Spans that begin together are
+    ordered by kind, and one run of characters may be a span of several kinds.
     """
     df = keyed(docs)
     df = located(df, "assign", ASSIGN)
@@ -237,7 +243,9 @@ def secret_scan(
     for rule in classes:
         df = located(df, rule.kind, rule.pattern)
         doubtful = F.filter(
-            rule.kind, lambda x: ~F.array_max(F.array(*[x["match"].rlike(a) for a in allowed]))
+            rule.kind,
+            lambda x: x["match"].rlike(rule.needs)
+            & ~F.array_max(F.array(*[x["match"].rlike(a) for a in allowed])),
         )
         windows = F.transform(
             doubtful, lambda x: F.struct(x["start"].alias("at"), window_span(x["match"], rule).alias("w"))
@@ -267,15 +275,15 @@ def sql_twin(
 ) -> str:
     """The same result as SQL over ``documents``, each window counted anew.
 
-    That engine has no lookahead and folds case beyond ASCII: candidates that need a
-    digit are filtered, and names are spelled in both cases.
+    That engine folds case beyond ASCII, so names are spelled in both cases, and knows no
+    groups that give nothing back, nor needs them.
     """
     names = ["password", "passwd", "secret", "token", "apikey"]
     spelled = ["".join(f"[{c}{c.upper()}]" for c in n) for n in names]
     spelled[-1] = spelled[-1].replace("[kK]", "_?[kK]", 1)
     value = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     patterns = [("assign", f"(?:{'|'.join(spelled)}){value}"), ("access", ACCESS), ("hex", HEX)]
-    patterns += [(c.kind, c.pattern.partition(")")[2] if c.pattern.startswith("(?=") else c.pattern) for c in classes]
+    patterns += [(c.kind, c.pattern) for c in classes]
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
@@ -285,11 +293,12 @@ def sql_twin(
         f"string_split_regex(text, {quoted(p)}) AS gaps FROM texts"
         for rank, (kind, p) in enumerate(patterns)
     )
-    barred = " OR ".join(f"regexp_matches(f, {quoted(a)})" for a in allowed)
+    plain = [a.replace("++", "+").replace("*+", "*") for a in allowed]
+    barred = " OR ".join(f"regexp_matches(f, {quoted(a)})" for a in plain)
     windows = []
     for rank, rule in enumerate(classes, 3):
         own, w = Entropy(rule), rule.window
-        digit = "regexp_matches(f, '[0-9]')" if rule.pattern.startswith("(?=") else "true"
+        needed = f"regexp_matches(f, {quoted(rule.needs)})"
         total = (
             f"list_sum(list_transform(list_distinct(chars[i + 1:i + {w}]), lambda ch: "
             f"{own.terms}[len(list_filter(chars[i + 1:i + {w}], lambda x: x = ch)) + 1]))"
@@ -297,7 +306,7 @@ def sql_twin(
         windows.append(
             f"SELECT doc_id, rank, kind, start + min(i) AS start, start + max(i) + {w} AS stop FROM ("
             f"SELECT *, unnest(range(0, len(chars) - {w} + 1)) AS i FROM ("
-            f"SELECT *, string_split(f, '') AS chars FROM placed WHERE rank = {rank} AND {digit} AND NOT ({barred})))"
+            f"SELECT *, string_split(f, '') AS chars FROM placed WHERE rank = {rank} AND {needed} AND NOT ({barred})))"
             f" WHERE {total} <= {own.limit} GROUP BY doc_id, rank, kind, start"
         )
     joined = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"

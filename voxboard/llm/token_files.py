@@ -55,7 +55,7 @@ class Encoder:
     units, and the ids of the units be put together. Arrow numbers the pieces of many
     texts, each different one is looked up once, and numpy lines up their ids. Units
     that were met are kept, up to a bound. Texts with longer runs of white
-    space, pieces with letters beyond Latin, and files of another kind of tokenizer
+    space or with a token that the file adds (such as the end of a text), pieces with letters beyond Latin, and files of another kind of tokenizer
     are encoded as they are.
     """
 
@@ -63,7 +63,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         rules = json.loads(self.tokenizer.to_str())
         cut = rules["pre_tokenizer"] or {}
@@ -74,6 +73,9 @@ class Encoder:
             and cut.get("use_regex", True)
             and not cut.get("add_prefix_space")
         )
+        # Tokens that are found in a text before it is cut.
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        self.simple &= not any(t.isspace() or " " in t for t in self.added)
         self.kept = kept
         self.letters = byte_letters()
         self.units: dict[str, bytes] = {}
@@ -107,6 +109,12 @@ class Encoder:
             out.append(ids)
         return out
 
+    def holds_added(self, words: pa.Array) -> np.ndarray:
+        found = np.zeros(len(words), bool)
+        for token in self.added:
+            found |= pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        return found
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
         if not self.simple:
@@ -122,6 +130,7 @@ class Encoder:
         joins[1:-1] = opens[codes[1:]] & closes[codes[:-1]]
         first = offsets[:-1]
         joins[first] = 0
+        joins[:-1] += self.holds_added(words.dictionary)[codes]
         odd = np.add.reduceat(joins, first) > 0 if len(first) else np.zeros(0, bool)
         # The first piece of a text has no blank before it and gets a number of its own.
         table = self.pieces(" ", names) + self.pieces("", [names[c] for c in codes[first]])
