@@ -18,7 +18,6 @@ from voxboard.llm.language_id import fit_language_models, labelled_documents, la
 from voxboard.llm.line_dedup import line_dedup
 from voxboard.llm.near_copies import without_near_copies
 from voxboard.llm.packing import pack
-from voxboard.llm.simhash import keep_one
 from voxboard.session import ensure_checkpoint_dir
 
 
@@ -37,8 +36,11 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of like fingerprints, the one with the smallest id."""
-    return keep_one(docs)
+    """One document of each group that share 0.8 of their five-word shingles, that of the smallest id.
+
+    Candidates come from SimHash components and, as bits miss many, from MinHash bands.
+    """
+    return without_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +48,6 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def without_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of the documents that share 0.8 of their five-word shingles, which bits may miss."""
-    return without_near_copies(docs)
-
-
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and the window (``bin``) that each lies in."""
     return pack(docs)
@@ -61,7 +58,6 @@ STAGES = [
     ("line_dedup", without_shared_lines),
     ("simhash", one_of_each_group),
     ("decontamination", without_benchmark),
-    ("near_copies", without_similar),
     ("packing", packed),
 ]
 
