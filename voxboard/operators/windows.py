@@ -28,11 +28,13 @@ def resolve_window(
     as_of: str | dt.date | Column,
     keys: list[str],
     min_rows: int = SPARSE_THRESHOLD,
+    count: str | None = None,
 ) -> DataFrame:
     """One row per group: the narrowest window with enough rows, and its flags.
 
     Counts only grow with the width, so counting all widths in one pass gives
-    what widening week by week would.
+    what widening week by week would. A row counts once, or as often as its
+    column ``count`` says, so that counts per day serve as well as reviews.
     """
     end = as_date(as_of)
     preferred = clamp_weeks(preferred_weeks)
@@ -40,8 +42,8 @@ def resolve_window(
     inside = F.col("date") <= end
     counts = df.groupBy(*keys).agg(
         *[
-            F.count_if(inside & (F.col("date") >= F.date_sub(end, 7 * w))).alias(f"__w{w}")
-            for w in widths
+            (F.count_if(near) if count is None else F.coalesce(F.sum(F.when(near, F.col(count))), F.lit(0))).alias(f"__w{w}")
+            for w, near in [(w, inside & (F.col("date") >= F.date_sub(end, 7 * w))) for w in widths]
         ]
     )
     used = n = None

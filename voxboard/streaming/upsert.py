@@ -12,7 +12,7 @@ from voxboard.model import VOCABULARY, Vocabulary
 from voxboard.operators.joins import join_on
 from voxboard.operators.ledger import latest_runs, undelivered
 from voxboard.operators.themes import rank_themes
-from voxboard.sources.artifacts import append_run, read_runs
+from voxboard.sources.artifacts import run_ledger, run_rows
 
 
 def runs_from_counts(counts: DataFrame, vocab: Vocabulary = VOCABULARY) -> DataFrame:
@@ -37,22 +37,24 @@ def runs_from_counts(counts: DataFrame, vocab: Vocabulary = VOCABULARY) -> DataF
     return join_on(totals, top, keys)
 
 
-def ledger_upsert(path: str, keys: list[str] = ("product_id", "week_key")) -> Callable[[DataFrame, int], None]:
+def ledger_upsert(
+    path: str, keys: list[str] = ("product_id", "week_key"), writer: str = "stream"
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that skips delivered weeks and rows already there.
 
-    A batch that is replayed after a failure finds its rows in the ledger and
-    adds nothing.
+    Each batch is committed to the ledger as a whole and once: one that is replayed
+    adds nothing, and of one that fails half-way nothing is seen.
     """
     keys = list(keys)
     same = [*keys, "review_count", "top_3"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ledger = read_runs(spark, path)
+        ledger = run_ledger(batch.sparkSession, path)
         runs = runs_from_counts(batch)
-        fresh = undelivered(runs, latest_runs(ledger, keys), keys)
-        known = latest_runs(ledger, keys).select(*same)
+        latest = latest_runs(ledger.read(), keys)
+        fresh = undelivered(runs, latest, keys)
+        known = latest.select(*same)
         new = join_on(fresh, known, same, "left_anti").withColumn("finished_at", F.current_timestamp())
-        append_run(new, path)
+        ledger.commit(run_rows(new), writer, batch_id)
 
     return write
