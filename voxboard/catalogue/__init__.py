@@ -2,6 +2,7 @@
 
 from voxboard.catalogue import (  # noqa: F401
     evidence,
+    exports,
     gates,
     intake,
     labels,

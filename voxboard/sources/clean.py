@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from voxboard.functions.dates import iso_week_key
 from voxboard.model import PII_COLUMNS, REVIEW_COLUMNS, REVIEW_SCHEMA
+from voxboard.sources.raw import scan_json
 
 
 def assert_no_pii_columns(df: DataFrame) -> DataFrame:
@@ -75,12 +76,13 @@ def scan_clean(spark: SparkSession, path: str, fmt: str | None = None, multiline
 
 
 def scan_clean_preferred(spark: SparkSession, json_path: str | None, csv_path: str | None) -> DataFrame:
-    """The JSON corpus if it is there, else the CSV mirror."""
-    for path in (json_path, csv_path):
-        if path is None:
-            continue
-        if _exists(spark, path):
-            return scan_clean(spark, path, multiline=True)
+    """The JSON corpus, a document or lines, if it is there, else the CSV mirror."""
+    if json_path is not None and _exists(spark, json_path):
+        files = list(spark.read.format("binaryFile").load(json_path).inputFiles())
+        found = scan_json(spark, files, schema=REVIEW_SCHEMA, mode="FAILFAST")
+        return found.select(*REVIEW_COLUMNS).withColumn("source", F.coalesce("source", F.lit("play")))
+    if csv_path is not None and _exists(spark, csv_path):
+        return scan_clean(spark, csv_path, "csv", multiline=True)
     raise FileNotFoundError(f"no cleaned corpus at {json_path} or {csv_path}")
 
 

@@ -214,12 +214,14 @@ def scan_json(
     paths: str | list[str],
     lines: bool | None = None,
     schema: T.StructType | None = None,
+    mode: str = "PERMISSIVE",
 ) -> DataFrame:
     """A list of objects, an object wrapping such a list, or one object per file or line.
 
     ``lines=True`` reads one object per line. Without it, files that hold one object
     after the other are read line by line, and lists are cut by byte ranges. Every form
-    but a single object per file is split over many tasks.
+    but a single object per file is split over many tasks. Objects that do not fit the
+    ``schema`` have nulls, or are an error in ``mode`` FAILFAST.
     """
     files = [paths] if isinstance(paths, str) else list(paths)
     listed, by_line = (None, files) if lines else _elements(spark, files)
@@ -231,7 +233,7 @@ def scan_json(
         schema = _infer(spark, elements)
     if not schema.fields:
         raise ValueError(f"no JSON objects in {paths}")
-    parsed = elements.select("src_file", "src_pos", "element", F.from_json("element", schema).alias("e"))
+    parsed = elements.select("src_file", "src_pos", "element", F.from_json("element", schema, {"mode": mode}).alias("e"))
     columns = []
     for f in schema.fields:
         c = F.col("e")[f.name]
