@@ -343,29 +343,48 @@ def redact_emails(spark, sf):
     return table(spark, sf, "documents").select("doc_id", privacy.redact_emails(F.col("text")).alias("text"))
 
 
-# What is redacted, in the SQL engine's dialect. It has no lookarounds, so
-# the character before and after is part of the match; that is enough to say whether.
-REDACTED_SQL = r"""regexp_matches(text, '{email}')
-  OR regexp_matches(text, '(^|[^\p{{Nd}}])(\+?91[\s-]*)?[6-9]\p{{Nd}}{{9}}([^\p{{Nd}}]|$)')
-  OR regexp_matches(text, '(^|[^\p{{Nd}}])\+?\p{{Nd}}{{1,3}}[\s.-]?\(?\p{{Nd}}{{2,4}}\)?[\s.-]?\p{{Nd}}{{3,4}}[\s.-]?\p{{Nd}}{{3,4}}([^\p{{Nd}}]|$)')
-  OR regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])([0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}([^\p{{L}}\p{{N}}_]|$)|(gaid|idfa|android[_-]?id)\s*[:=]\s*[^\s]*[\p{{L}}\p{{N}}_]|[0-9a-f]{{16,}}([^\p{{L}}\p{{N}}_]|$))')
-""".format(email=EMAIL_SQL)
+# What is redacted, in the SQL engine's dialect. It has no lookarounds:
+# every character that may stand before a match gets a mark after it, so that "no digit
+# before" becomes "a mark or the beginning", and what follows is taken along and put back.
+MARK = "\ue000"
+_SEP = rf"(?:[\s.-]{MARK})?"
+_PHONE = (
+    rf"(?:(?:\+{MARK})?91(?:[\s-]{MARK})*)?[6-9]\p{{Nd}}{{9}}($|[^\p{{Nd}}])"
+    rf"|(?:\+{MARK})?\p{{Nd}}{{1,3}}{_SEP}(?:\({MARK})?\p{{Nd}}{{2,4}}(?:\){MARK})?{_SEP}"
+    rf"\p{{Nd}}{{3,4}}{_SEP}\p{{Nd}}{{3,4}}($|[^\p{{Nd}}])"
+)
+_W, _X = r"[\p{L}\p{N}_]", "[0-9a-f]"
+_UUID = f"-{MARK}".join(f"{_X}{{{n}}}" for n in (8, 4, 4, 4, 12))
+_NAMED = rf"(?:gaid|idfa|android(?:_|-{MARK})?id)(?:\s{MARK})*[:=]{MARK}(?:\s{MARK})*[^\s]*{_W}"
+
+
+def _replaced(x: str, other: str, pattern: str, token: str) -> str:
+    """Matches of a pattern that begin after ``other`` or at the beginning; groups 2 and 3 follow them."""
+    marked = f"regexp_replace({x}, '({other})', '\\1{MARK}', 'g')"
+    return f"replace(regexp_replace({marked}, '(?i)(^|{MARK})(?:{pattern})', '\\1{token}\\2\\3', 'g'), '{MARK}', '')"
+
+
+_NO_WORD = f"[^{_W[1:-1]}]"
+_DEVICE = rf"{_UUID}($|{_NO_WORD})|{_NAMED}|{_X}{{16,}}($|{_NO_WORD})"
+
+
+def sql_redacted(x: str) -> str:
+    mails = f"regexp_replace({x}, '{EMAIL_SQL}', '[email]', 'g')"
+    phones = _replaced(mails, r"[^\p{Nd}]", _PHONE, "[phone]")
+    return sql_strip(_replaced(phones, _NO_WORD, _DEVICE, "[device_id]"))
 
 
 @query(
     "scrub_reviews",
-    f"""WITH {DOCS}, flagged AS (SELECT doc_id, product_id, text, {REDACTED_SQL} AS redacted FROM docs)
-SELECT doc_id, product_id, redacted, CASE WHEN NOT redacted THEN {sql_strip('text')} END AS text
-FROM flagged WHERE {sql_strip('text')} <> ''""",
+    f"""WITH {DOCS}, c AS (SELECT doc_id, product_id, text, {sql_redacted('text')} AS v FROM docs)
+SELECT doc_id, product_id, v <> {sql_strip('text')} AS redacted, v AS text FROM c WHERE v <> ''""",
 )
 def scrub_reviews(spark, sf):
-    """Which texts are redacted, and the others word by word."""
+    """All texts as they are after redaction."""
     original = document_reviews(spark, sf).select("*", F.col("text").alias("original"))
     scrubbed = scrub.scrub(original)
     redacted = F.col("text") != text.strip_ws(F.col("original"))
-    return scrubbed.select(
-        "doc_id", "product_id", redacted.alias("redacted"), F.when(~redacted, F.col("text")).alias("text")
-    )
+    return scrubbed.select("doc_id", "product_id", redacted.alias("redacted"), "text")
 
 
 def _clean_sql(foreign: str) -> str:
@@ -376,12 +395,13 @@ def _clean_sql(foreign: str) -> str:
     PARTITION BY product_id, date, rating, text ORDER BY doc_id) AS rn FROM docs) WHERE rn = 1),
 {WINDOW.replace('FROM docs', 'FROM dd')}
 SELECT d.product_id, 'play-' || substr(sha256(strftime(date, '%Y-%m-%d') || '|' ||
-       coalesce(CAST(rating AS VARCHAR), '') || '|' || text), 1, 16) AS id, rating, date, 'en' AS language
+       coalesce(CAST(rating AS VARCHAR), '') || '|' || text), 1, 16) AS id, rating, date, 'en' AS language,
+       {sql_redacted('text')} AS text
 FROM dd d JOIN win w ON d.product_id IS NOT DISTINCT FROM w.product_id
 WHERE d.date BETWEEN DATE '2024-03-31' - 7 * w.weeks_used AND DATE '2024-03-31' AND {kept}"""
 
 
-CLEANED = ["product_id", "id", "rating", "date", "language"]
+CLEANED = ["product_id", "id", "rating", "date", "language", "text"]
 
 
 @query("clean_corpus", _clean_sql("language = 'en'"))
