@@ -15,8 +15,10 @@ from voxboard.catalogue.adapters import (
     table,
 )
 from voxboard.catalogue.evidence import CHOSEN
+from voxboard.catalogue.intake import CLEAN, KINDS_SQL
 from voxboard.catalogue.registry import query
 from voxboard.catalogue.reports import PARTS, composed, staged_reviews
+from voxboard.functions.text import word_count
 from voxboard.operators import gates, metrics, themes
 
 KEYS = ["product_id"]
@@ -115,6 +117,57 @@ def stored_report_gates(spark, sf):
     return rows.select("product_id", "ordinal", "name", "ok", errors.alias("errors"))
 
 
+# Documents as report bodies, with actions, word counts and column names that are right in
+# some and wrong in others, each on its own ground.
+_N_WORDS = sql_word_count("text")
+_KINDS = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in KINDS_SQL.items()) + "], lambda k: k IS NOT NULL)"
+_SAYS = "list_transform(kinds, lambda k: '{} contains possible PII (' || k || ')')"
+MADE = f"""docs AS (SELECT doc_id, n_chars AS n, text, {CLEAN} AS t FROM documents),
+made AS (
+  SELECT doc_id, n, n % 2 = 0 AS exact, {_N_WORDS} AS words, {_N_WORDS} + CAST(n % 6 = 0 AS INTEGER) AS stored,
+         {_KINDS} AS kinds,
+         [CASE n % 3 WHEN 0 THEN 'fix it now' WHEN 1 THEN ' ' ELSE 'show the fee before payment' END,
+          'answer tickets within two days', 'test each release on old phones'][1:CASE WHEN n % 4 = 0 THEN 2 ELSE 3 END] AS actions,
+         [CASE WHEN n % 7 = 0 THEN 'weather' ELSE 'fees_funding' END, 'customer_support', 'app_reliability'] AS ids
+  FROM docs),
+said AS (
+  SELECT doc_id, 'actions' AS name, len(actions) || ' actions' AS detail, list_concat(list_concat(
+      CASE WHEN exact AND len(actions) <> 3 THEN ['expected exactly 3 actions, got ' || len(actions)] ELSE [] END,
+      CASE n % 3 WHEN 0 THEN ['action 1 is too short to be a concrete next step'] WHEN 1 THEN ['action 1 is empty'] ELSE [] END),
+      CASE WHEN n % 7 = 0 THEN ['action 1 theme_id ''weather'' is not an observed/vocab theme'] ELSE [] END) AS errors FROM made
+  UNION ALL SELECT doc_id, 'length', words || ' words (limit 250)', list_concat(
+      CASE WHEN words > 250 THEN ['report body word count ' || words || ' exceeds 250'] ELSE [] END,
+      CASE WHEN stored <> words THEN ['report word_count (' || stored || ') != computed body words (' || words || ')'] ELSE [] END) FROM made
+  UNION ALL SELECT doc_id, 'privacy', 'no usernames / emails / phones / device ids in artifacts', list_concat(list_concat(
+      {_SAYS.format('artifact text 1')}, {_SAYS.format('artifact text 3')}), {_SAYS.format('report body')}) FROM made)"""
+
+
+@query(
+    "failing_gates",
+    f"""WITH {MADE} SELECT doc_id, name, len(errors) = 0 AS ok, detail, array_to_string(errors, '; ') AS errors FROM said""",
+)
+def failing_gates(spark, sf):
+    """Actions, length and privacy, failing each on its own ground, with what they say."""
+    n = F.col("n_chars")
+    first = F.when(n % 3 == 0, "fix it now").when(n % 3 == 1, " ").otherwise("show the fee before payment")
+    actions = F.array(first, F.lit("answer tickets within two days"), F.lit("test each release on old phones"))
+    strange = F.when(n % 7 == 0, "weather").otherwise("fees_funding")
+    reports = table(spark, sf, "documents").select(
+        "doc_id",
+        (n % 2 == 0).alias("exact"),
+        F.col("text").alias("body"),
+        word_count(F.col("text")).alias("body_words"),
+        (word_count(F.col("text")) + (n % 6 == 0).cast("int")).alias("word_count"),
+        F.slice(actions, 1, F.when(n % 4 == 0, 2).otherwise(3)).alias("actions"),
+        F.array(strange, F.lit("customer_support"), F.lit("app_reliability")).alias("action_themes"),
+        F.lit(None).cast("array<string>").alias("seen"),
+        F.array("lang", "text").alias("summaries"),
+    )
+    found = F.array(gates.action_gate(), gates.length_gate(), gates.privacy_gate())
+    rows = reports.select("doc_id", F.inline(found))
+    return rows.select("doc_id", "name", "ok", "detail", F.array_join("errors", "; ").alias("errors"))
+
+
 # Documents as records of scored reports.
 @query(
     "eval_score",

@@ -315,13 +315,19 @@ EMAIL_SQL = r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 CLEAN = r"regexp_replace(text, '(?i)\[(?:email|phone|device_id)\]', ' ', 'g')"
 
 
+# What the scan for personal data says of a text without redaction tokens.
+KINDS_SQL = {
+    "email pattern": f"regexp_matches(t, '{EMAIL_SQL}')",
+    "phone pattern": r"regexp_matches(t, '(^|[^\p{Nd}])(\+?91[\s-]*)?[6-9]\p{Nd}{9}([^\p{Nd}]|$)')",
+    "device id pattern": r"regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}([^\p{L}\p{N}_]|$)|(gaid|idfa|android[_-]?id)\s*[:=]\s*[^\s]*[\p{L}\p{N}_])')",
+    "username handle": r"regexp_matches(t, '(^|[^\p{L}\p{N}_])@[A-Za-z][A-Za-z0-9._]{2,}')",
+}
+
+
 @query(
     "pii_flags",
-    rf"""SELECT doc_id, regexp_matches(t, '{EMAIL_SQL}') AS email,
-       regexp_matches(t, '(^|[^\p{{Nd}}])(\+?91[\s-]*)?[6-9]\p{{Nd}}{{9}}([^\p{{Nd}}]|$)') AS phone,
-       regexp_matches(t, '(?i)(^|[^\p{{L}}\p{{N}}_])([0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}([^\p{{L}}\p{{N}}_]|$)|(gaid|idfa|android[_-]?id)\s*[:=]\s*[^\s]*[\p{{L}}\p{{N}}_])') AS device,
-       regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_])@[A-Za-z][A-Za-z0-9._]{{2,}}') AS handle
-FROM (SELECT doc_id, {CLEAN} AS t FROM documents)""",
+    f"""SELECT doc_id, {', '.join(f'{test} AS {name.split()[0]}' for name, test in KINDS_SQL.items())}
+FROM (SELECT doc_id, {CLEAN} AS t FROM documents)""".replace("AS username", "AS handle"),
 )
 def pii_flags(spark, sf):
     kinds = privacy.pii_kinds(F.col("text"))
