@@ -97,13 +97,31 @@ FIRST_LINE = sql_needle("regexp_split_to_array(q.quote, '[' || chr(10) || ']')[1
 STORED = VERDICTS.replace("contains(l.text, rtrim(q.quote, '…'))", f"contains(l.text, {FIRST_LINE})")
 
 
+_DAY = "strftime({}, '%Y-%m-%d')"
+STORED_ERRORS = f"""wrong AS (
+  SELECT product_id, string_agg('quote ' || quote_rank || ' is not a verbatim substring of any review text', '; ' ORDER BY quote_rank) AS said
+  FROM padded q WHERE NOT EXISTS (SELECT 1 FROM lab l WHERE l.product_id = q.product_id AND contains(l.text, {FIRST_LINE}))
+  GROUP BY product_id),
+errors AS (
+  SELECT product_id, name, concat_ws('; ', CASE name
+    WHEN 'window' THEN concat_ws('; ',
+      CASE WHEN n_out > 0 THEN n_out || ' review(s) outside 12-week window ending ' || {_DAY.format('hi')} ||
+           ' (oldest allowed ' || {_DAY.format('hi - 86')} || ')' END,
+      CASE WHEN hi - lo > 86 THEN 'date span ' || (hi - lo) || ' days exceeds 12-week cap (84 days)' END)
+    WHEN 'theme_count' THEN CASE WHEN n_themes < 3 THEN 'report shows ' || n_themes || ' themes; expected top 3' END
+    WHEN 'quotes' THEN concat_ws('; ', CASE WHEN n_quotes <> 3 THEN 'expected exactly 3 quotes, got ' || n_quotes END, said)
+    WHEN 'actions' THEN CASE WHEN n_themes < 3 THEN 'expected exactly 3 actions, got ' || n_themes END
+    WHEN 'length' THEN CASE WHEN {sql_word_count('body')} > 250 THEN 'report body word count ' || {sql_word_count('body')} || ' exceeds 250' END
+    WHEN 'source' THEN CASE WHEN foreign_n > 0 THEN foreign_n || ' review(s): language must be ' || chr(39) || 'en' || chr(39) END
+    ELSE CASE WHEN NOT ok THEN 'personal data' END END) AS errors
+  FROM verdicts JOIN v USING (product_id) LEFT JOIN wrong USING (product_id))"""
+
+
 @query(
     "stored_report_gates",
-    f"""{CHAIN}, {STORED}
-SELECT product_id, CAST(ordinal AS INTEGER) AS ordinal, name, ok, '' AS errors FROM verdicts
-WHERE product_id <> 'src0' AND ok
-UNION ALL SELECT product_id, CAST(ordinal AS INTEGER), name, ok, 'some' FROM verdicts
-WHERE product_id <> 'src0' AND NOT ok
+    f"""{CHAIN}, {STORED}, {STORED_ERRORS}
+SELECT product_id, CAST(ordinal AS INTEGER) AS ordinal, name, ok, coalesce(errors, '') AS errors
+FROM verdicts JOIN errors USING (product_id, name) WHERE product_id <> 'src0'
 UNION ALL SELECT 'src0', 5, 'length', false, 'report not found' FROM verdicts WHERE product_id = 'src0' AND ordinal = 5""",
 )
 def stored_report_gates(spark, sf):
@@ -113,8 +131,7 @@ def stored_report_gates(spark, sf):
     table_ = themes.theme_counts(reviews, KEYS, TEST_VOCABULARY)
     groups = reviews.select("product_id").distinct()
     rows = gates.evaluate_stored(reviews, table_, stored, groups, KEYS, vocab=TEST_VOCABULARY)
-    errors = F.when(F.col("ok"), "").when(F.col("product_id") == "src0", F.array_join("errors", ",")).otherwise("some")
-    return rows.select("product_id", "ordinal", "name", "ok", errors.alias("errors"))
+    return rows.select("product_id", "ordinal", "name", "ok", F.array_join("errors", "; ").alias("errors"))
 
 
 # Documents as report bodies, with actions, word counts and column names that are right in
