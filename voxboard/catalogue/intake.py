@@ -16,7 +16,7 @@ from voxboard.catalogue.registry import query
 from voxboard.catalogue.windows import WINDOW
 from voxboard.functions import dates, numbers, privacy, text
 from voxboard.functions.ids import opaque_id
-from voxboard.operators import gates, intake, quality, scrub
+from voxboard.operators import gates, intake, language, quality, scrub
 from voxboard.operators.sampling import dedupe_reviews
 from voxboard.plans.ingest import ingest, ingest_stats
 from voxboard.plans.staging import shared
@@ -153,6 +153,34 @@ def language_vote(spark, sf):
     return docs.select("doc_id", quality.english_vote(F.col("text")).alias("english"))
 
 
+# Learned from four fifths of the documents, told for all.
+PROFILE_SQL = r"""letters AS (
+  SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) || ' ' AS s FROM documents
+), grams AS (
+  SELECT doc_id, lang, unnest(list_transform(range(1, length(s) - 1), lambda i: s[i:i + 2])) AS gram FROM letters
+), profiles AS (
+  SELECT lang AS known, gram, 401 - row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS points
+  FROM grams WHERE doc_id % 5 <> 0 GROUP BY lang, gram
+), points AS (
+  SELECT doc_id, known, sum(points) AS points FROM grams JOIN profiles USING (gram) WHERE points > 0 GROUP BY doc_id, known
+), best AS (
+  SELECT doc_id, arg_min(known, {'a': -points, 'b': known}) AS pred, max(points)::DOUBLE / sum(points)::DOUBLE AS share
+  FROM points GROUP BY doc_id
+)"""
+
+
+@query(
+    "detect_language",
+    f"""WITH {PROFILE_SQL} SELECT d.doc_id, CASE WHEN share >= 0.3 THEN pred END AS lang_pred, coalesce(share, 0.0::DOUBLE) AS share
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""",
+)
+def detect_language(spark, sf):
+    """Language of every document by trigram profiles of those whose id is not divisible by five."""
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text", "lang")
+    profiles = shared(spark)(language.fit_profiles(docs.filter("doc_id % 5 <> 0")), "profiles")
+    return language.detect_language(docs.select("doc_id", "text"), profiles, "doc_id")
+
+
 @query(
     "ingest_stats",
     f"""WITH {DOCS}, dd AS (

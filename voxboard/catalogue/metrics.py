@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from voxboard.catalogue.adapters import DOCS, EV, document_reviews, event_reviews
 from voxboard.catalogue.registry import query
 from voxboard.functions.dates import iso_week_key
-from voxboard.operators import metrics
+from voxboard.functions.text import count_words
+from voxboard.operators import metrics, sketches
 
 KEYS = ["product_id"]
 WEEKLY = ["product_id", "week_key"]
@@ -96,3 +97,36 @@ FROM w GROUP BY product_id""",
 )
 def length_profile(spark, sf):
     return metrics.length_profile(document_reviews(spark, sf), KEYS)
+
+
+# Languages stand for products, so that there are many sources in each. What is estimated
+# is compared as what it must be: the rank of the median and the distinct count in bounds.
+@query(
+    "sketched_summary",
+    f"""WITH {DOCS}, w AS (
+  SELECT language, date, rating, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:''[A-Za-z]+)?')) AS n FROM docs
+  WHERE date > DATE '2024-02-01')
+SELECT language, count(*) AS review_count, min(date) AS date_min, max(date) AS date_max, CAST(min(n) AS BIGINT) AS min_words,
+       CAST(max(n) AS BIGINT) AS max_words, sum(n)::DOUBLE / count(*) AS avg_words,
+       CAST(floor(100.0 * (count(*) FILTER (rating <= 2)::DOUBLE / count(*)) + 0.5) AS INTEGER) AS low_star_share,
+       true AS median_in_bounds, true AS distinct_in_bounds
+FROM w GROUP BY language""",
+)
+def sketched_summary(spark, sf):
+    """Summaries of a range of days out of rows per day, with the estimates held against the reviews."""
+    reviews = document_reviews(spark, sf).withColumn("source", F.col("product_id"))
+    days = sketches.day_sketches(reviews, ["language"])
+    found = sketches.roll_up(days.filter("date > '2024-02-01'"), ["language"])
+    recent = reviews.filter("date > '2024-02-01'").withColumn("n", count_words(F.col("text")))
+    held = recent.join(F.broadcast(found.select(F.col("language").alias("l"), "median_words")), F.col("language") == F.col("l"))
+    ranks = held.groupBy("l").agg(
+        F.avg((F.col("n") < F.col("median_words")).cast("int")).alias("below"),
+        F.avg((F.col("n") <= F.col("median_words")).cast("int")).alias("up_to"),
+        F.count_distinct("source").alias("sources"),
+    )
+    off = F.abs(F.col("distinct_sources") - F.col("sources"))
+    return found.join(ranks, F.col("language") == F.col("l")).select(
+        "language", "review_count", "date_min", "date_max", "min_words", "max_words", "avg_words", "low_star_share",
+        ((F.col("below") <= 0.5 + sketches.RANK_ERROR) & (F.col("up_to") >= 0.5 - sketches.RANK_ERROR)).alias("median_in_bounds"),
+        (off <= F.greatest(F.lit(1.0), F.col("sources") * sketches.DISTINCT_ERROR)).alias("distinct_in_bounds"),
+    )

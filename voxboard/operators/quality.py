@@ -50,8 +50,10 @@ def english_vote(c: Column) -> Column:
 def is_english(c: Column, detector: Column | None = None) -> Column:
     """Script test, then a language detector on what is left.
 
-    ``detector`` is any boolean column: a language tag compared with ``en``, a
-    pandas UDF around a detector library, or by default the function-word vote.
+    ``detector`` is any boolean column: a language tag compared with ``en``, what
+    ``language.detect_language`` finds by profiles learned from labelled texts, or a
+    pandas UDF around a detector library. Without one, and so without anything learned,
+    the function-word vote stands in.
     """
     vote = english_vote(c) if detector is None else detector
     return F.when(is_latin_text(c), F.coalesce(vote, F.lit(False))).otherwise(F.lit(False))
