@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -249,6 +251,9 @@ def resolve_picks(
 
 GRAM_WORDS = 3
 CHAR_GRAM = 8
+#: Grams that a bitmap is made for, and bits of it in a byte.
+MAX_GRAMS = 500_000
+BITS = 7
 _TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -269,18 +274,53 @@ def _gram_hash(tokens: Column, i: Column) -> Column:
     return F.xxhash64(*[F.get(tokens, i + j) for j in range(GRAM_WORDS)])
 
 
-def _word_grams(tokens: Column) -> Column:
+Test = Callable[[Column], Column]
+
+
+def _word_grams(tokens: Column, wanted: Test | None = None) -> Column:
     """Hashes of all runs of neighbouring tokens, each once. ``tokens`` is a plain column."""
     last = F.size(tokens) - GRAM_WORDS
     hashes = F.transform(F.sequence(F.lit(0), last), lambda i: _gram_hash(tokens, i))
-    return F.when(last >= 0, F.array_distinct(hashes))
+    return F.when(last >= 0, F.array_distinct(F.filter(hashes, wanted) if wanted else hashes))
+
+
+def gram_test(grams: DataFrame, hashed: Test = lambda g: g) -> Test | None:
+    """A test that every ``__gram`` of a table passes and others only now and then.
+
+    A bitmap of the hashes, sixteen bits per gram and at most some 1.2 MB, is part of the
+    expression, so runs that no needle has are dropped in the array they are made in and
+    never become rows. Beyond MAX_GRAMS there is no test, and the join alone drops them.
+    """
+    rows = grams.select("__gram").distinct()
+    n = rows.count()
+    if not 0 < n <= MAX_GRAMS:
+        return None
+    size = 1 << (16 * n // BITS).bit_length()
+
+    def place(gram: Column) -> Column:
+        return F.pmod(hashed(gram), F.lit(BITS * size))
+
+    at = rows.select(place(F.col("__gram")).alias("p"))
+    marks = at.select(F.floor(F.col("p") / BITS).alias("byte"), F.expr(f"shiftleft(1, cast(p % {BITS} as int))").alias("bit"))
+    bitmap = bytearray(size)
+    for byte, bit in marks.groupBy("byte").agg(F.bit_or("bit")).collect():
+        bitmap[byte] = bit
+    held = F.lit(bytes(bitmap))
+
+    def test(gram: Column) -> Column:
+        byte = F.substring(held, F.floor(place(gram) / BITS).cast("int") + 1, F.lit(1))
+        # Seven bits a byte, so that a byte is an ASCII character.
+        mark = F.pow(F.lit(2), place(gram) % BITS).cast("int")
+        return F.ascii(byte.cast("string")).bitwiseAND(mark) != 0
+
+    return test
 
 
 def _characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def _char_grams(chars: Column, lengths: list[int]) -> Column:
+def _char_grams(chars: Column, lengths: list[int], wanted: Test | None = None) -> Column:
     """All runs of the given numbers of characters, each once. ``chars`` is a plain column."""
 
     def runs(n: int) -> Column:
@@ -290,7 +330,8 @@ def _char_grams(chars: Column, lengths: list[int]) -> Column:
         )
         return F.when(last >= 0, joined).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))
+    every = F.flatten(F.array(*[runs(n) for n in lengths]))
+    return F.array_distinct(F.filter(every, wanted) if wanted else every)
 
 
 def _found_needles(grams: DataFrame, needle_grams: DataFrame, texts: DataFrame) -> DataFrame:
@@ -326,6 +367,7 @@ def verbatim_in_corpus(
     contains every run of its inner words. Each needle is looked up by its
     rarest run, and only the texts that hold it are searched, so a phrase that
     fills much of the corpus pairs up with the needles made of nothing else.
+    Of the runs of a text only those that some needle may have become rows.
     Needles with too few inner words are looked up by runs of characters; that
     pass is left out when there are none.
     """
@@ -341,10 +383,9 @@ def verbatim_in_corpus(
     # Tokens are a column before they are indexed; inside a lambda they would be
     # split again for every position.
     grams = texts.select("__id", _tokens(F.col("__text")).alias("__t"))
-    runs = F.explode(_word_grams(F.col("__t"))).alias("__gram")
-    found = _found_needles(
-        grams.select("__id", runs), wanted.filter(by_words).select("__needle", runs), texts
-    )
+    asked = wanted.filter(by_words).select("__needle", F.explode(_word_grams(F.col("__t"))).alias("__gram"))
+    runs = F.explode(_word_grams(F.col("__t"), gram_test(asked))).alias("__gram")
+    found = _found_needles(grams.select("__id", runs), asked, texts)
     short = wanted.filter(~by_words).select(
         "__needle",
         F.least(F.length("__needle"), F.lit(CHAR_GRAM)).alias("n"),
@@ -354,18 +395,17 @@ def verbatim_in_corpus(
     lengths = sorted(tuple(r) for r in short.select("n", "longer").distinct().collect())
     if lengths:
         sizes = sorted({n for n, _ in lengths})
-        chars = texts.select("__id", _characters(F.col("__text")).alias("__c")).select(
-            "__id", F.explode(_char_grams(F.col("__c"), sizes)).alias("__gram")
-        )
         # A needle that is one run is settled by the run itself; no text is searched.
         whole = short.filter(~F.col("longer")).select("__needle", F.col("__needle").alias("__gram"))
+        parts = short.filter("longer").select("__needle", _characters(F.col("__needle")).alias("__c"))
+        longer = parts.select("__needle", F.explode(_char_grams(F.col("__c"), [CHAR_GRAM])).alias("__gram"))
+        test = gram_test(whole.unionByName(longer), F.xxhash64)
+        chars = texts.select("__id", _characters(F.col("__text")).alias("__c")).select(
+            "__id", F.explode(_char_grams(F.col("__c"), sizes, test)).alias("__gram")
+        )
         found = found.unionByName(join_small(chars, whole, ["__gram"]).select("__needle").distinct())
         if (CHAR_GRAM, True) in lengths:
-            runs = short.filter("longer").select("__needle", _characters(F.col("__needle")).alias("__c"))
-            grams = runs.select(
-                "__needle", F.explode(_char_grams(F.col("__c"), [CHAR_GRAM])).alias("__gram")
-            )
-            found = found.unionByName(_found_needles(chars, grams, texts))
+            found = found.unionByName(_found_needles(chars, longer, texts))
     hits = found.distinct().withColumn("__found", F.lit(True))
     return (
         rows.join(hits, "__needle", "left")

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxboard.operators.joins import join_on
 from voxboard.operators.ranking import first_per
@@ -18,9 +19,12 @@ def _given(c: Column) -> Column:
 
 
 def latest_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """The last finished run of each week; of runs that ended together the last run id."""
-    # Ledgers without run ids are settled by what the rows hold.
-    held = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(runs.columns)]))
+    """The last finished run of each week; of runs that ended together the last run id.
+
+    Ledgers without run ids are settled by a hash of what the rows hold.
+    """
+    plain = [f.name for f in runs.schema.fields if not isinstance(f.dataType, T.MapType)]
+    held = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(plain)])
     last = F.col("run_id") if "run_id" in runs.columns else F.lit(None)
     return first_per(runs, keys, [F.col("finished_at").desc(), last.desc(), held.desc()])
 

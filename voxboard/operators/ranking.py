@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from os.path import commonprefix
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +10,10 @@ from voxboard.operators.joins import join_on
 
 #: Rows that one bucket of ``order_buckets`` is meant to hold.
 BUCKET_ROWS = 50_000
+#: Buckets at most, values that their bounds are taken from, and bounds looked at together.
+MAX_BUCKETS = 4096
+SAMPLE_VALUES = 100_000
+STRIDE = 64
 
 
 def top_ranked(
@@ -72,17 +74,41 @@ def group_rank(
     )
 
 
-def order_buckets(df: DataFrame, text: str) -> Column:
-    """Leading characters of a text column that split it into ordered buckets.
+def splitters(df: DataFrame, text: str) -> list[str]:
+    """Values that part those of a text column into runs of about ``BUCKET_ROWS``.
 
-    What all values begin with says nothing and is left out; the number of
-    characters after it grows with the rows, so that hexadecimal ids, whatever
-    their prefix, fill buckets of about ``BUCKET_ROWS``. One row comes to the driver.
+    They are quantiles of the values with the smallest hashes, of which ``SAMPLE_VALUES``
+    come to the driver at most: for ids of any form, whatever they begin with. Where rows
+    are so many that ``MAX_BUCKETS`` do not do, the buckets grow.
     """
     c = F.col(text).cast("string")
-    low, high, rows = df.agg(F.min(c), F.max(c), F.count(c)).first()
-    shared = len(commonprefix([low or "", high or ""]))
-    digits = 1
-    while rows > BUCKET_ROWS * 16**digits:
-        digits += 1
-    return F.coalesce(F.substring(c, shared + 1, digits + 1), F.lit(""))
+    rows = df.agg(F.count(c)).first()[0]
+    wanted = min(MAX_BUCKETS, -(-rows // BUCKET_ROWS))
+    if wanted <= 1:
+        return []
+    h = F.pmod(F.xxhash64(c), F.lit(1 << 31))
+    near = df.select(c.alias("v"), h.alias("h")).filter(F.col("h") < F.lit((1 << 31) * 1.2 * SAMPLE_VALUES / rows))
+    found = sorted(r["v"] for r in near.orderBy("h", "v").limit(SAMPLE_VALUES).collect() if r["v"] is not None)
+    return sorted({found[len(found) * k // wanted] for k in range(1, wanted)})
+
+
+def order_buckets(df: DataFrame, text: str) -> Column:
+    """Number of the bucket of a value, in the order of the values; null comes first.
+
+    Two levels, as a value is held against one splitter in sixty-four and then against
+    the ones between two of those.
+    """
+    c, cuts = F.col(text).cast("string"), splitters(df, text)
+    if not cuts:
+        return F.lit(0)
+
+    def below(values: list[str]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: v <= c))
+
+    groups = [cuts[i : i + STRIDE] for i in range(0, len(cuts), STRIDE)]
+    if len(groups) == 1:
+        return F.coalesce(below(cuts), F.lit(0))
+    which = below([g[0] for g in groups])
+    listed = F.array(*[F.array(*[F.lit(v) for v in g]) for g in groups])
+    own = F.size(F.filter(F.get(listed, F.greatest(which, F.lit(1)) - 1), lambda v: v <= c))
+    return F.coalesce(F.when(which == 0, 0).otherwise((which - 1) * STRIDE + own), F.lit(0))
