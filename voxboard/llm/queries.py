@@ -21,7 +21,7 @@ from voxboard.llm.line_dedup import line_dedup
 from voxboard.llm.lm_score import lm_score
 from voxboard.llm.packing import pack
 from voxboard.llm.periodic_runs import periodic_runs, run_digests, with_planted_periods
-from voxboard.llm.personal_data import KINDS, joined_spans, personal_data
+from voxboard.llm.personal_data import KINDS, MARKS, joined_spans, personal_data
 from voxboard.llm.personal_data import counted as counted_kind
 from voxboard.llm.quality_rules import COUNTS, quality_rules
 from voxboard.llm.repeats import repeated_spans
@@ -158,6 +158,82 @@ FROM texts t LEFT JOIN listed l ON t.doc_id = l.doc_id LEFT JOIN best b ON t.doc
 """
 
 
+# The same counts by joins of words with the spans they stand beside.
+PERSONAL_DATA_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), matched AS (
+  SELECT doc_id, 0 AS k, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS f,
+         string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS gaps FROM docs
+  UNION ALL SELECT doc_id, 1, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+         string_split_regex(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM docs
+  UNION ALL SELECT doc_id, 2, regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'),
+         string_split_regex(text, '[0-9]([\x20-]?[0-9])+') FROM docs
+  UNION ALL SELECT doc_id, 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'),
+         string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM docs
+), each AS (SELECT doc_id, k, f, gaps, unnest(f) AS v, generate_subscripts(f, 1) AS i FROM matched WHERE len(f) > 0
+), placed AS (
+  SELECT doc_id, k, v, regexp_replace(v, '[^0-9]', '', 'g') AS digits, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM each
+), base AS (
+  SELECT doc_id, k, s, s + length(v) AS e, k || CASE k WHEN 0 THEN lower(v) WHEN 1 THEN v ELSE digits END AS entity FROM placed
+  WHERE k = 0
+    OR k = 1 AND len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || left(ltrim(p, '0'), 3) AS INT) > 255)) = 0
+    OR k = 2 AND length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j:
+         CASE WHEN j % 2 = 0 THEN CAST(digits[length(digits) - j] AS INT)
+              ELSE 2 * CAST(digits[length(digits) - j] AS INT) - CASE WHEN digits[length(digits) - j] >= '5' THEN 9 ELSE 0 END END)) % 10 = 0
+    OR k = 3 AND length(digits) BETWEEN 9 AND 15
+), split AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split_regex(text, '[^\x20\x09-\x0D]+') AS gaps FROM docs
+), words AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word,
+         unnest(list_transform(range(1, len(w) + 1), lambda j: length(w[j]))) AS n,
+         unnest(list_transform(range(1, len(w) + 1), lambda j: length(gaps[j]))) AS gap FROM split WHERE len(w) > 0
+), spots AS (
+  SELECT doc_id, i, word, CAST(sum(gap + n) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - n AS a, n,
+         trim(lower(word), $marks) AS term FROM words
+), touched AS (
+  SELECT b.doc_id, b.k, b.s, b.entity, min(w.i) AS low, max(w.i) AS high, list(w.i) AS inside
+  FROM base b JOIN spots w ON b.doc_id = w.doc_id AND w.a < b.e AND b.s < w.a + w.n GROUP BY ALL
+), taken AS (SELECT DISTINCT doc_id, unnest(inside) AS i FROM touched
+), near AS (
+  SELECT DISTINCT t.doc_id, t.entity, w.i, w.term, w.a + w.n - length(ltrim(w.word, $marks)) AS s,
+         w.a + w.n - length(ltrim(w.word, $marks)) + length(trim(w.word, $marks)) AS e
+  FROM touched t JOIN spots w ON t.doc_id = w.doc_id AND (w.i BETWEEN t.low - 8 AND t.low - 1 OR w.i BETWEEN t.high + 1 AND t.high + 8)
+  ANTI JOIN taken x ON w.doc_id = x.doc_id AND w.i = x.i WHERE w.term <> ''
+), named AS (
+  SELECT *, 'w' || term AS name, 0 AS level FROM near
+  UNION ALL SELECT *, 's' || regexp_replace(term, '[0-9]', '#', 'g'), 1 FROM near WHERE regexp_matches(term, '[0-9]')
+), counted AS (
+  SELECT name, count(DISTINCT doc_id) AS docs FROM (
+    SELECT doc_id, 'w' || term AS name FROM spots WHERE term <> ''
+    UNION ALL SELECT doc_id, 's' || regexp_replace(term, '[0-9]', '#', 'g') FROM spots WHERE regexp_matches(term, '[0-9]'))
+  GROUP BY name
+), both_ AS (
+  SELECT entity, name, count(DISTINCT n.doc_id) AS b FROM named n JOIN docs d ON n.doc_id = d.doc_id
+  GROUP BY entity, name HAVING count(DISTINCT text) >= 3
+), shares AS (SELECT entity, count(DISTINCT doc_id) / (SELECT count(*) FROM docs) AS p FROM base GROUP BY entity
+), telling AS (
+  SELECT entity, name FROM both_ JOIN counted USING (name) JOIN shares USING (entity)
+  WHERE p < 1 AND ln((b + 2.0::DOUBLE * p) / (docs + 2.0::DOUBLE) / p) >= -ln(p) * 0.9::DOUBLE
+), marks AS (
+  SELECT doc_id, s, e, bool_or(level = 0) AS own, bool_or(level = 0 AND regexp_matches(term, '[0-9]')) AS shaped, bool_or(level = 1) AS shape_tells
+  FROM named SEMI JOIN telling USING (entity, name) GROUP BY doc_id, s, e
+), spans AS (
+  SELECT doc_id, k, s, e FROM base
+  UNION ALL SELECT doc_id, CASE WHEN shaped AND NOT shape_tells THEN 4 ELSE 5 END, s, e FROM marks WHERE own
+), listed AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card,
+         count(*) FILTER (k = 3) AS n_phone,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans
+  FROM (SELECT *, ['email', 'ip', 'card', 'phone', 'term_general', 'term_removed'][k + 1] AS kind FROM spans) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN listed l ON d.doc_id = l.doc_id
+""".replace("$marks", "'" + MARKS.replace("'", "''") + "'")
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -236,7 +312,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op12_personal_data")
+@query("op12_personal_data", PERSONAL_DATA_SQL)
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"),
