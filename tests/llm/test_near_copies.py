@@ -128,3 +128,23 @@ def test_pipeline_leaves_none(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id string, text string")
     assert N.without_near_copies(docs).count() == 0
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from voxboard.llm.common import scratch, stage
+
+    def there(df):
+        return Path(df.inputFiles()[0].removeprefix("file:")).exists()
+
+    kept = stage(spark.range(3), "kept")
+    with scratch(spark):
+        outer = stage(spark.range(3), "outer")
+        with scratch(spark):
+            inner = stage(spark.range(3), "inner")
+            path = Path(inner.inputFiles()[0].removeprefix("file:"))
+            assert path.exists()
+        assert not path.exists() and there(outer)
+        path = Path(outer.inputFiles()[0].removeprefix("file:"))
+    assert not path.exists() and there(kept)

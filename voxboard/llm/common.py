@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,9 +87,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are deleted at the end.
+
+    Whatever is needed of them must be staged once more outside before, or be at hand.
+    """
+    before = _SCRATCH.set([])
+    try:
+        yield
+        paths = _SCRATCH.get()
+    finally:
+        _SCRATCH.reset(before)
+    for path in paths:
+        delete_table(spark, path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def append_batches(docs: DataFrame, fields: str, compute) -> DataFrame:
     """Rows of ``docs`` with the columns ``fields``, worked out batch by batch.
 

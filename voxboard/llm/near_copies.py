@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -11,9 +12,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxboard.llm.common import keyed, same_document, stage
+from voxboard.llm.common import keyed, same_document, scratch, stage
 from voxboard.llm.graph import components
 from voxboard.llm.simhash import MAX_BITS, fingerprint_groups, majority, shingle_hashes
+from voxboard.session import ensure_checkpoint_dir
 
 WORDS = 5
 PERCENT = 80
@@ -293,12 +295,16 @@ def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     few enough to be known to every task.
     """
     order = F.struct(F.col("id").isNull().alias("none"), "id", "body")
-    members = stage(near_copies(docs, **options), "members")
-    chosen = members.groupBy("root").agg(F.min(order).alias("d"))
-    named = members.join(chosen, "root").groupBy("id", "body").agg(
-        F.bool_or(F.col("id").eqNullSafe(F.col("d.id")) & (F.col("body") == F.col("d.body"))).alias("stays"),
-        F.count("*").alias("n"),
-    )
+    path = f"{ensure_checkpoint_dir(docs.sparkSession)}/llm-members-{uuid.uuid4().hex}"
+    with scratch(docs.sparkSession):
+        near_copies(docs, **options).write.parquet(path)
+    members = docs.sparkSession.read.parquet(path)
+    chosen = members.groupBy("root").agg(F.min(order).alias("d")).select("d.id", "d.body")
+    # Rows meet by id and text, never by group: a group may hold a third of all rows.
+    counted = members.groupBy("id", "body").agg(F.count("*").alias("n")).alias("l")
+    stays = chosen.withColumn("stays", F.lit(True)).alias("r")
+    named = counted.join(stays, same_document(), "left")
+    named = named.select("l.id", "l.body", "l.n", F.coalesce("r.stays", F.lit(False)).alias("stays"))
     named = stage(named, "named")
     # Rows that are there once and stay are neither moved nor looked at.
     texts = keyed(docs).alias("l")
