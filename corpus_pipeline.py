@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxboard.llm.common import documents
+from voxboard.llm.common import delete_table, documents
 from voxboard.llm.decontaminate import decontaminate
 from voxboard.llm.language_id import fit_language_models, labelled_documents, language_id
 from voxboard.llm.line_dedup import line_dedup
@@ -66,11 +66,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written to the shared folder and read again."""
+    """All stages over the documents; each is written to the shared folder and read again.
+
+    What a stage has read is deleted when it is written, but for the documents themselves.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for place, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{place}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if place:
+            delete_table(spark, f"{folder}/{place - 1}-{STAGES[place - 1][0]}")
         docs = spark.read.parquet(path)
     return docs
