@@ -97,6 +97,13 @@ FIRST_LINE = sql_needle("regexp_split_to_array(q.quote, '[' || chr(10) || ']')[1
 STORED = VERDICTS.replace("contains(l.text, rtrim(q.quote, '…'))", f"contains(l.text, {FIRST_LINE})")
 
 
+# What the scan says of the body, once as the first text and once as the report.
+_KINDS = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in KINDS_SQL.items()) + "], lambda k: k IS NOT NULL)"
+_SAYS = "list_transform(kinds, lambda k: '{} contains possible PII (' || k || ')')"
+_BODY_KINDS = _KINDS.replace("(t,", f"({CLEAN.replace('(text,', '(body,')},")
+_BODY_SAYS = " || '; ' || ".join(
+    f"array_to_string({_SAYS.format(x).replace('kinds,', _BODY_KINDS + ',', 1)}, '; ')" for x in ("artifact text 1", "report body")
+)
 _DAY = "strftime({}, '%Y-%m-%d')"
 STORED_ERRORS = f"""wrong AS (
   SELECT product_id, string_agg('quote ' || quote_rank || ' is not a verbatim substring of any review text', '; ' ORDER BY quote_rank) AS said
@@ -113,7 +120,7 @@ errors AS (
     WHEN 'actions' THEN CASE WHEN n_themes < 3 THEN 'expected exactly 3 actions, got ' || n_themes END
     WHEN 'length' THEN CASE WHEN {sql_word_count('body')} > 250 THEN 'report body word count ' || {sql_word_count('body')} || ' exceeds 250' END
     WHEN 'source' THEN CASE WHEN foreign_n > 0 THEN foreign_n || ' review(s): language must be ' || chr(39) || 'en' || chr(39) END
-    ELSE CASE WHEN NOT ok THEN 'personal data' END END) AS errors
+    ELSE CASE WHEN NOT ok THEN {_BODY_SAYS} END END) AS errors
   FROM verdicts JOIN v USING (product_id) LEFT JOIN wrong USING (product_id))"""
 
 
@@ -137,8 +144,6 @@ def stored_report_gates(spark, sf):
 # Documents as report bodies, with actions, word counts and column names that are right in
 # some and wrong in others, each on its own ground.
 _N_WORDS = sql_word_count("text")
-_KINDS = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in KINDS_SQL.items()) + "], lambda k: k IS NOT NULL)"
-_SAYS = "list_transform(kinds, lambda k: '{} contains possible PII (' || k || ')')"
 MADE = f"""docs AS (SELECT doc_id, n_chars AS n, text, {CLEAN} AS t FROM documents),
 made AS (
   SELECT doc_id, n, n % 2 = 0 AS exact, {_N_WORDS} AS words, {_N_WORDS} + CAST(n % 6 = 0 AS INTEGER) AS stored,
