@@ -202,7 +202,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def fingerprint_groups(
     classes: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, blocks: int = BLOCKS
 ) -> DataFrame:
-    """(fp, root) of the different fingerprints ``fp`` of ``classes``, grouped by their links."""
+    """``classes`` with ``root``: their different fingerprints ``fp``, grouped by links."""
     keys = classes.select(
         F.explode(block_keys(F.col("fp"), max_bits, blocks)).alias("key"), "fp"
     )
@@ -210,7 +210,7 @@ def fingerprint_groups(
     edges = dealt.mapInArrow(link_batches(max_bits, reference_fingerprints(pivots)), "a long, b long")
     roots = components(edges)
     return classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", F.coalesce("root", "fp").alias("root")
+        *classes.columns, F.coalesce("root", "fp").alias("root")
     )
 
 
@@ -227,8 +227,7 @@ def simhash_members(
     members = stage(fingerprints(docs, words), "fingerprints")
     # Copies meet here, combined before the shuffle; from now on a fingerprint is one row.
     classes = stage(members.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    roots = fingerprint_groups(classes, max_bits, pivots, blocks)
-    placed = classes.join(roots, "fp")
+    placed = fingerprint_groups(classes, max_bits, pivots, blocks)
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(smallest, "root").select("fp", "component_id")
     return members.join(named, "fp").select("id", "body", "fp", "component_id")
