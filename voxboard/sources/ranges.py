@@ -334,7 +334,9 @@ def records(spark: SparkSession, paths: list[str], scan: Scan, known: dict[tuple
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan, known = shared.value
         for (path, block), own in ranges(batches):
-            start = known[path, block]
+            # All scans read the same files: the ranges depend on how many bytes are read together.
+            if (start := known.get((path, block))) is None:
+                continue
             out, row = [], 0
             for at, (text, ended) in enumerate(scan.cut(path, block, own, start.state)):
                 if at == 0 and start.owner is not None:
@@ -374,7 +376,9 @@ def members(spark: SparkSession, paths: list[str], known: dict[tuple[str, int],
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (path, block), own in ranges(batches):
-            for key, is_list, (_, number, at) in scan.members(block, own, shared.value[path, block].state):
+            if (start := shared.value.get((path, block))) is None:
+                continue
+            for key, is_list, (_, number, at) in scan.members(block, own, start.state):
                 yield pa.RecordBatch.from_pydict(
                     {"path": [path], "key": pa.array([key], pa.string()), "is_list": [is_list],
                      "block": [block], "piece": [number], "at": [at]}

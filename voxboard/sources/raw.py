@@ -143,6 +143,12 @@ def layouts(spark: SparkSession, paths: list[str]) -> list[Layout]:
     return sorted(found, key=lambda x: x.path)
 
 
+def of(known: dict, paths: list[str]) -> dict:
+    """The beginnings of the ranges of some files."""
+    wanted = set(paths)
+    return {key: start for key, start in known.items() if key[0] in wanted}
+
+
 def _record_rows(found: DataFrame) -> DataFrame:
     position = F.struct(F.col("block"), F.col("row"))
     return found.select(F.col("path").alias("src_file"), position.alias("src_pos"), "record")
@@ -180,13 +186,13 @@ def _elements(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None,
         lists = [p for p in group if form.get(p) == "list"]
         objects = [p for p in group if form.get(p) == "object"]
         known = starts(rows, JsonScan())
-        wrapped = _chosen_lists(spark, objects, known) if objects else {}
+        wrapped = _chosen_lists(spark, group, of(known, objects)) if objects else {}
         if lists:
-            parts.append(_record_rows(records(spark, lists, JsonScan(), known)))
+            parts.append(_record_rows(records(spark, group, JsonScan(), of(known, lists))))
         if wrapped:
             scan = JsonScan(2, wrapped)
             inner = starts([r for r in rows if r["path"] in wrapped], scan)
-            parts.append(_record_rows(records(spark, list(wrapped), scan, inner)))
+            parts.append(_record_rows(records(spark, group, scan, inner)))
         if single := [p for p in objects if p not in wrapped]:
             whole = with_position(spark.read.text(single, wholetext=True))
             parts.append(whole.select("src_file", "src_pos", F.col("value").alias("record")))
@@ -302,7 +308,7 @@ def _delimited(
         left += sorted(broken)
         if not (whole := [p for p in group if p not in broken]):
             continue
-        found = records(spark, whole, scan, starts(rows, scan))
+        found = records(spark, group, scan, of(starts(rows, scan), whole))
         # The first record is the header; an empty one is no row.
         rows = _record_rows(found.filter("(block > 0 or row > 0) and record <> ''"))
         parsed = rows.select("src_file", "src_pos", F.from_csv("record", kinds, options).alias("r"))
