@@ -131,3 +131,42 @@ def test_band_is_that_of_good_rows():
     assert low.tolist() == [8.5, 0] and high.tolist() == [9.5, 0.02]
     assert Q.beyond(np.array([[9.0, 0.09]]), (low, high)).tolist() == [[0, pytest.approx(0.07)]]
     assert Q.good_band(rows[:0], 0.001) is None and Q.beyond(rows, None) is rows
+
+
+def test_every_row_counts(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, odd_texts(rnd, ["", "signs", "repeats"][i % 3 if i % 7 == 0 else 0])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marks = [(i, int(i % 7 != 0)) for i in range(0, 300, 2)] + [(2, 1), (301, 1), (None, 1), (1, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    stats = Q.rule_statistics(docs).drop("text").cache()
+    # Few trees of few leaves, yet no row is left out of any of them.
+    trees, leaves, loss = 4, 8, 0.2
+    forest = Q.fit_quality(stats, labels, trees=trees, tree_rows=leaves, max_loss=loss)
+    made = {r.doc_id: r.rules for r in stats.collect()}
+    known = [(made[i], q) for i, q in marks if i in made and q is not None]
+    values, good = np.array([v for v, _ in known]), np.array([q == 1 for _, q in known])
+    band = Q.good_band(values[good], loss)
+    assert [b.tolist() for b in forest.band] == [b.tolist() for b in band]
+    every = Q.beyond(np.array([made[i] for i in range(300)]), band)
+    assert forest.norm == Q.average_path(300)
+
+    def compare(t, node, level, part):
+        low, high = part.min(axis=0), part.max(axis=0)
+        if level == 3 or len(part) < 2 or not (high > low).any():
+            assert forest.column[t, node] == -1
+            assert forest.depth[t, node] == level + Q.average_path(len(part))
+            return 1
+        c, cut = forest.column[t, node], forest.cut[t, node]
+        draw = np.random.default_rng([0, t, node])
+        assert c == draw.choice(np.flatnonzero(high > low))
+        assert cut == min(draw.uniform(low[c], high[c]), np.nextafter(high[c], low[c]))
+        left = part[:, c] <= cut
+        return compare(t, 2 * node + 1, level + 1, part[left]) + compare(t, 2 * node + 2, level + 1, part[~left])
+
+    assert sum(compare(t, 0, 0, every) for t in range(trees)) > trees
+    scores = forest.scores(Q.beyond(values, band))
+    assert forest.threshold == Q.calibrated_threshold(scores, good, loss)
+    again = Q.fit_quality(stats.repartition(2), labels, trees=trees, tree_rows=leaves, max_loss=loss)
+    assert (again.cut == forest.cut).all() and (again.depth == forest.depth).all()
+    assert again.threshold == forest.threshold

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxboard.llm.common import append_batches, hash_share, hash_unit, stage
+from voxboard.llm.common import append_batches, stage
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 TREES = 200
+#: Leaves of a tree at most; its height is the logarithm.
 TREE_ROWS = 128
-#: Rows the forest is fitted on (trees times rows of a tree) and labelled rows for the threshold.
-FIT_ROWS = TREES * TREE_ROWS
-CALIBRATION_ROWS = 50_000
 #: Share of labelled good documents that the threshold may cost.
 MAX_LOSS = 0.001
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -101,6 +101,10 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, full, np.where(n == 2, 1.0, 0.0))
 
 
+def tree_height(tree_rows: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(tree_rows, 2)))))
+
+
 @dataclass
 class IsolationForest:
     """Trees as arrays: node ``i`` has children ``2i + 1`` and ``2i + 2``.
@@ -117,45 +121,60 @@ class IsolationForest:
     threshold: float = 1.0
     band: tuple[np.ndarray, np.ndarray] | None = None
 
+    @classmethod
+    def empty(cls, trees: int, height: int, norm: float) -> IsolationForest:
+        size = 2 ** (height + 1) - 1
+        return cls(np.full((trees, size), -1, np.int16), np.zeros((trees, size)), np.zeros((trees, size)), norm)
+
     @classmethod
     def fit(cls, rows: np.ndarray, trees: int, tree_rows: int, seed: int = 0) -> IsolationForest:
+        """A forest over rows in memory, each tree over ``tree_rows`` of them."""
         rnd = np.random.default_rng(seed)
         tree_rows = min(tree_rows, len(rows))
-        height = max(1, int(np.ceil(np.log2(max(tree_rows, 2)))))
-        size = 2 ** (height + 1) - 1
-        column = np.full((trees, size), -1, np.int16)
-        cut, depth = np.zeros((trees, size)), np.zeros((trees, size))
+        height = tree_height(tree_rows)
+        forest = cls.empty(trees, height, float(average_path(tree_rows)) or 1.0)
         for t in range(trees):
             todo = [(0, 0, rows[rnd.choice(len(rows), tree_rows, replace=False)])]
             while todo:
                 node, level, part = todo.pop()
                 low, high = part.min(axis=0), part.max(axis=0)
-                open_columns = np.flatnonzero(high > low)
-                if level == height or len(part) < 2 or not len(open_columns):
-                    depth[t, node] = level + average_path(len(part))
+                if not forest.split(t, node, level, height, len(part), low, high, rnd):
                     continue
-                c = int(rnd.choice(open_columns))
-                # Below the largest value, so that neither side is empty.
-                at = min(rnd.uniform(low[c], high[c]), np.nextafter(high[c], low[c]))
-                column[t, node], cut[t, node] = c, at
-                left = part[:, c] <= at
+                left = part[:, forest.column[t, node]] <= forest.cut[t, node]
                 todo += [(2 * node + 1, level + 1, part[left]), (2 * node + 2, level + 1, part[~left])]
-        return cls(column, cut, depth, float(average_path(tree_rows)) or 1.0)
+        return forest
+
+    def split(
+        self, t: int, node: int, level: int, height: int, n: int, low: np.ndarray, high: np.ndarray, rnd
+    ) -> bool:
+        """Cut a node of n rows between their lowest and highest values, or make it a leaf."""
+        open_columns = np.flatnonzero(high > low)
+        if level == height or n < 2 or not len(open_columns):
+            self.depth[t, node] = level + average_path(n)
+            return False
+        c = int(rnd.choice(open_columns))
+        # Below the largest value, so that neither side is empty.
+        self.column[t, node] = c
+        self.cut[t, node] = min(rnd.uniform(low[c], high[c]), np.nextafter(high[c], low[c]))
+        return True
+
+    def leaves(self, rows: np.ndarray, t: int) -> np.ndarray:
+        """The node of a tree that each row ends in."""
+        column, cut = self.column[t], self.cut[t]
+        node = np.zeros(len(rows), np.int64)
+        while True:
+            c = column[node]
+            inner = np.flatnonzero(c >= 0)
+            if not len(inner):
+                return node
+            at = node[inner]
+            node[inner] = 2 * at + 1 + (rows[inner, c[inner]] > cut[at])
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / mean path of the sample): near 1 is an anomaly."""
         total = np.zeros(len(rows))
-        for column, cut, depth in zip(self.column, self.cut, self.depth):
-            node = np.zeros(len(rows), np.int64)
-            while True:
-                c = column[node]
-                inner = np.flatnonzero(c >= 0)
-                if not len(inner):
-                    break
-                at = node[inner]
-                right = rows[inner, c[inner]] > cut[at]
-                node[inner] = 2 * at + 1 + right
-            total += depth[node]
+        for t in range(len(self.column)):
+            total += self.depth[t][self.leaves(rows, t)]
         return 2.0 ** (-total / len(self.column) / self.norm)
 
 
@@ -197,57 +216,156 @@ def calibrated_threshold(scores: np.ndarray, good: np.ndarray, max_loss: float)
     return float((highest + above.min()) / 2) if len(above) else float(highest)
 
 
+def rule_matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(RULES))
+
+
+def range_batches(shared, level: int):
+    """A task: rules to (tree, node, rows, lows, highs) of the nodes of a level of the forest so far."""
+    first, width, k = 2**level - 1, 2**level, len(RULES)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = shared.value
+        trees = len(forest.column)
+        n = np.zeros((trees, width), np.int64)
+        low, high = np.full((trees, width, k), np.inf), np.full((trees, width, k), -np.inf)
+        for batch in batches:
+            rows = beyond(rule_matrix(batch.column(0)), forest.band)
+            rows, times = np.unique(rows, axis=0, return_counts=True)
+            for t in range(trees):
+                node = forest.leaves(rows, t) - first
+                order = np.argsort(node, kind="stable")
+                order = order[np.searchsorted(node[order], 0) :]  # the others ended in leaves above
+                if not len(order):
+                    continue
+                found, starts = np.unique(node[order], return_index=True)
+                n[t, found] += np.add.reduceat(times[order], starts)
+                low[t, found] = np.minimum(low[t, found], np.minimum.reduceat(rows[order], starts))
+                high[t, found] = np.maximum(high[t, found], np.maximum.reduceat(rows[order], starts))
+        tree, node = np.nonzero(n)
+        columns = [tree, node, n[tree, node], *low[tree, node].T, *high[tree, node].T]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=RANGE_NAMES)
+
+    return run
+
+
+LOWS, HIGHS = [f"low_{i}" for i in range(len(RULES))], [f"high_{i}" for i in range(len(RULES))]
+RANGE_NAMES = ["tree", "node", "n", *LOWS, *HIGHS]
+RANGES = "tree long, node long, n long, " + ", ".join(f"{c} double" for c in (*LOWS, *HIGHS))
+
+
+def grow_forest(
+    rows: DataFrame, band: tuple[np.ndarray, np.ndarray] | None, trees: int, tree_rows: int, seed: int = 0
+) -> IsolationForest | None:
+    """Trees of at most ``tree_rows`` leaves over every row of ``rows`` (rules), level by level.
+
+    All rows pass down all trees once per level; how many reach a node and between which
+    values they lie is worked out in the tasks and put together per node, so what comes
+    back is bounded by the forest. A node draws its cut from a generator of its own, and
+    the forest does not depend on how the rows are dealt out. None if there is no row.
+    """
+    total = rows.count()
+    if not total:
+        return None
+    height = tree_height(min(tree_rows, total))
+    forest = IsolationForest.empty(trees, height, float(average_path(total)) or 1.0)
+    forest.band = band
+    for level in range(height + 1):
+        shared = rows.sparkSession.sparkContext.broadcast(forest)
+        parts = rows.select("rules").mapInArrow(range_batches(shared, level), RANGES)
+        nodes = parts.groupBy("tree", "node").agg(
+            F.sum("n").alias("n"), *[F.min(c).alias(c) for c in LOWS], *[F.max(c).alias(c) for c in HIGHS]
+        )
+        table = nodes.toArrow()
+        low, high = (np.column_stack([table[c].to_numpy() for c in names]) for names in (LOWS, HIGHS))
+        cut = False
+        for i, (t, node, n) in enumerate(zip(*(table[c].to_pylist() for c in ("tree", "node", "n")))):
+            place = 2**level - 1 + node
+            rnd = np.random.default_rng([seed, t, place])
+            cut |= forest.split(t, place, level, height, n, low[i], high[i], rnd)
+        shared.unpersist()
+        if not cut:
+            break
+    return forest
+
+
+def ordered(values: DataFrame, rank: int) -> DataFrame:
+    """The value ``v`` of a rank, from 0 for the lowest; of each task at most ``rank`` more go on."""
+    return values.orderBy("v").limit(rank + 1).agg(F.max("v").alias("v"))
+
+
+def label_band(good: DataFrame, max_loss: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """``good_band`` of all rows of a table (rules)."""
+    n = good.count()
+    if not n:
+        return None
+    share = max_loss / (2 * len(RULES))
+    low, high = int(np.floor(share * (n - 1))), n - 1 - int(np.ceil((1 - share) * (n - 1)))
+    ends = []
+    for i in range(len(RULES)):
+        value = F.get("rules", F.lit(i))
+        for sign, rank in ((1, low), (-1, high)):
+            found = ordered(good.select((value * sign).alias("v")), rank)
+            ends.append(found.select(F.lit(i).alias("i"), F.lit(sign).alias("sign"), "v"))
+    found = {(r["i"], r["sign"]): r["sign"] * r["v"] for r in reduce(DataFrame.unionAll, ends).collect()}
+    return tuple(np.array([found[i, sign] for i in range(len(RULES))]) for sign in (1, -1))
+
+
+def label_threshold(scored: DataFrame, max_loss: float) -> float:
+    """``calibrated_threshold`` of all rows of a table (anomaly, quality)."""
+    good = scored.filter("quality = 1").select((-F.col("anomaly")).alias("v"))
+    n = good.count()
+    if not n:
+        return float("inf")
+    highest = -ordered(good, int(max_loss * n)).first()["v"]
+    above = scored.filter("quality <> 1").filter(F.col("anomaly") > highest).agg(F.min("anomaly")).first()[0]
+    return float(highest if above is None else (highest + above) / 2)
+
+
 def fit_quality(
     stats: DataFrame,
     labels: DataFrame,
     trees: int = TREES,
     tree_rows: int = TREE_ROWS,
-    calibration_rows: int = CALIBRATION_ROWS,
     max_loss: float = MAX_LOSS,
 ) -> IsolationForest | None:
     """A forest over ``stats`` (doc_id, counts, rules), its bands and threshold from ``labels``.
 
-    Bounded on purpose: ``trees * tree_rows`` rows, those of the smallest hash of their
-    id, fit the forest, and as many as ``calibration_rows`` labelled ones (doc_id,
-    quality) that pass the base rules set the bands and the threshold. None if there is no row.
+    Every row that passes the base rules is in every tree, and every labelled one
+    (doc_id, quality) of them counts for the bands and the threshold. None if there is no row.
     """
-    passed = stats.filter(~base_failed()).select("doc_id", "rules").withColumn(
-        "h", hash_unit("doc_id", "rules")
-    )
-    near = passed.filter(F.col("h") <= hash_share(passed.count(), trees * tree_rows))
-    sample = near.orderBy("h", "doc_id").limit(trees * tree_rows).select("rules").collect()
-    if not sample:
-        return None
+    passed = stats.filter(~base_failed()).select("doc_id", "rules")
     marked = labels.filter("quality is not null").select("doc_id", "quality")
-    share = hash_share(marked.count(), calibration_rows)
-    known = passed.join(marked, "doc_id").filter(F.col("h") <= share)
-    known = known.orderBy("h", "doc_id", "quality").limit(calibration_rows).collect()
-    rules = np.array([r["rules"] for r in known]).reshape(-1, len(RULES))
-    good = np.array([r["quality"] for r in known], int) == 1
-    band = good_band(rules[good], max_loss)
-    forest = IsolationForest.fit(beyond(np.array([r[0] for r in sample]), band), trees, tree_rows)
-    forest.band = band
-    forest.threshold = calibrated_threshold(forest.scores(beyond(rules, band)), good, max_loss)
+    known = stage(passed.join(marked, "doc_id").select("rules", "quality"), "labelled")
+    band = label_band(known.filter("quality = 1"), max_loss)
+    forest = grow_forest(passed, band, trees, tree_rows)
+    if forest:
+        scored = stage(with_anomaly(known, forest).select("anomaly", "quality"), "scored")
+        forest.threshold = label_threshold(scored, max_loss)
     return forest
 
 
-def judge(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
-    """``stats`` with ``base_failed``, ``anomaly`` and ``kept``."""
+def with_anomaly(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
+    """``stats`` with ``anomaly``, the score of its ``rules``."""
     shared = stats.sparkSession.sparkContext.broadcast(forest)
     names = stats.columns
 
     def run(batches):
         for batch in batches:
-            rules = np.array(batch.column(names.index("rules")).to_pylist()).reshape(-1, len(RULES))
+            rules = rule_matrix(batch.column(names.index("rules")))
             known = shared.value
             scores = known.scores(beyond(rules, known.band)) if known else np.zeros(len(rules))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "anomaly"])
 
-    out = stats.mapInArrow(
+    return stats.mapInArrow(
         run, T.StructType([*stats.schema.fields, T.StructField("anomaly", T.DoubleType())])
     )
+
+
+def judge(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
+    """``stats`` with ``base_failed``, ``anomaly`` and ``kept``."""
     limit = float(forest.threshold) if forest else float("inf")
-    return out.withColumn("base_failed", base_failed()).withColumn(
+    return with_anomaly(stats, forest).withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & (F.col("anomaly") <= limit)
     )
 
