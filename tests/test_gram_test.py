@@ -34,3 +34,31 @@ def test_no_test_beyond_the_bound(spark, monkeypatch):
     corpus = spark.createDataFrame([(1, "_ a b c d e f g h x_"), (2, "other")], "id long, text string")
     got = {r.needle: r.verbatim for r in evidence.verbatim_in_corpus(needles, corpus).collect()}
     assert got == {"a b c d": True, "x": True, "b c d e f g h": True, "zz yy xx ww vv": False}
+
+
+def test_runs_of_characters_take_no_lambda(spark):
+    """Every position of a text once, by a pattern; interpreted lambdas over positions took most of the time."""
+    texts = spark.createDataFrame([(1, "ab\n\U0001f600 cdefghij ab"), (2, ""), (3, None)], "__id long, __text string")
+    text = texts.first()["__text"]
+    made = evidence._char_grams(texts, [evidence.CHAR_GRAM])
+    assert {r["__gram"] for r in made.collect()} == {text[i : i + 8] for i in range(len(text))}
+    made = evidence._char_grams(texts, [2, 8])
+    assert {r["__gram"] for r in made.collect()} == {text[i : i + n] for i in range(len(text)) for n in (2, 8)}
+    assert "lambda" not in made._jdf.queryExecution().toString()
+
+
+def test_needles_of_all_lengths_against_python(spark):
+    import random
+
+    rnd = random.Random(3)
+
+    def some(n):
+        return "".join(rnd.choices("aab é\U0001f600\n.", k=n)).strip(" \n.") or "a"
+
+    corpus = [(i, some(rnd.randint(1, 60))) for i in range(60)] + [(7, None), (None, "zz aaab\U0001f600")]
+    needles = [some(n) for n in range(1, 14) for _ in range(12)] + ["aaab\U0001f600", "", None]
+    asked = spark.createDataFrame([(i, n) for i, n in enumerate(needles)], "k int, needle string")
+    texts = spark.createDataFrame(corpus, "id long, text string").repartition(3)
+    got = {r.k: r.verbatim for r in evidence.verbatim_in_corpus(asked, texts).collect()}
+    want = {i: bool(n) and any(n in (t or "") for _, t in corpus) for i, n in enumerate(needles)}
+    assert got == want and 20 < sum(want.values()) < len(want) - 20

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -316,22 +317,26 @@ def gram_test(grams: DataFrame, hashed: Test = lambda g: g) -> Test | None:
     return test
 
 
-def _characters(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+def _char_runs(text: Column) -> Column:
+    """The CHAR_GRAM characters from every position on, fewer at the end; each once.
 
+    One pattern with one pass over the text: a lambda over positions is not compiled
+    and takes microseconds for each of them.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{CHAR_GRAM}}}))."), F.lit(1)))
 
-def _char_grams(chars: Column, lengths: list[int], wanted: Test | None = None) -> Column:
-    """All runs of the given numbers of characters, each once. ``chars`` is a plain column."""
 
-    def runs(n: int) -> Column:
-        last = F.size(chars) - n
-        joined = F.transform(
-            F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(chars, i + 1, n), "")
-        )
-        return F.when(last >= 0, joined).otherwise(F.array().cast("array<string>"))
+def _char_grams(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(__id, __gram): runs of the given numbers of characters, some more than once.
 
-    every = F.flatten(F.array(*[runs(n) for n in lengths]))
-    return F.array_distinct(F.filter(every, wanted) if wanted else every)
+    A shorter run is the beginning of one of CHAR_GRAM characters. Rows are made by
+    generators, which are compiled with the join that drops nearly all of them.
+    """
+    runs = texts.select("__id", F.explode(_char_runs(F.col("__text"))).alias("__gram"))
+    if sizes == [CHAR_GRAM]:
+        return runs
+    heads = F.array(*[F.substring("__gram", 1, n) for n in sizes])
+    return runs.select("__id", F.explode(heads).alias("__gram"))
 
 
 def _found_needles(grams: DataFrame, needle_grams: DataFrame, texts: DataFrame) -> DataFrame:
@@ -380,33 +385,32 @@ def verbatim_in_corpus(
     )
     texts = corpus.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
     by_words = F.size("__t") >= GRAM_WORDS
-    # Tokens are a column before they are indexed; inside a lambda they would be
-    # split again for every position.
-    grams = texts.select("__id", _tokens(F.col("__text")).alias("__t"))
-    asked = wanted.filter(by_words).select("__needle", F.explode(_word_grams(F.col("__t"))).alias("__gram"))
-    runs = F.explode(_word_grams(F.col("__t"), gram_test(asked))).alias("__gram")
-    found = _found_needles(grams.select("__id", runs), asked, texts)
-    short = wanted.filter(~by_words).select(
-        "__needle",
-        F.least(F.length("__needle"), F.lit(CHAR_GRAM)).alias("n"),
-        (F.length("__needle") > CHAR_GRAM).alias("longer"),
-    )
-    # At most CHAR_GRAM distinct lengths, and whether any needle is longer than that.
-    lengths = sorted(tuple(r) for r in short.select("n", "longer").distinct().collect())
-    if lengths:
-        sizes = sorted({n for n, _ in lengths})
+    found = []
+    if not wanted.filter(by_words).isEmpty():
+        # Tokens are a column before they are indexed; inside a lambda they would be
+        # split again for every position.
+        grams = texts.select("__id", _tokens(F.col("__text")).alias("__t"))
+        asked = wanted.filter(by_words).select("__needle", F.explode(_word_grams(F.col("__t"))).alias("__gram"))
+        runs = F.explode(_word_grams(F.col("__t"), gram_test(asked))).alias("__gram")
+        found.append(_found_needles(grams.select("__id", runs), asked, texts))
+    short = wanted.filter(~by_words).select("__needle", F.length("__needle").alias("n"))
+    # At most CHAR_GRAM distinct lengths, and one that stands for all longer needles.
+    lengths = sorted(r[0] for r in short.select(F.least("n", F.lit(CHAR_GRAM + 1))).distinct().collect())
+    sizes = [n for n in lengths if n <= CHAR_GRAM]
+    if sizes:
         # A needle that is one run is settled by the run itself; no text is searched.
-        whole = short.filter(~F.col("longer")).select("__needle", F.col("__needle").alias("__gram"))
-        parts = short.filter("longer").select("__needle", _characters(F.col("__needle")).alias("__c"))
-        longer = parts.select("__needle", F.explode(_char_grams(F.col("__c"), [CHAR_GRAM])).alias("__gram"))
-        test = gram_test(whole.unionByName(longer), F.xxhash64)
-        chars = texts.select("__id", _characters(F.col("__text")).alias("__c")).select(
-            "__id", F.explode(_char_grams(F.col("__c"), sizes, test)).alias("__gram")
+        whole = short.filter(F.col("n") <= CHAR_GRAM).select(F.col("__needle").alias("__gram"))
+        held = join_small(_char_grams(texts, sizes), whole, ["__gram"])
+        found.append(held.select(F.col("__gram").alias("__needle")))
+    if len(lengths) > len(sizes):
+        longer = short.filter(F.col("n") > CHAR_GRAM).select(
+            "__needle", F.explode(_char_runs(F.col("__needle"))).alias("__gram")
         )
-        found = found.unionByName(join_small(chars, whole, ["__gram"]).select("__needle").distinct())
-        if (CHAR_GRAM, True) in lengths:
-            found = found.unionByName(_found_needles(chars, longer, texts))
-    hits = found.distinct().withColumn("__found", F.lit(True))
+        longer = longer.filter(F.length("__gram") == CHAR_GRAM)
+        found.append(_found_needles(_char_grams(texts, [CHAR_GRAM]), longer, texts))
+    if not found:
+        return rows.withColumn("verbatim", F.lit(False)).drop("__needle")
+    hits = reduce(DataFrame.unionByName, found).distinct().withColumn("__found", F.lit(True))
     return (
         rows.join(hits, "__needle", "left")
         .withColumn("verbatim", F.coalesce("__found", F.lit(False)))
