@@ -7,6 +7,7 @@ import re
 import time
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from voxboard.llm import personal_data as P
@@ -184,6 +185,40 @@ def test_the_sql_says_the_same(spark):
     assert sum("term_" in w["spans"] for w in want.values()) >= 20
 
 
+def test_words_around_entities_are_handed_on_in_parts():
+    texts = [" ".join(f"word{i} 10.0.{i}.{j}" for j in range(40)) for i in range(200)]
+    texts[7:7] = ["", "nothing here"]
+    n = len(texts)
+    batch = pa.record_batch([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], names=["id", "body", "text"])
+    whole = pa.Table.from_batches(list(P.scan_batches(8, held=10**9)([batch])))
+    parts = list(P.scan_batches(8, held=1000)([batch, batch.slice(0, 0)]))
+    most = max(len(x) for x in whole["near"].to_pylist())
+    assert len(parts) > 10 and all(len(p["near"].flatten()) <= 1000 + most for p in parts)
+    assert pa.Table.from_batches(parts).equals(whole) and whole["id"].to_pylist() == list(range(n))
+
+
+def test_few_rows_are_staged_in_few_files(spark, monkeypatch):
+    staged, stage = {}, P.stage
+
+    def kept(df, name):
+        out = stage(df, name)
+        staged[name] = out
+        return out
+
+    monkeypatch.setattr(P, "stage", kept)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        docs = spark.createDataFrame(corpus(0), "doc_id long, text string")
+        assert P.personal_data(docs).count() == 300
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("together", "disclosing"):
+        assert staged[name].count() >= 3 and len(staged[name].inputFiles()) == 1
+
+
 def test_sanitised(spark):
     rows = corpus(0)
     docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, spans string")

@@ -28,6 +28,10 @@ MIN_TEXTS = 3
 PRIOR = 2.0
 #: Different terms that a task counts before it hands them on.
 HELD_TERMS = 200_000
+#: Entities and words around them that a task gathers before it hands them on, but for those of one text.
+HELD_WORDS = 200_000
+#: Documents for each file of what is counted of them and staged on the way, a few rows each.
+FILE_DOCS = 25_000
 #: Disclosing pairs that are sent to every task; more are joined. Bits of terms that are counted.
 BROADCAST_ROWS = 500_000
 MAX_BITS = 1 << 27
@@ -149,20 +153,27 @@ NEAR = pa.struct([
 ])
 
 
-def scan_batches(window: int):
-    """A task: (id, body, text) to (id, body, base_spans, near)."""
+def scan_batches(window: int, held: int = HELD_WORDS):
+    """A task: (id, body, text) to (id, body, base_spans, near), in the order of the texts."""
+
+    def handed(batch: pa.RecordBatch, spans: list, near: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(spans, pa.list_(SPAN)), pa.array(near, pa.list_(NEAR))],
+            ["id", "body", "base_spans", "near"],
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
+            spans, near, done, words = [], [], 0, 0
             for text in batch.column(2):
                 found = base_spans(text := text.as_py())
                 spans.append([(k, a, b, long_hash(k, v)) for k, a, b, v in found])
                 near.append(list(contexts(text, found, window)) if found else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(SPAN)), pa.array(near, pa.list_(NEAR))],
-                ["id", "body", "base_spans", "near"],
-            )
+                words += len(found) + len(near[-1])
+                if words > held:
+                    yield handed(batch.slice(done, len(spans)), spans, near)
+                    done, spans, near, words = done + len(spans), [], [], 0
+            yield handed(batch.slice(done), spans, near)
 
     return run
 
@@ -199,6 +210,11 @@ def term_batches(marked, held: int):
     return run
 
 
+def files(total: int) -> int:
+    """In how many files what is left of so many documents is staged; a task each would write a few rows."""
+    return 1 + total // FILE_DOCS
+
+
 def bitmap(terms: DataFrame, rows: int) -> np.ndarray:
     """Bits of the hashes of ``terms``: sixteen per term, at most MAX_BITS (16 MB) in all."""
     bits = min(MAX_BITS, max(64, 1 << (16 * rows).bit_length()))
@@ -211,20 +227,21 @@ def bitmap(terms: DataFrame, rows: int) -> np.ndarray:
 
 
 def disclosing(
-    texts: DataFrame, scanned: DataFrame, threshold: float, min_texts: int, held: int
+    texts: DataFrame, scanned: DataFrame, total: int, threshold: float, min_texts: int, held: int
 ) -> DataFrame:
     """(entity, term): what a term tells of an entity reaches ``threshold`` of all there is to tell.
 
     An entity in a share p of the documents has -log p bits of information. A term tells
     log(q / p) of them, their pointwise mutual information, where q is the share of the
     term's documents in which the entity is near. Rates of few documents are drawn to p
-    by PRIOR documents, and ``min_texts`` different texts must hold both.
+    by PRIOR documents, and ``min_texts`` different texts must hold both. ``total`` is the
+    number of documents.
     """
     near = scanned.select("id", "body", F.inline("near"))
     once = near.select("entity", "term", "id", "body").distinct()
     by_text = once.groupBy("entity", "term", "body").agg(F.count("*").alias("docs"))
     both = by_text.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("texts"))
-    both = stage(both.filter(F.col("texts") >= min_texts).drop("texts"), "together")
+    both = stage(both.filter(F.col("texts") >= min_texts).drop("texts").repartition(files(total)), "together")
     wanted = both.select("term").distinct()
     rows = wanted.count()
     marked = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, rows))
@@ -232,7 +249,7 @@ def disclosing(
     docs = counted.groupBy("term").agg(F.sum("docs").alias("docs"))
     entities = scanned.select("id", "body", F.inline("base_spans")).select("id", "body", "entity").distinct()
     holders = entities.groupBy("entity").agg(F.count("*").alias("holders"))
-    p = F.col("holders") / F.lit(float(max(1, scanned.count())))
+    p = F.col("holders") / F.lit(float(max(1, total)))
     q = (F.col("both") + PRIOR * p) / (F.col("docs") + PRIOR)
     told = both.join(docs, "term").join(holders, "entity")
     return told.filter((p < 1) & (F.log(q / p) >= -F.log(p) * threshold)).select("entity", "term")
@@ -266,7 +283,9 @@ def personal_data(
     scanned = stage(texts.mapInArrow(scan_batches(window), f"id {kind}, body long, {SCAN}"), "entities")
     base = F.transform("base_spans", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
     found = scanned.select("id", "body", base.alias("base_spans"))
-    telling = stage(disclosing(texts, scanned, threshold, min_texts, held), "disclosing")
+    total = scanned.count()
+    telling = disclosing(texts, scanned, total, threshold, min_texts, held)
+    telling = stage(telling.repartition(files(total)), "disclosing")
     small = telling.count() <= BROADCAST_ROWS
     near = scanned.select("id", "body", F.inline("near"))
     hits = near.join(F.broadcast(telling) if small else telling, ["entity", "term"])
